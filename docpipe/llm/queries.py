@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urls, warc
+from . import decontaminate, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pack(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def url_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, bad: labels of the documents that the urls name."""
     named = pages.select("page_id", F.expr(f"try_cast(regexp_extract(url, r'{urls.NUMBER}', 1) as bigint)").alias("doc_id"))
@@ -33,5 +37,5 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.templates(pages, url_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op6_quality": op6_quality, "op7_warc": op7_warc, "op9_url_templates": op9_url_templates}
+QUERIES = {"op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates}
 ORACLE = {"op9_url_templates": urls.sql()}

@@ -73,3 +73,21 @@ def grams(offsets: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         for k in range(1, n):
             g = mix(g * U64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
     return row[: len(h) - n + 1][full], g[full]
+
+
+def chunks(column: pa.Array, most: int = 8 << 20) -> list[tuple[int, pa.Array]]:
+    """Slices of a column of texts, of at most so many bytes each if no single text is larger, with their first rows."""
+    texts = filled(column)
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64)) if len(texts) else np.empty(0, np.int64)
+    out, at = [], 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        out.append((at, texts.slice(at, to - at)))
+        at = to
+    return out
+
+
+def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """An array<bigint> column."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
