@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, urls, warc
+from . import decontaminate, near, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,5 +41,5 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.templates(pages, url_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates}
+QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates}
 ORACLE = {"op9_url_templates": urls.sql()}
