@@ -29,10 +29,10 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, least: int =
     own = pages.select("page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), F.regexp_extract("url", PATH, 1).alias("path"))
     own = own.withColumn("s", F.filter(F.split("path", "/"), lambda x: x != "")).drop("path")
     own = own.join(marks, "page_id", "left").withColumn("t", F.when(F.col("host") != "", F.col("host")))
-    own = written(own.drop("host"), "urls")
+    own = own.drop("host")
     for k in range(depth):
         name = F.get("s", F.lit(k)) if k < depth - 1 else F.when(F.size("s") > k, F.array_join(F.slice("s", k + 1, F.greatest(F.size("s") - k, F.lit(1))), "/"))
-        own = own.withColumn("c", name)
+        own = written(own.withColumn("c", name), "level")
         children = own.where("t is not null and c is not null").groupBy("t", "c").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
         parents = children.groupBy("t").agg(F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         p = F.col("pb") / F.col("pl")
@@ -44,7 +44,7 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, least: int =
         )
         own = own.join(named, ["t", "c"], "left").withColumn("t", F.when(F.col("c").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), F.when(F.col("named") == 1, F.col("c")).otherwise("*"))))
         own = own.drop("c", "named")
-    own = own.drop("s")
+    own = written(own.drop("s"), "named")
     found = own.where("t is not null").groupBy("t").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("nbad"))
     prior = found.agg((F.sum("labelled") - F.sum("nbad")).alias("good"), F.sum("labelled").alias("all"))
     scored = found.crossJoin(prior).select(
