@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near, quality, urls, warc
+from . import decontaminate, lines, near, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("__removed").alias("removed"))
+
+
 def url_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, bad: labels of the documents that the urls name."""
     named = pages.select("page_id", F.expr(f"try_cast(regexp_extract(url, r'{urls.NUMBER}', 1) as bigint)").alias("doc_id"))
@@ -41,5 +45,5 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.templates(pages, url_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates}
+QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
 ORACLE = {"op9_url_templates": urls.sql()}
