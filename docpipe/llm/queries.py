@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, near, quality, urls, warc
+from . import decontaminate, lines, near, pieces, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", "ids", pieces.decode(F.col("ids")).alias("decoded"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,5 +49,5 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.templates(pages, url_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
 ORACLE = {"op9_url_templates": urls.sql()}
