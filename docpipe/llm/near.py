@@ -8,7 +8,7 @@ reaches it. So two texts agree in a component with the probability of their weig
 drawn only up to the time at which all components of a text are filled.
 
 Signatures are cut into `bands` of `rows` components. Texts that share a band are candidates. First each candidate is
-verified against the least doc_id of its bucket; verified pairs are joined to groups. Then, exactly, all pairs of one
+verified against one other, of the least doc_ids of its buckets that which shares most of them; verified pairs are joined to groups. Then, exactly, all pairs of one
 bucket that are still in different groups and weren't compared are verified too, so nothing is capped: a bucket of
 thousands of copies costs as many comparisons as copies, not their square. A pair counts if the exact overlap of the
 multisets (sum of minima over sum of maxima) is at least `threshold`.
@@ -132,20 +132,38 @@ def connected(edges: DataFrame) -> DataFrame:
     return own.select(F.col("v").alias("d"), F.col("u").alias("g")).union(own.select(F.col("u").alias("d"), F.col("u").alias("g")).distinct())
 
 
-def overlapping(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose multisets overlap by the threshold. docs: d, t. pairs: written."""
-    some = written(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "candidates")
+def overlapping(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, most: int = 2000) -> DataFrame:
+    """Those of the pairs (a, b) whose multisets overlap by the threshold. docs: d, t. pairs: written.
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, part in X.chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, len(part)), X.lists(*occurrences(*X.words(part), n))], ["d", "x"])
+    The texts of all b of an a meet in one place, at most about `most` of them with a copy of a's own.
+    """
+    salted = pairs.groupBy("a").agg(F.count("*").alias("c"))
+    salted = pairs.join(salted, "a").select("a", "b", F.pmod(F.hash("b"), F.ceil(F.col("c") / most).cast("int")).alias("salt"))
+    visits = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("d")).union(salted.select("a", "salt", F.lit(0), "a").distinct())
+    visits = written(visits.groupBy("d").agg(F.collect_list(F.struct("a", "salt", "role")).alias("v"), F.count("*").alias("c")), "visits")
+    bulk = visits.agg(F.sum(24 + 16 * F.col("c"))).first()[0] or 0
 
-    sets = docs.join(small(some, 8), "d", "left_semi").groupBy("d").agg(F.min("t").alias("t")).mapInArrow(items, "d bigint, x array<bigint>")
-    sets = written(sets, "bags")
-    both = pairs.join(sets.withColumnRenamed("d", "a"), "a").join(sets.select(F.col("d").alias("b"), F.col("x").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, center, last = None, np.empty(0, U), None
+        for batch in batches:
+            a, salt, role, d = (np.asarray(batch.column(k)) for k in range(4))
+            kept: list[tuple[int, int]] = []
+            for base, part in X.chunks(batch.column(4)):
+                at, items = occurrences(*X.words(part), n)
+                for j in range(len(part)):
+                    i, own = base + j, items[at[j] : at[j + 1]]
+                    if (a[i], salt[i]) != group:
+                        group, center, last = (a[i], salt[i]), own, (0, a[i])
+                    elif (role[i], d[i]) != last:  # else another text of the same document
+                        last = (role[i], d[i])
+                        both = len(np.intersect1d(center, own, assume_unique=True))
+                        if both and both >= threshold * (len(center) + len(own) - both):
+                            kept.append((a[i], d[i]))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.int64())], ["a", "b"])
+
+    rows = docs.join(small(visits.select("d", "v"), bulk, 1), "d").select("d", "t", F.explode("v").alias("v")).select("v.a", "v.salt", "v.role", "d", "t")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "d", "t").mapInArrow(compare, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshold: float = 0.4) -> DataFrame:
@@ -165,13 +183,15 @@ def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshol
     keys = own.mapInArrow(signed, "d bigint, s array<bigint>").select("d", F.explode("s").alias("k"))
     buckets = keys.selectExpr("k", "d", "min(d) over (partition by k) as a", "max(d) over (partition by k) as z").where("a < z").select("k", "d", "a").distinct()
     buckets = written(buckets, "buckets")
-    first = written(buckets.where("d <> a").select("a", F.col("d").alias("b")).distinct(), "first")
+    # Of the documents that are least of a text's buckets the one that shares most buckets with it, hence most alike.
+    shared = buckets.where("d <> a").groupBy("d", "a").agg(F.count("*").alias("c"))
+    first = written(shared.groupBy("d").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("d").alias("b")), "first")
     edges = written(overlapping(own, first, n, threshold), "overlaps")
     found = written(connected(edges), "groups")
     put = written(buckets.join(found, "d", "left").select("k", "d", "a", F.coalesce("g", "d").alias("g")), "put")
     mixed = put.groupBy("k").agg(F.min("g").alias("p"), F.max("g").alias("q")).where("p < q").select("k")
     put = written(put.join(mixed, "k", "left_semi"), "mixed")
-    # Pairs of a bucket that are in different groups, by the bucket's members outside the group of its least document.
+    # All pairs of a bucket that are in different groups: a member outside the group of the least one, with any other.
     base = put.where("d = a").select("k", F.col("g").alias("h"))
     rest = put.join(base, "k").where("g <> h").select("k", F.col("d").alias("e"), F.col("g").alias("f"))
     second = rest.join(put, "k").where("f <> g and a <> d").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*$&%#@~`^_=+/\\-–—…«»“”‘’¡¿"
 U64 = np.uint64
@@ -27,24 +26,39 @@ def filled(column: pa.Array) -> pa.Array:
 
 
 def split(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, pa.Array]:
-    """Offsets (one more than texts) and the flat parts; at white space, or at a literal pattern."""
-    parts = pc.utf8_split_whitespace(texts) if pattern is None else pc.split_pattern(texts, pattern)
+    """Offsets (one more than texts) and the flat parts; at ASCII white space, or at a literal pattern."""
+    parts = pc.ascii_split_whitespace(texts) if pattern is None else pc.split_pattern(texts, pattern)
     return np.asarray(parts.offsets).astype(np.int64) - parts.offsets[0].as_py(), parts.flatten()
 
 
+def string_hashes(strings: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes: bytes times random numbers by place, summed and mixed; two strings agree with a chance of 2**-56."""
+    _, offsets, data = strings.buffers()
+    if not len(strings) or data is None:
+        return np.zeros(len(strings), U64)
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    length = np.diff(at)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], length)
+    with np.errstate(over="ignore"):
+        random = mix(np.arange(1, int(length.max()) + 2, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+        out = length.astype(U64)
+        some = length > 0
+        if some.any():
+            out[some] += np.add.reduceat((raw.astype(U64) + U64(1)) * random[place], (at[:-1] - at[0])[some])
+        return mix(out + U64(0x632BE59BD9B4E019))
+
+
 def hashes(parts: pa.Array, trim: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """For each part its 64-bit hash, and whether anything is left of it. trim: lower case, without outer punctuation."""
+    """For each part its hash, and whether anything is left of it. trim: lower case, without outer punctuation."""
     if len(parts) == 0:
         return np.empty(0, U64), np.empty(0, bool)
     coded = parts.dictionary_encode()
     own = coded.dictionary
     if trim:
         own = pc.utf8_trim(pc.utf8_lower(own), characters=PUNCTUATION)
-    own = own.to_pylist()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in own), U64, len(own))
-    left = np.fromiter(map(bool, own), bool, len(own))
     at = np.asarray(coded.indices)
-    return table[at], left[at]
+    return string_hashes(own)[at], np.asarray(pc.binary_length(own))[at] > 0
 
 
 def words(column: pa.Array, trim: bool = True) -> tuple[np.ndarray, np.ndarray]:
