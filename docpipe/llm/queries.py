@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, near, pieces, quality, urls, warc
+from . import decontaminate, html, lines, near, pieces, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.templates(pages, url_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op4_near_duplicates": op4_near_duplicates, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
 ORACLE = {"op9_url_templates": urls.sql()}
