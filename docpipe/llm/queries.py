@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lines, lm, near, pieces, quality, urls, warc
+from . import ann, decontaminate, html, lines, lm, near, pieces, quality, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's items, scored by all documents: what the corpus gives away of them."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -59,5 +63,5 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.templates(pages, url_labels(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op3_lm_scores": op3_lm_scores, "op4_near_duplicates": op4_near_duplicates, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_nearest_vectors": op2_nearest_vectors, "op3_lm_scores": op3_lm_scores, "op4_near_duplicates": op4_near_duplicates, "op5_sentencepiece": op5_sentencepiece, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_decontamination": op8_decontamination, "op9_url_templates": op9_url_templates, "op10_line_dedup": op10_line_dedup}
 ORACLE = {"op9_url_templates": urls.sql()}
