@@ -6,12 +6,14 @@ similarity of at least `threshold` with it; earlier means less in (doc_id, line
 Words are ordered by rarity: their occurrences in the whole corpus, counted in 65,536 buckets of word hashes, then hash.
 Any total order gives exact results, so that the counts needn't be exact for a word; they only have to tell the common
 ones. A line of n words is indexed by its first n - ceil(threshold n) + 1. Lines that share such a word are compared by
-length, by the places of the word in both, and by a 64-bit bitmap of each set, whose bits bound the symmetric difference
-from below: none of these filters loses a pair. What is left is verified with the full sets.
+length, by the places of the word in both, and by a sketch of each set: each word turns over one bit of 64, or 128 for large
+sets, so the bits that two sketches differ in are no more than the words that the sets differ in. None of these filters
+loses a pair. What is left is verified with the full sets.
 
-One partner is enough for a line to go. So of the lines that share a word each is first paired with its earliest possible
-partner only; lines for which that failed, and that have other possible partners, are paired with all of them in a second
-round. Lines of equal sets need no verification. Thousands of variants of a line cost about as many pairs as variants.
+One partner is enough for a line to go. So each line is first verified with the possible partner that shares most of its
+prefix; if that fails, with all others that are known. Where a word has many lines, only the first PARTNERS of a line are
+noted at first; lines that had more, and didn't go, are paired with all of them in a last round. Lines of equal sets need no
+verification. Thousands of variants of a line cost about as many verifications as variants.
 
 Defined results: lines without words are kept. Rows of null doc_id, and null texts, are left as they are and take no part.
 Rows of the same doc_id are told apart by their lines; equal rows are one document, and get the same lines removed. A text
@@ -34,26 +36,35 @@ from .shared import small, written
 
 U = np.uint64
 BUCKETS = 1 << 16
-LARGE = 48  # groups of more lines are compared one line with all, smaller ones all at once
+COLUMNS = "ksdlnpbe"
+WIDE = 80  # sets of more words have 128 bits
+LARGE = 16  # groups of more lines are compared as matrices, smaller ones all groups at once
+BLOCK = 1 << 20  # pairs in a matrix
+PARTNERS = 8  # of a line in a large group that are looked at before the last round
+ROWS = 1 << 18  # lines that are compared at once, if no single group has more
 
 
-def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and number of each line; then line (by number here) and hash of its distinct words, in order of line; and the hash of each line's set."""
-    offsets, lines = X.split(texts, "\n")
-    row = X.owners(offsets)
-    number = np.arange(len(row)) - offsets[row]
+def ordered(line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order of words by line, then by the upper 40 bits of rank."""
+    return np.argsort((line.astype(U) << U(40)) | (rank >> U(24)))
+
+
+def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line and hash of the distinct words of lines, in order of line; and the hash of each line's set."""
     at, h = X.words(lines)
     line = X.owners(at)
-    order = np.lexsort((h, line))
+    order = ordered(line, h)
     line, h = line[order], h[order]
     if len(h):
         first = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])]
         line, h = line[first], h[first]
-    sets = np.zeros(len(row), U)
+    n = np.bincount(line, minlength=len(lines))
+    sets = np.zeros(len(lines), U)
     with np.errstate(over="ignore"):
-        np.add.at(sets, line, X.mix(h + U(1)))
-        sets = X.mix(sets + np.bincount(line, minlength=len(row)).astype(U))
-    return row, number, line, h, sets
+        if len(h):
+            sets[n > 0] = np.add.reduceat(X.mix(h + U(1)), (np.cumsum(n) - n)[n > 0])
+        sets = X.mix(sets + n.astype(U))
+    return line, h, sets
 
 
 def counted(docs: DataFrame) -> np.ndarray:
@@ -79,41 +90,55 @@ def least_overlap(threshold: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequency: np.ndarray, threshold: float) -> DataFrame:
-    """k, s, d, l, n, p, b: a prefix word, and of its line the set's hash, document, number, size, place of the word, bitmap."""
+    """k, s, d, l, n, p, b, e: 32 bits of a prefix word (words that share them only meet in vain), and of its line the set's hash, document, number, size, place of the word, and its sketch: folded, and of large sets the upper half."""
+
+    place_of = np.empty(BUCKETS, U)
+    place_of[np.lexsort((np.arange(BUCKETS), frequency))] = np.arange(BUCKETS, dtype=U)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0)).astype(np.int64)
             for base, part in X.chunks(batch.column(1)):
-                row, number, line, h, sets = line_sets(part)
+                offsets, lines = X.split(part, "\n")
+                row = X.owners(offsets)
+                number = np.arange(len(row)) - offsets[row]
+                line, h, sets = line_sets(lines)
                 if not len(h):
                     continue
                 n = np.bincount(line, minlength=len(row))
-                bits = np.zeros(len(row), U)
-                np.bitwise_or.at(bits, line, U(1) << (X.mix(h) >> U(58)))
-                order = np.lexsort((h, frequency[(h % U(BUCKETS)).astype(np.int64)], line))  # line is sorted and stays so
-                h = h[order]
-                place = np.arange(len(h)) - (np.cumsum(n) - n)[line]
+                start = np.cumsum(n) - n
+                bits = np.zeros((2, len(row)), U)
+                where = X.mix(h) >> U(57)
+                bits[0, n > 0] = np.bitwise_xor.reduceat(U(1) << (where & U(63)), start[n > 0])
+                wide = n > WIDE
+                bits[1, n > 0] = np.bitwise_xor.reduceat(np.where(where > 63, U(1) << (where & U(63)), U(0)), start[n > 0])
+                bits[1, ~wide] = 0
+                h = h[ordered(line, (place_of[(h % U(BUCKETS)).astype(np.int64)] << U(48)) | (h >> U(16)))]
+                place = np.arange(len(h)) - start[line]
                 kept = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
                 k = line[kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[kept].view(np.int64)), pa.array(sets[k].view(np.int64)), pa.array(ids[base + row[k]]), pa.array(number[k].astype(np.int32)), pa.array(n[k].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(bits[k].view(np.int64))],
-                    list("ksdlnpb"),
+                    [pa.array(h[kept].astype(np.uint32).view(np.int32)), pa.array(sets[k].view(np.int64)), pa.array(ids[base + row[k]]), pa.array(number[k].astype(np.int32)), pa.array(n[k].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(bits[0, k].view(np.int64)), pa.array(bits[1, k].view(np.int64))],
+                    list(COLUMNS),
                 )
 
-    return docs.select("d", "t").mapInArrow(cut, "k bigint, s bigint, d bigint, l int, n int, p int, b bigint")
+    return docs.select("d", "t").mapInArrow(cut, "k int, s bigint, d bigint, l int, n int, p int, b bigint, e bigint")
 
 
-def possible(threshold: float, a: dict, b: dict) -> np.ndarray:
-    """Which pairs may reach the threshold, by length, place and bitmap."""
-    need = least_overlap(threshold, a["n"], b["n"])
-    most = 1 + np.minimum(a["n"] - a["p"], b["n"] - b["p"]) - 1
-    apart = np.bitwise_count(np.asarray(a["b"] ^ b["b"]).view(U)).astype(np.int64)
-    return (np.minimum(a["n"], b["n"]) >= threshold * np.maximum(a["n"], b["n"]) - 1e-9) & (most >= need) & (apart <= a["n"] + b["n"] - 2 * need)
+def possible(threshold: float, x: dict, early: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which pairs of lines may reach the threshold, by length, place and, of what these leave, sketch."""
+    n, m = x["n"][early], x["n"][late]
+    need = least_overlap(threshold, n, m)
+    left = np.flatnonzero((np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(n - x["p"][early], m - x["p"][late]) >= need))
+    early, late, most = early[left], late[left], (n + m - 2 * need)[left]
+    fold, upper = x["b"][early] ^ x["b"][late], x["e"][early] ^ x["e"][late]
+    wide = (x["n"][early] > WIDE) & (x["n"][late] > WIDE)
+    apart = np.where(wide, np.bitwise_count(fold ^ upper) + np.bitwise_count(upper), np.bitwise_count(fold))
+    return left[apart <= most]
 
 
 def paired(rows: DataFrame, threshold: float, every: bool) -> DataFrame:
-    """Later and earlier line of pairs (d, l, s; ad, al, as) with same: whether their sets are equal; more: whether the later line has other possible partners. every: all pairs, not the first of each line."""
+    """Later and earlier line of pairs (d, l, s; ad, al, as) with same: whether their sets are equal; more: that the later line has more possible partners than are given (the earlier is then itself). every: all pairs."""
     names = ["d", "l", "s", "ad", "al", "as", "same", "more"]
 
     def emit(a: dict, b: dict, same: bool, more: np.ndarray) -> pa.RecordBatch:
@@ -126,104 +151,154 @@ def paired(rows: DataFrame, threshold: float, every: bool) -> DataFrame:
     def compare(x: dict) -> Iterator[pa.RecordBatch]:
         """x: lines of whole groups, of each set the earliest."""
         x = pick(x, np.lexsort((x["s"], x["l"], x["d"], x["k"])))
+        x["b"], x["e"] = x["b"].view(U), x["e"].view(U)
         start = np.flatnonzero(np.r_[True, x["k"][1:] != x["k"][:-1]])
         size = np.diff(np.r_[start, len(x["k"])])
-        first, hits = np.full(len(x["k"]), -1), np.zeros(len(x["k"]), np.int64)
         rank = np.arange(len(x["k"])) - np.repeat(start, size)
         rank[np.repeat(size > LARGE, size)] = -1
-        for delta in range(1, min(LARGE, int(size.max())) + 1):
+        for delta in range(1, min(LARGE, int(size.max()))):
             at = np.flatnonzero(rank >= delta)
             if not len(at):
                 break
-            at = at[possible(threshold, pick(x, at - delta), pick(x, at))]
-            first[at] = at - delta
-            hits[at] += 1
-            if every and len(at):
+            at = at[possible(threshold, x, at - delta, at)]
+            if len(at):
                 yield emit(pick(x, at - delta), pick(x, at), False, np.zeros(len(at), bool))
         for g in np.flatnonzero(size > LARGE):
-            rest = np.arange(start[g], start[g] + size[g])
-            for i in range(start[g], start[g] + size[g] - 1):
-                rest = rest[rest > i]
-                if not len(rest):
-                    break
-                ok = possible(threshold, {c: v[i] for c, v in x.items()}, pick(x, rest))
-                at = rest[ok]
-                if every and len(at):
-                    yield emit(pick(x, np.full(len(at), i)), pick(x, at), False, np.zeros(len(at), bool))
-                first[at[first[at] < 0]] = i
-                hits[at] += 1
-                if not every:
-                    rest = rest[hits[rest] < 2]
-        at = np.flatnonzero(first >= 0)
-        if not every and len(at):
-            yield emit(pick(x, first[at]), pick(x, at), False, hits[at] > 1)
+            lo, m = int(start[g]), int(size[g])
+            hits = np.zeros(m, np.int64)
+            step = max(1, BLOCK // m)
+            for i in range(0, m, step):
+                early = np.arange(i, min(i + step, m))
+                late, early = np.nonzero(np.arange(m)[:, None] > early[None, :])[0], np.broadcast_to(early, (m, len(early)))[np.arange(m)[:, None] > early[None, :]]
+                own = possible(threshold, x, lo + early, lo + late)
+                early, late = early[own], late[own]  # in order of the later, then of the earlier
+                if not every and len(late):
+                    first = np.flatnonzero(np.r_[True, late[1:] != late[:-1]])
+                    count = np.diff(np.r_[first, len(late)])
+                    place = hits[late] + np.arange(len(late)) - np.repeat(first, count)
+                    hits[late[first]] += count
+                    early, late = early[place < PARTNERS], late[place < PARTNERS]
+                if len(late):
+                    yield emit(pick(x, lo + early), pick(x, lo + late), False, np.zeros(len(late), bool))
+            if not every and (over := np.flatnonzero(hits > PARTNERS)).size:  # the rest waits for the last round
+                yield emit(pick(x, lo + over), pick(x, lo + over), False, np.ones(len(over), bool))
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None
+        held: list[dict] = []
+        lead: dict | None = None
+        waiting = 0
         for batch in batches:
-            x = {c: np.asarray(batch.column(i)) for i, c in enumerate("ksdlnpb")}
-            if held is not None:
-                x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
+            x = {c: np.asarray(batch.column(i)) for i, c in enumerate(COLUMNS)}
             if not len(x["k"]):
                 continue
+            if lead is not None:
+                x = {c: np.concatenate([lead[c], v]) for c, v in x.items()}
             new = np.r_[True, (x["k"][1:] != x["k"][:-1]) | (x["s"][1:] != x["s"][:-1])]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            equal = np.flatnonzero(~new & (x["p"] == 0) & ((x["d"] != x["d"][lead]) | (x["l"] != x["l"][lead])))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            equal = np.flatnonzero(~new & (x["p"] == 0) & ((x["d"] != x["d"][first]) | (x["l"] != x["l"][first])))
             if not every and len(equal):
-                yield emit(pick(x, lead[equal]), pick(x, equal), True, np.zeros(len(equal), bool))
+                yield emit(pick(x, first[equal]), pick(x, equal), True, np.zeros(len(equal), bool))
+            new[0] = lead is None
+            lead = pick(x, first[-1:])
             x = pick(x, np.flatnonzero(new))
-            last = int(np.searchsorted(x["k"], x["k"][-1]))
-            held = pick(x, np.arange(last, len(x["k"])))
-            if last:
-                yield from compare(pick(x, np.arange(last)))
-        if held is not None:
-            yield from compare(held)
+            if len(x["k"]) > 2:  # words of one line only; the last and the first may have lines in other batches
+                alone = np.r_[False, (x["k"][1:-1] != x["k"][:-2]) & (x["k"][1:-1] != x["k"][2:]), False]
+                x = pick(x, np.flatnonzero(~alone))
+            held.append(x)
+            waiting += len(x["k"])
+            if waiting > ROWS:
+                x = {c: np.concatenate([y[c] for y in held]) for c in COLUMNS}
+                last = int(np.searchsorted(x["k"], x["k"][-1]))
+                if last:
+                    yield from compare(pick(x, np.arange(last)))
+                held = [pick(x, np.arange(last, len(x["k"])))]
+                waiting = len(x["k"]) - last
+        if held:
+            yield from compare({c: np.concatenate([y[c] for y in held]) for c in COLUMNS})
 
     out = rows.repartition("k").sortWithinPartitions("k", "s", "d", "l", "p")
     return out.mapInArrow(grouped, "d bigint, l int, s bigint, ad bigint, al int, as bigint, same boolean, more boolean")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """d, l, s of the later lines of pairs whose sets are similar enough."""
-    pairs = written(pairs.select("d", "l", "s", "ad", "al", "as").distinct(), "pairs")
-    some = pairs.select("d", "l").union(pairs.select("ad", "al")).distinct().groupBy("d").agg(F.collect_list("l").alias("ls"))
-    some = written(some, "wanted")
-    bulk = some.agg(F.sum(16 + 4 * F.size("ls"))).first()[0] or 0
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float, most: int = 5000) -> DataFrame:
+    """d, l, s of the later lines of pairs whose sets are similar enough. pairs: written.
+
+    The sets of all lines that are compared with one earlier line meet in one place, at most about `most` with a copy of its.
+    """
+    count = pairs.groupBy("ad", "al", "as").agg(F.count("*").alias("c"))
+    pairs = pairs.join(count, ["ad", "al", "as"]).withColumn("z", F.pmod(F.hash("d", "l"), F.ceil(F.col("c") / most).cast("int")))
+    visits = pairs.selectExpr("d", "l", "s", "as as g", "z", "1 as role").union(pairs.selectExpr("ad as d", "al as l", "as as s", "as as g", "z", "0 as role").distinct())
+    visits = written(visits.groupBy("d").agg(F.collect_list(F.struct("l", "s", "g", "z", "role")).alias("v"), F.count("*").alias("c")), "visits")
+    bulk = visits.agg(F.sum(24 + 32 * F.col("c"))).first()[0] or 0
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = np.asarray(batch.column(0)).astype(np.int64), batch.column(2)
+            ids, visit = np.asarray(batch.column(0)).astype(np.int64), batch.column(2)
             for base, part in X.chunks(batch.column(1)):
-                row, number, line, h, s = line_sets(part)
-                own = wanted.slice(base, len(part))
-                want = (np.repeat(np.arange(len(part)), np.diff(np.asarray(own.offsets))) << 32) | np.asarray(own.flatten()).astype(np.int64)
-                n = np.bincount(line, minlength=len(row))
-                keep = np.isin((row << 32) | number, want) & (n > 0)
-                at = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[base + row[at]]), pa.array(number[at].astype(np.int32)), pa.array(s[at].view(np.int64)), X.lists(np.r_[0, np.cumsum(n[at])], h[keep[line]])], list("dlsw"))
-
-    found = docs.join(small(some, bulk, 1), "d").select("d", "t", "ls").mapInArrow(sets, "d bigint, l int, s bigint, w array<bigint>")
-    found = written(found.dropDuplicates(["s"]).select("s", "w"), "sets")  # a set by its hash, whichever line has it
-    both = pairs.join(found, "s").join(found.select(F.col("s").alias("as"), F.col("w").alias("v")), "as")
-    common = F.size(F.array_intersect("w", "v"))
-    return both.where(common >= threshold * (F.size("w") + F.size("v") - common) - 1e-9).select("d", "l", "s").distinct()
+                offsets, lines = X.split(part, "\n")
+                own = visit.slice(base, len(part))
+                row, inner = X.owners(np.asarray(own.offsets).astype(np.int64)), own.flatten()
+                l, s, g, z, role = (np.asarray(inner.field(k)) for k in range(5))
+                there = l < (offsets[row + 1] - offsets[row])  # else of another row of the same doc_id
+                row, l, s, g, z, role = (v[there] for v in (row, l, s, g, z, role))
+                want, which = np.unique(offsets[row] + l, return_inverse=True)
+                line, h, found = line_sets(lines.take(pa.array(want)))
+                n = np.bincount(line, minlength=len(want))
+                start = np.cumsum(n) - n
+                at = np.flatnonzero(found[which].view(np.int64) == s)
+                size, begin = n[which[at]], start[which[at]]
+                ends = np.cumsum(size)
+                words = h[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(z[at]), pa.array(role[at]), pa.array(ids[base + row[at]]), pa.array(l[at]), pa.array(s[at]), X.lists(np.r_[0, ends], words)], ["g", "z", "role", "d", "l", "s", "w"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, center = None, np.empty(0, np.int64)
+        for batch in batches:
+            g, z, role = (np.asarray(batch.column(k)) for k in range(3))
+            offsets, flat = np.asarray(batch.column(6).offsets), np.asarray(batch.column(6).flatten())
+            offsets = offsets - offsets[0]
+            cut = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (z[1:] != z[:-1])]) if len(g) else []
+            kept = []
+            for a, b in zip(cut, [*cut[1:], len(g)], strict=True):
+                if (g[a], z[a]) != group:
+                    if role[a]:
+                        continue
+                    group, center = (g[a], z[a]), np.sort(flat[offsets[a] : offsets[a + 1]])
+                own = flat[offsets[a] : offsets[b]]
+                k = np.minimum(np.searchsorted(center, own), len(center) - 1)
+                common = np.add.reduceat((center[k] == own).astype(np.int64), offsets[a:b] - offsets[a])
+                size = np.diff(offsets[a : b + 1])
+                kept.append(a + np.flatnonzero((role[a:b] == 1) & (common >= threshold * (size + len(center) - common) - 1e-9)))
+            if kept:
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(np.concatenate(kept))) for k in (3, 4, 5)], ["d", "l", "s"])
+
+    rows = docs.join(small(visits.select("d", "v"), bulk, 1), "d").select("d", "t", "v").mapInArrow(sets, "g bigint, z int, role int, d bigint, l int, s bigint, w array<bigint>")
+    return rows.repartition("g", "z").sortWithinPartitions("g", "z", "role").mapInArrow(compare, "d bigint, l int, s bigint").distinct()
 
 
 def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """d, l, s of the lines that go: doc_id, line number from 0, and the hash of the line's set."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("t")).where("d is not null and t is not null")
-    frequency = counted(own)
-    rows = prefixes(own, frequency, threshold)
-    first = written(paired(rows, threshold, False), "first")
-    gone = first.where("same").select("d", "l", "s").distinct()
-    open_ = first.where("not same").join(gone, ["d", "l", "s"], "left_anti")
-    done = written(verified(own, open_, threshold), "done")
-    left = written(open_.where("more").select("d", "l", "s").distinct().join(done, ["d", "l", "s"], "left_anti"), "left")
+    rows = prefixes(own, counted(own), threshold)
+    pairs = written(paired(rows, threshold, False), "pairs")
+    gone = pairs.where("same").select("d", "l", "s").distinct()
+    key, partner = ["d", "l", "s"], ["ad", "al", "as"]
+    others = pairs.where("not same").join(gone, key, "left_anti").groupBy(*key, *partner).agg(F.count("*").alias("c"), F.max("more").alias("more"))
+    others = written(others, "others")
+    # First the partner that shares most of a line's prefix, then all that are known, then those that there were too many of.
+    best = others.where("not more").groupBy(*key).agg(F.max_by(F.struct(*partner), F.struct("c", -F.col("ad"), -F.col("al"), "as")).alias("a"))
+    first = written(best.select(*key, "a.*"), "first")
+    done = written(verified(own, first, threshold), "done")
+    second = written(others.where("not more").join(done, key, "left_anti").join(first, key + partner, "left_anti").select(*key, *partner), "second")
+    if second.head(1):
+        done = done.union(written(verified(own, second, threshold), "second-done"))
     out = gone.union(done)
-    if left.head(1):
-        keys = written(rows.join(small(left.select("s").distinct(), 8, left.count()), "s", "left_semi").select("k").distinct(), "keys")
-        again = paired(rows.join(small(keys, 8), "k", "left_semi").select(*"ksdlnpb"), threshold, True)
-        again = again.join(small(left.select("s").distinct(), 8, left.count()), "s", "left_semi").select("d", "l", "s", "ad", "al", "as")
+    left = written(others.where("more").select(*key).distinct().join(done, key, "left_anti"), "left")
+    if n := left.count():
+        keys = rows.join(small(left.select("s").distinct(), 8, n), "s", "left_semi").select("k").distinct()
+        keys = written(keys, "keys")
+        again = paired(rows.join(small(keys, 8), "k", "left_semi").select(*COLUMNS), threshold, True)
+        again = again.select(*key, *partner).join(small(left, 20, n), key, "left_semi").distinct()
         out = out.union(verified(own, written(again, "again"), threshold))
     return out.distinct()
 
@@ -231,26 +306,28 @@ def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows and columns of docs, text without the lines that go, and __removed: how many went (0 where none)."""
     lines = written(removals(docs, threshold), "removals")
-    bulk = 20 * lines.count()
-    gone = lines.groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("l", "s")).alias("__gone"))
+    bulk = 24 * lines.count()
+    twice = docs.groupBy(F.col("doc_id").cast("bigint").alias("d")).agg((F.count("*") > 1).alias("twice")).where("twice")
+    gone = lines.join(twice, "d", "left").groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("l", "s")).alias("__gone"), F.max("twice").alias("__twice"))
+    gone = written(gone, "gone")
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())])
 
     @F.pandas_udf(schema)
-    def rest(texts: pd.Series, numbers: pd.Series, sets: pd.Series) -> pd.DataFrame:
+    def rest(texts: pd.Series, numbers: pd.Series, sets: pd.Series, twice: pd.Series) -> pd.DataFrame:
         text, removed = list(texts), np.zeros(len(texts), np.int32)
-        some = [i for i, (t, x) in enumerate(zip(text, numbers, strict=True)) if t is not None and x is not None]
-        for base, part in X.chunks(pa.array([text[i] for i in some], pa.string())):
-            row, _, _, _, s = line_sets(part)
-            start = np.searchsorted(row, np.arange(len(part) + 1))
-            for j in range(len(part)):
-                i = some[base + j]
-                own, out = s[start[j] : start[j + 1]].view(np.int64), text[i].split("\n")
-                drop = {int(a) for a, b in zip(numbers[i], sets[i], strict=True) if a < len(out) and own[a] == b}
-                text[i] = "\n".join(x for a, x in enumerate(out) if a not in drop)
-                removed[i] = len(drop)
+        for i, (t, drop) in enumerate(zip(text, numbers, strict=True)):
+            if t is None or drop is None:
+                continue
+            lines = t.split("\n")
+            if twice[i]:  # rows of one doc_id: only the lines that were meant
+                own = line_sets(pa.array(lines, pa.large_string()))[2].view(np.int64)
+                drop = [a for a, b in zip(drop, sets[i], strict=True) if a < len(lines) and own[a] == b]
+            drop = set(drop)
+            text[i] = "\n".join(x for a, x in enumerate(lines) if a not in drop)
+            removed[i] = len(drop)
         return pd.DataFrame({"text": pd.Series(text, dtype=object), "removed": removed})
 
     joined = docs.join(small(gone, bulk, 1), docs["doc_id"].cast("bigint") == F.col("__d"), "left")
-    joined = joined.withColumn("__new", rest(F.col("text").cast("string"), F.col("__gone.l"), F.col("__gone.s")))
+    joined = joined.withColumn("__new", rest(F.col("text").cast("string"), F.col("__gone.l"), F.col("__gone.s"), F.coalesce("__twice", F.lit(False))))
     columns = [F.col("__new.text").alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.col("__new.removed").alias("__removed"))

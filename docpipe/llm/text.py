@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -105,3 +108,37 @@ def chunks(column: pa.Array, most: int = 8 << 20) -> list[tuple[int, pa.Array]]:
 def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     """An array<bigint> column."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def varints(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Numbers from 0, seven bits a byte, the last byte of each with the high bit: new offsets, and the bytes."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 9))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max()) if len(size) else 0):
+        at = size > k
+        out[ends[at] - 1 - k] = (values[at] >> (7 * k)) & 0x7F
+    out[ends - 1] |= 0x80
+    return np.r_[0, ends][offsets], out.tobytes()
+
+
+def unvarints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw & 0x80)
+    first = np.r_[0, last[:-1] + 1] if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    size = last - first + 1
+    for k in range(int(size.max()) if len(size) else 0):
+        at = size > k
+        out[at] |= (raw[last[at] - k] & np.uint8(0x7F)).astype(np.int64) << (7 * k)
+    return out
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system, where there is a way."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
