@@ -4,7 +4,8 @@ The vocabulary is a .model file, given by its path. A piece's log probability is
 model; a BPE file has only merge ranks, which become log probabilities by Zipf's law, -ln(rank) - ln(sum of 1 / rank).
 Scores are in 1/256, so that sums are exact. The encoding is the most probable sequence of pieces, of equals the one that
 has the longer last piece; a character without a piece costs 10 more than the worst piece and becomes its UTF-8 bytes. This
-is what the sentencepiece library gives for the same pieces in a unigram model. It isn't the sequence that the BPE merges
+is what the sentencepiece library gives for the same pieces in a unigram model (of texts of some 5,000 pieces and more its
+32-bit sums are rounded, and choose otherwise between near equals). It isn't the sequence that the BPE merges
 of the same file give: for that, run them.
 
 Texts are cut where no piece can reach over: before a space that follows something else, and between two characters that
@@ -37,10 +38,12 @@ from pyspark.sql import types as T
 
 from . import text as X
 from .shared import BROADCAST_BYTES
+from .text import unvarints, varints
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN = 0xFFFF
+ROWS = 512  # documents that are put together at once
 
 
 @dataclass(frozen=True)
@@ -82,95 +85,92 @@ class Chunk:
     parts: np.ndarray
     unit_offsets: np.ndarray
     unit_ids: np.ndarray
-    units: list[str]
+    units: pa.Array
+
+
+COMMON = 1 << 11
+_common: dict[int, np.ndarray] = {}
+
+
+def common(vocab: Vocabulary) -> np.ndarray:
+    """Whether two characters below COMMON are adjacent in the vocabulary, as a table."""
+    key = hash(vocab.adjacent.tobytes())
+    if key not in _common:
+        table = np.zeros(COMMON * COMMON, bool)
+        a, b = vocab.adjacent >> 21, vocab.adjacent & 0x1FFFFF
+        own = (a < COMMON) & (b < COMMON)
+        table[a[own] * COMMON + b[own]] = True
+        _common.clear()
+        _common[key] = table
+    return _common[key]
+
+
+def spaced(offsets: np.ndarray, at: np.ndarray, own: pa.Array, content: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets, parts and contents where texts with runs of spaces have parts of their own: a run belongs to the part after it."""
+    row = X.owners(offsets)
+    odd = np.unique(row[at == pc.index(own, "").as_py()])
+    number: dict[str, int] = {}
+    new = {}
+    for r in odd:
+        out, run = [], 0
+        for p in content.take(pa.array(at[offsets[r] : offsets[r + 1]])).to_pylist():
+            if p == SPACE:
+                run += 1
+            elif p[:1] == SPACE or not run:
+                out.append(SPACE * run + p)
+                run = 0
+            else:
+                out += [SPACE * run, p]
+                run = 0
+        if run and (out or run > 1):
+            out.append(SPACE * run)
+        new[r] = np.array([len(content) + number.setdefault(p, len(number)) for p in out], np.int64)
+    length = np.diff(offsets)
+    pieces, last = [], 0
+    for r in odd:
+        pieces += [at[offsets[last] : offsets[r]], new[r]]
+        length[r] = len(new[r])
+        last = r + 1
+    return np.r_[0, np.cumsum(length)], np.concatenate([*pieces, at[offsets[last] :]]), pa.concat_arrays([content, pa.array(list(number), pa.large_string())])
 
 
 def chunk(texts: pa.Array, vocab: Vocabulary) -> Chunk:
     """The texts, null being '', in units of which pieces are made."""
     plain = pc.replace_substring(pc.replace_substring(texts, SPACE, " "), "\n", f" {SPACE}\n {SPACE}")
     offsets, parts = X.split(plain, " ")
+    del plain
     coded = parts.dictionary_encode()
-    at, own = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
-    empty = own.index("") if "" in own else -1
+    del parts
+    at, own = np.asarray(coded.indices), coded.dictionary
     # A part's spaces: one before it, none if it begins with the mark that line breaks leave.
-    content = [p[1:] if p[:1] == SPACE else SPACE + p for p in own]
-    if empty >= 0:
-        # Runs of spaces belong to the part after them: such texts get parts of their own.
-        row = X.owners(offsets)
-        odd = np.unique(row[at == empty])
-        number = {p: i for i, p in enumerate(content)}
-        new = {}
-        for r in odd:
-            out, run = [], 0
-            for p in (content[i] for i in at[offsets[r] : offsets[r + 1]]):
-                if p == SPACE:
-                    run += 1
-                elif p[:1] == SPACE or not run:
-                    out.append(SPACE * run + p)
-                    run = 0
-                else:
-                    out += [SPACE * run, p]
-                    run = 0
-            if run and not (len(out) == 0 and run == 1):
-                out.append(SPACE * run)
-            new[r] = np.array([number.setdefault(p, len(number)) for p in out], np.int64)
-        content = list(number)
-        length = np.diff(offsets)
-        length[odd] = [len(new[r]) for r in odd]
-        ends = np.flatnonzero(np.isin(np.arange(len(texts)), odd))
-        pieces, last = [], 0
-        for r in ends:
-            pieces += [at[offsets[last] : offsets[r]], new[r]]
-            last = r + 1
-        at = np.concatenate([*pieces, at[offsets[last] :]])
-        offsets = np.r_[0, np.cumsum(length)]
+    space = pa.scalar(SPACE, pa.large_string())
+    content = pc.if_else(pc.starts_with(own, SPACE), pc.utf8_slice_codeunits(own, 1), pc.binary_join_element_wise(space, own, pa.scalar("", pa.large_string())))
+    if pc.index(own, "").as_py() >= 0:
+        offsets, at, content = spaced(offsets, at, own, content)
     # Frequent parts get small numbers.
     order = np.argsort(-np.bincount(at, minlength=len(content)), kind="stable")
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    at, content = place[at], [content[i] for i in order]
-    whole = "".join(content)
-    ends = np.cumsum([len(p) for p in content]) if content else np.empty(0, np.int64)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    at, content = place[at], content.take(pa.array(order))
+    ends = np.cumsum(np.asarray(pc.binary_length(content)).astype(np.int64))
+    whole = b"" if not len(content) or not ends[-1] else content.buffers()[2].to_pybytes()[: ends[-1]]
+    first = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)  # bytes where characters begin
+    points = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
     cut = np.ones(len(points), bool)
     if len(points) > 1:
-        pair = (points[:-1] << 21) | points[1:]
-        k = np.minimum(np.searchsorted(vocab.adjacent, pair), len(vocab.adjacent) - 1)
-        cut[1:] = vocab.adjacent[k] != pair
-        starts = ends[:-1]
-        cut[starts[starts < len(points)]] = True
-    begin = np.flatnonzero(cut)
-    stop = np.r_[begin[1:], len(points)] if len(points) else begin
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(whole[a:b], len(number)) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), np.int64, len(begin))
+        low = np.minimum(points, COMMON - 1)
+        cut[1:] = ~common(vocab)[low[:-1] * COMMON + low[1:]]
+        rare = np.flatnonzero((points[:-1] >= COMMON - 1) | (points[1:] >= COMMON - 1))
+        cut[rare + 1] = ~np.isin((points[rare] << 21) | points[rare + 1], vocab.adjacent)
+        cut[np.searchsorted(first, ends[:-1][ends[:-1] < len(whole)])] = True
+    begin = first[cut]
+    strings = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.r_[begin, len(whole)].astype(np.int64)), pa.py_buffer(whole)])
+    units = strings.dictionary_encode()
     unit_offsets = np.searchsorted(begin, np.r_[0, ends])
-    units = list(number)
-    key = xxhash.xxh3_64_intdigest("\0".join(units).encode("utf-8", "surrogatepass") + at.tobytes() + offsets.tobytes())
-    return Chunk(int(np.uint64(key).astype(np.int64)), offsets, at, unit_offsets, ids, units)
-
-
-def varints(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Numbers from 0, seven bits a byte, the last byte of each with the high bit: new offsets, and the bytes."""
-    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(5):
-        at = size > k
-        out[ends[at] - 1 - k] = (values[at] >> (7 * k)) & 0x7F
-    out[ends - 1] |= 0x80
-    return np.r_[0, ends][offsets], out.tobytes()
-
-
-def unvarints(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    last = np.flatnonzero(raw & 0x80)
-    first = np.r_[0, last[:-1] + 1] if len(last) else last
-    out = np.zeros(len(last), np.int64)
-    size = last - first + 1
-    for k in range(int(size.max()) if len(size) else 0):
-        at = size > k
-        out[at] |= (raw[last[at] - k] & np.uint8(0x7F)).astype(np.int64) << (7 * k)
-    return out
+    name = xxhash.xxh3_64(whole)
+    name.update(at.tobytes())
+    name.update(offsets.tobytes())
+    return Chunk(int(np.uint64(name.intdigest()).astype(np.int64)), offsets, at, unit_offsets, np.asarray(units.indices).astype(np.int64), units.dictionary)
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
@@ -180,30 +180,30 @@ def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
 
 
 def edges(units: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """b, w, o, x: an edge of the lattice of unit w, packed: end, 31 - length, score, id. o is carried by one edge of a unit."""
+    """b, u, t, x: an edge of the lattice of unit u, packed: end, 31 - length, score, id. t, the unit and where it occurs, is carried by one edge of a unit."""
     n = vocab.longest
     if n > 31:
         raise ValueError("pieces of at most 31 characters can be packed")
-    spread = units.select("b", "w", "o", F.length("w").alias("n"), F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("s"))
-    spread = spread.select("b", "w", "s", F.when(F.col("s") == 0, F.col("o")).alias("o"), F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("n") - F.col("s")))).alias("l"))
-    spread = spread.select("b", "w", "s", "l", F.when(F.col("l") == 1, F.col("o")).alias("o"), F.expr("substring(w, s + 1, l)").alias("p"))
+    spread = units.select("b", "u", "w", F.struct("w", "o").alias("t"), F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("s"))
+    spread = spread.select("b", "u", "w", "s", F.when(F.col("s") == 0, F.col("t")).alias("t"), F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.length("w") - F.col("s")))).alias("l"))
+    spread = spread.select("b", "u", "s", "l", F.when(F.col("l") == 1, F.col("t")).alias("t"), F.expr("substring(w, s + 1, l)").alias("p"))
     joined = spread.join(piece_table(units.sparkSession, vocab), "p", "left").where("id is not null or l = 1")
     packed = F.expr(
         f"shiftleft(cast(s + l as bigint), 35) | shiftleft(cast(31 - l as bigint), 30) | shiftleft(cast(coalesce(score, {vocab.unknown}) + 8192 as bigint), 16) | cast(coalesce(id, {UNKNOWN}) as bigint)"
     )
-    return joined.select("b", "w", "o", packed.alias("x"))
+    return joined.select("b", "u", "t", packed.alias("x"))
 
 
 def folded(lattice: DataFrame, vocab: Vocabulary) -> DataFrame:
     """o, ids: the best pieces of each unit. The fold has for each place the score, and how it is reached: start and id."""
-    grouped = lattice.groupBy("b", "w").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("o", True).alias("o"))
+    grouped = lattice.groupBy("u", "b").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("t", True).alias("t"))
+    end, start = "cast(shiftright(x, 35) as int)", "(cast(shiftright(x, 35) as int) - 31 + cast(shiftright(x, 30) & 31 as int))"
+    total = f"(a[{start}].score + cast(shiftright(x, 16) & 16383 as int) - 8192)"
+    edge = f"array(named_struct('score', {total}, 's', {start}, 'id', cast(x & 65535 as int)))"
     best = grouped.select(
-        "w", "o",
-        F.expr("""aggregate(xs, array(named_struct('score', 0, 's', -1, 'id', -1)), (a, x) ->
-            transform(array(named_struct('e', cast(shiftright(x, 35) as int), 's', cast(shiftright(x, 35) - 31 + (shiftright(x, 30) & 31) as int),
-                'c', cast((shiftright(x, 16) & 16383) - 8192 as int), 'id', cast(x & 65535 as int))), y ->
-              if(size(a) = y.e, concat(a, array(named_struct('score', a[y.s].score + y.c, 's', y.s, 'id', y.id))),
-                if(a[y.s].score + y.c > a[y.e].score, concat(slice(a, 1, y.e), array(named_struct('score', a[y.s].score + y.c, 's', y.s, 'id', y.id))), a)))[0])""").alias("a"),
+        F.col("t.w").alias("w"), F.col("t.o").alias("o"),
+        F.expr(f"""aggregate(xs, array(named_struct('score', 0, 's', -1, 'id', -1)), (a, x) ->
+            if(size(a) = {end}, concat(a, {edge}), if({total} > a[{end}].score, concat(slice(a, 1, {end}), {edge}), a)))""").alias("a"),
     )
     way = best.select(
         "w", "o",
@@ -221,21 +221,32 @@ def folded(lattice: DataFrame, vocab: Vocabulary) -> DataFrame:
     return way.select("o", F.when(known, F.expr("transform(way, y -> y.id)")).otherwise(spelt).alias("ids"))
 
 
-def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | None = None) -> DataFrame:
-    """doc_id, ids: one row for each row of docs."""
+def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | None = None, back: str | None = None) -> DataFrame:
+    """doc_id, ids: one row for each row of docs. back: path of a model, to add `decoded`, the text that the ids stand for."""
     vocab = vocab or vocabulary()
+    spell = Speller(back) if back else None
     spark = docs.sparkSession
-    n = partitions or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t"))
 
+    def lean(make):
+        """Batches of make, with memory given back at the end: idle workers stay."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pa.set_memory_pool(pa.system_memory_pool())
+            yield from make(batches)
+            X.trimmed()
+
+        return run
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in X.chunks(batch.column(1), 48 << 20):
+            for _, part in X.chunks(batch.column(1), 12 << 20):
                 c = chunk(part, vocab)
-                bucket = np.array([xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass")) % n for u in c.units], np.int64)
+                bucket = (X.string_hashes(c.units) % np.uint64(n)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(n + 1))
-                words = pa.array(c.units, pa.string()).take(pa.array(order))
+                words = c.units.take(pa.array(order)).cast(pa.string())
                 some = np.flatnonzero(np.diff(ends))
                 offsets = pa.array(np.r_[ends[some], len(order)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -245,7 +256,7 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | N
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, part in X.chunks(batch.column(1), 48 << 20):
+            for base, part in X.chunks(batch.column(1), 12 << 20):
                 c = chunk(part, vocab)
                 at, data = varints(c.offsets, c.parts)
                 codes = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
@@ -312,27 +323,16 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | N
                 elif kind[a] == 2:
                     table = expanded(told_, unvarints(data[a].as_py()), sizes)
                 else:
-                    start, size, flat = table
-                    codes = data.slice(a, b - a)
-                    raw = b"".join(codes.to_pylist())
-                    ends = np.cumsum(np.asarray(pc.binary_length(codes)))
-                    parts = unvarints(raw)
-                    last = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0x80)
-                    offsets = np.r_[0, np.searchsorted(last, ends - 1, "right")] if len(last) else np.zeros(b - a + 1, np.int64)
-                    each = size[parts]
-                    total = np.r_[0, np.cumsum(each)]
-                    out = flat[np.repeat(start[parts] - total[:-1], each) + np.arange(total[-1])]
-                    null = pa.array(kind[a:b] == 4)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(total[offsets].astype(np.int32)), pa.array(out.astype(np.int32)), mask=null)], ["doc_id", "ids"]
-                    )
-
-    units = own.mapInArrow(number, "b int, c bigint, w array<string>, k array<int>").repartition(n, "b")
+                    for lo in range(a, b, ROWS):
+                        out = spelled(table, ids.slice(lo, min(ROWS, b - lo)), data.slice(lo, min(ROWS, b - lo)), kind[lo : min(lo + ROWS, b)] == 4)
+                        yield out if spell is None else pa.RecordBatch.from_arrays([*out.columns, spell(out.column(1))], ["doc_id", "ids", "decoded"])
+
+    units = own.mapInArrow(lean(number), "b int, c bigint, w array<string>, k array<int>").repartition(n, "b")
     units = units.select("b", "c", F.explode(F.arrays_zip("w", "k")).alias("u")).select("b", F.col("u.w").alias("w"), F.struct("c", F.col("u.k").alias("k")).alias("o"))
-    units = units.groupBy("b", "w").agg(F.collect_list("o").alias("o"))
-    words = folded(edges(units, vocab), vocab).mapInArrow(told, "c bigint, kind int, i bigint, data binary")
-    rows = own.mapInArrow(coded, "c bigint, kind int, i bigint, data binary")
-    return words.unionByName(rows).repartition(n, "c").sortWithinPartitions("c", "kind").mapInArrow(joined, "doc_id bigint, ids array<int>")
+    units = units.groupBy("b", "w").agg(F.collect_list("o").alias("o")).withColumn("u", F.monotonically_increasing_id())
+    words = folded(edges(units, vocab), vocab).mapInArrow(lean(told), "c bigint, kind int, i bigint, data binary")
+    rows = own.mapInArrow(lean(coded), "c bigint, kind int, i bigint, data binary")
+    return words.unionByName(rows).repartition(n, "c").sortWithinPartitions("c", "kind").mapInArrow(lean(joined), "doc_id bigint, ids array<int>" + ", decoded string" * bool(back))
 
 
 def expanded(blobs: list[bytes], units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,20 +358,53 @@ def expanded(blobs: list[bytes], units: np.ndarray, sizes: np.ndarray) -> tuple[
     return ends[:-1], np.diff(ends), out
 
 
+def spelled(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: pa.Array, codes: pa.Array, null: np.ndarray) -> pa.RecordBatch:
+    """Documents' ids from the pieces of their chunk's parts and the numbers of their parts."""
+    start, size, flat = table
+    raw = b"".join(codes.to_pylist())
+    ends = np.cumsum(np.asarray(pc.binary_length(codes)))
+    parts = unvarints(raw)
+    last = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0x80)
+    offsets = np.r_[0, np.searchsorted(last, ends - 1, "right")] if len(last) else np.zeros(len(ids) + 1, np.int64)
+    each = size[parts]
+    total = np.r_[0, np.cumsum(each)]
+    out = flat[np.repeat(start[parts] - total[:-1], each) + np.arange(total[-1])]
+    lists = pa.ListArray.from_arrays(pa.array(total[offsets].astype(np.int32)), pa.array(out.astype(np.int32)), mask=pa.array(null))
+    return pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "ids"])
+
+
+class Speller:
+    """Turns arrays of ids into texts."""
+
+    def __init__(self, path: str):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = model.get_piece_size()
+        table = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.size)]
+        self.length = np.array([len(x) for x in table] + [0])
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+
+    def __call__(self, column: pa.Array) -> pa.Array:
+        out = []
+        for lo in range(0, len(column), ROWS):
+            part = column.slice(lo, ROWS)
+            own = np.asarray(part.flatten())
+            own = np.where((own >= 0) & (own < self.size), own, self.size)
+            each = self.length[own]
+            total = np.r_[0, np.cumsum(each)]
+            raw = self.data[np.repeat(self.start[own] - total[:-1], each) + np.arange(total[-1])].tobytes()
+            at = total[np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part), 0)))]]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+            out += [None if no else t[1:] if t[:1] == " " else t for t, no in zip(texts, np.asarray(part.is_null()), strict=True)]
+        return pa.array(out, pa.string())
+
+
 def decode(ids: Column, path: str = MODEL) -> Column:
     """The text that ids stand for; null for null."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    size = model.get_piece_size()
-    table = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
-
-    @F.pandas_udf(T.StringType())
-    def spelt(column: pd.Series) -> pd.Series:
-        def one(x: np.ndarray | None) -> str | None:
-            if x is None:
-                return None
-            text = b"".join(table[i] for i in x if 0 <= i < size).decode("utf-8", "replace")
-            return text[1:] if text[:1] == " " else text
+    spell = Speller(path)
 
-        return pd.Series([one(x) for x in column], dtype=object)
+    @F.arrow_udf(T.StringType())
+    def spelt(column: pa.Array) -> pa.Array:
+        return spell(column)
 
     return spelt(ids)
