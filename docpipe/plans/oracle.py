@@ -1 +1,355 @@
-ORACLE: dict[str, str] = {}
+"""The same results in DuckDB's SQL, written from what the operators mean: windows where Spark splits arrays, and the like."""
+
+from __future__ import annotations
+
+from ..operators import rules
+from ..sources.corpora import CORPORA
+
+W = r"([\p{L}\p{N}_]+)"
+
+
+def q(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def prelude(*names: str) -> str:
+    """Corpora, and of the Markdown ones lines with their state of code fences, as common tables."""
+    out = []
+    for name in names:
+        out.append(f"{name} as ({CORPORA[name].strip()})")
+    return "with " + ",\n".join(out)
+
+
+def masked(source: str, out: str = "ml", tilde: bool = True) -> str:
+    """Lines with inside; marker lines left out."""
+    mark = "(starts_with(ltrim(text, ' ' || chr(9)), '```')" + (" or starts_with(ltrim(text, ' ' || chr(9)), '~~~'))" if tilde else ")")
+    return f""",
+{out}0 as (select path, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from {source}),
+{out}1 as (select *, {mark} as mark from {out}0),
+{out}2 as (select *, sum(case when mark then 1 else 0 end) over (partition by path order by line) % 2 = 1 as inside from {out}1),
+{out} as (select path, cast(line as int) as line, text, inside from {out}2 where not mark)"""
+
+
+def exploded(source: str, column: str, pattern: str, groups: int, keep: str) -> str:
+    """keep, o (from 0), g1, g2: matches of a pattern in a column."""
+    pick = ", ".join(f"unnest(regexp_extract_all({column}, {q(pattern)}, {k})) as g{k}" for k in range(1, groups + 1))
+    return f"select {keep}, unnest(range(0, len(regexp_extract_all({column}, {q(pattern)}, 1)))) as o, {pick} from {source}"
+
+
+INLINE = r"\[([^\]]*)\]\(([^)]+)\)"
+USE = r"\[([^\]]*)\]\[([^\]]*)\]"
+DEFINITION = r"(?m)^\[([^\]]+)\]:\s*([^\n]+)$"
+ATTRIBUTE = r"""(?:href|src)=["']([^"']+)["']"""
+KIND = r"""case when starts_with(target, 'mailto:') then 'email' when regexp_matches(target, '^https?://') then 'external' when starts_with(target, '#') then 'anchor'
+when regexp_matches(target, '(?i)\.(png|jpe?g|gif|svg|webp)$') then 'image' else 'internal' end"""
+
+
+def slug(x: str) -> str:
+    """The anchor of a heading."""
+    x = rf"regexp_replace({x}, '\[([^\]]+)\]\([^)]*\)', '\1', 'g')"
+    x = rf"regexp_replace({x}, '[\x{{10000}}-\x{{10ffff}}\x{{2000}}-\x{{3300}}\x{{fe0f}}\x{{200d}}]', '', 'g')"
+    x = rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+', '-', 'g')"
+    return f"trim(regexp_replace({x}, '-+', '-', 'g'), '-')"
+
+
+def links(source: str = "d_docs") -> str:
+    """Tables inl, defs, refs, att, links, anchors."""
+    return (
+        masked(source)
+        + f""",
+pr as (select * from ml where not inside),
+inl as (select path, line, 0 as kind, cast(o as int) as ordinal, g1 as text, regexp_extract(trim(g2), '^\\S+') as target from ({exploded("pr", "text", INLINE, 2, "path, line")}) where trim(g2) <> ''),
+defs as (select path, lower(g1) as ref, trim(arg_max(g2, o)) as target from ({exploded(source, "content", DEFINITION, 2, "path")}) group by 1, 2),
+uses as (select path, line, cast(o as int) as ordinal, g1 as text, lower(case when g2 = '' then g1 else g2 end) as ref from ({exploded("pr", "text", USE, 2, "path, line")})),
+refs as (select u.path, line, 1 as kind, ordinal, text, target from uses u join defs d on u.path = d.path and u.ref = d.ref),
+att as (select path, line, 2 as kind, cast(o as int) as ordinal, '' as text, g1 as target from ({exploded("pr", "text", ATTRIBUTE, 1, "path, line")})),
+links as (select *, {KIND} as type from (select * from inl union all select * from refs union all select * from att)),
+anchors as (select distinct path, anchor from (select path, {slug("g1")} as anchor from ({exploded(source, "content", r"(?m)^#{1,6}[ 	]+([^" + chr(92) + r"n]+)$", 1, "path")})
+  union all select path, g1 from ({exploded(source, "content", r'''(?:id|name)=["']([^"']+)["']''', 1, "path")})) where anchor <> ''),
+missing as (select path, line, target, lower(substr(target, 2)) as anchor from links l where type = 'anchor' and not exists (select 1 from anchors a where a.path = l.path and lower(a.anchor) = lower(substr(l.target, 2)))),
+folder as (select path, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as dir from {source}),
+places as (select path as c, true as page from {source} union all select distinct array_to_string(string_split(path, '/')[1:k], '/'), false from {source}, range(1, 9) t(k) where k < len(string_split(path, '/'))),
+int0 as (select l.*, dir, split_part(target, '#', 1) as file, case when contains(target, '#') then substr(target, position('#' in target) + 1) else '' end as fragment from links l join folder using (path) where type = 'internal'),
+seg as (select *, starts_with(file, '/') as route, list_filter(string_split(dir || '/' || file, '/'), lambda s: s not in ('', '.')) as s from int0),
+rel as (select *, list_reduce(list_transform(s, lambda x: [x]), lambda a, b: case when b[1] = '..' and len(a) > 0 and a[len(a)] <> '..' then a[1:len(a) - 1] else list_concat(a, b) end) as parts from seg),
+rel2 as (select *, case when not route then array_to_string(parts, '/') end as loc from rel),
+res as (select *, coalesce(not route and (starts_with(loc, '../') or loc = '..'), false) as outside, case when trim(case when route then file else loc end, '/') = '' then 'index' else trim(case when route then file else loc end, '/') end as nm from rel2),
+cand as (select path, line, kind, ordinal, unnest([loc, nm || '.md', nm || '.mdx', nm || '/index.md', nm || '/index.mdx']) as c, unnest([0, 1, 2, 3, 4]) as r from res where not outside),
+hit as (select path, line, kind, ordinal, arg_min(cand.c, r) as resolved from cand join places p on cand.c = p.c where r = 0 or page group by 1, 2, 3, 4),
+resolved as (select path, line, kind, ordinal, target, fragment, outside, resolved, case when outside or resolved is null then 'broken' else 'ok' end as status, dir, file, loc from res left join hit using (path, line, kind, ordinal)),
+orphans as (select path from {source} d where not regexp_matches(path, '(README\\.md|index\\.mdx?)$') and path not in (select array_to_string(parts, '/') from rel))"""
+    )
+
+
+def link(select: str) -> str:
+    return prelude("d_docs") + links() + "\n" + select
+
+
+TS = [
+    ("function", r"^export\s+(?:async\s+)?function\s+" + W), ("const_arrow", r"^export\s+(?:const|let)\s+" + W + r"\s*="), ("class", r"^export\s+(?:abstract\s+)?class\s+" + W), ("interface", r"^export\s+interface\s+" + W),
+    ("type", r"^export\s+type\s+" + W), ("default_function", r"^export\s+default\s+(?:async\s+)?function\s+" + W), ("default_class", r"^export\s+default\s+class\s+" + W),
+    ("module_exports_fn", r"^(?:module\.)?exports\." + W + r"\s*=\s*function"), ("module_exports_val", r"^(?:module\.)?exports\." + W + r"\s*="),
+]
+OTHER = [
+    ("python", "function", r"^(?:async\s+)?def\s+([a-z][\p{L}\p{N}_]+)\s*\("), ("python", "class", r"^class\s+" + W), ("go", "function", r"^func\s+([A-Z][\p{L}\p{N}_]+)\s*\("),
+    ("go", "function", r"^func\s+\([^)]+\)\s+([A-Z][\p{L}\p{N}_]+)\s*\("), ("go", "type", r"^type\s+([A-Z][\p{L}\p{N}_]+)\s+(?:struct|interface)"),
+]
+QUOTES = q("^(" + '"' * 3 + "|" + "'" * 3 + ")")
+SKIPPED = r"\.(test|spec|stories)\.[jt]sx?$|_test\.(py|go)$|test_[\p{L}\p{N}_]+\.py$|(conftest|setup)\.py$|\.d\.ts$"
+
+
+def items() -> str:
+    """Tables items and status."""
+    union = " union all ".join(
+        [f"select path, line, language, {q(k)} as kind, regexp_extract(text, {q(p)}, 1) as name from cl where language = 'typescript'" for k, p in TS]
+        + [f"select path, line, language, {q(k)}, regexp_extract(text, {q(p)}, 1) from cl where language = {q(l)}" for l, k, p in OTHER]
+    )
+    verb = r"""(?:app|router)\.\s*(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]"""
+    flask = r"""@(?:app|bp|blueprint)\.\s*(?:route|get|post|put|delete)\s*\(\s*['"]([^'"]+)"""
+    fast = r"""@(?:app|router)\.\s*(?:get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)"""
+    return (
+        prelude("d_docs", "d_files")
+        + f""",
+lang as (select path, content, case when regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs)$') then 'typescript' when path like '%.py' then 'python' when path like '%.go' then 'go' end as language from d_files where not regexp_matches(path, {q(SKIPPED)})),
+cl as (select path, language, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from lang where language is not null),
+named as (select * from ({union}) where length(name) >= 4
+  union all select path, line, language, 'endpoint', upper(g1) || ' ' || g2 from ({exploded("cl", "text", verb, 2, "path, line, language")}) where language = 'typescript'
+  union all select distinct path, line, language, 'endpoint', 'ROUTE ' || g1 from (select path, line, language, g1 from ({exploded("cl", "text", flask, 1, "path, line, language")}) union all select path, line, language, g1 from ({exploded("cl", "text", fast, 1, "path, line, language")})) where language = 'python'),
+close as (select n.path, n.line, max(c.line) as cline from named n join cl c on c.path = n.path and c.line < n.line and c.line >= n.line - 9 and trim(c.text) = '*/' group by 1, 2),
+opened as (select k.path, k.line, k.cline, max(o.line) as oline from close k join cl o on o.path = k.path and o.line < k.cline and o.line >= k.cline - 29 and starts_with(trim(o.text), '/**') group by 1, 2, 3),
+js as (select distinct o.path, o.line from opened o join cl b on b.path = o.path and b.line > o.oline and b.line < o.cline where regexp_replace(trim(b.text), '^\\*\\s*', '') <> ''),
+near as (select path, line, lag(text) over w as before, trim(coalesce(lead(text) over w, '')) as n1, trim(coalesce(lead(text, 2) over w, '')) as n2 from cl window w as (partition by path order by line)),
+items as (select n.path, cast(n.line as int) as line, name,
+  case when n.language = 'typescript' and kind in ('function', 'const_arrow', 'default_function') then case when n.path like '%.tsx' and regexp_matches(name, '^[A-Z]') then 'component' else 'function' end when kind = 'default_class' then 'class' else kind end as type,
+  coalesce(case when kind = 'endpoint' then false when n.language = 'typescript' then js.path is not null
+    when n.language = 'python' then regexp_matches(n1, {QUOTES}) or ((n1 = '' or n1 like '#%') and regexp_matches(n2, {QUOTES})) else starts_with(trim(before), '//') end, false) as has_inline_docs
+  from named n join near x on x.path = n.path and x.line = n.line left join js on js.path = n.path and js.line = n.line),
+term as (select *, case when type = 'endpoint' then regexp_replace(name, '^[A-Z]+ ', '') else name end as term from items),
+spans as (select distinct unnest(list_slice(string_split(content, '`'), 2, len(string_split(content, '`')) - 1)) as span from d_docs),
+spoken as (select distinct t.term from (select distinct term from term where length(term) >= 6) t join spans on contains(span, t.term)),
+status as (select path, line, name, type, has_inline_docs, case when length(t.term) < 6 then 'skipped' when s.term is not null then 'documented' when has_inline_docs then 'partial' else 'undocumented' end as status from term t left join spoken s on s.term = t.term),
+counted as (select *, regexp_replace(path, '/[^/]*$', '') as directory from status where status <> 'skipped')
+"""
+    )
+
+
+def by(key: str) -> str:
+    return f"select {key}, count(*) filter (status = 'documented') as documented, count(*) filter (status = 'partial') as partial, count(*) as total, cast(round_even(count(*) filter (status = 'documented') / count(*) * 100, 0) as int) as percentage from counted group by {key}"
+
+
+PREFIX = r"^(?:feat|fix|refactor|chore|docs|perf|ci|test)(?:\([^)]*\))?!?:\s*"
+CONVENTIONAL = r"^([\p{L}\p{N}_]+)(?:\(([^)]*)\))?(!)?:\s*(.+)$"
+
+
+def commits() -> str:
+    """Tables cls (classified), refs, entries."""
+    rules_ = [
+        (r"\bbreaking[\s_-]?change\b", "Breaking Changes"), (r"\b(security|vulnerabilit|cve-)\b", "Security"), (r"^(add|implement|introduce|create|support)\b", "Added"),
+        (r"^(fix|resolve|patch|correct|handle|repair)\b", "Fixed"), (r"^(remove|delete|drop|deprecate|disable)\b", "Removed"),
+    ]
+    keyword = "case " + " ".join(f"when regexp_matches(plain, {q(p)}) then {q(c)}" for p, c in rules_) + " else 'Changed' end"
+    return (
+        prelude("d_commits")
+        + f""",
+kinds as (select * from (values ('feat', 'Added'), ('fix', 'Fixed'), ('refactor', 'Changed'), ('perf', 'Changed'), ('docs', 'Documentation'), ('style', 'skip'), ('test', 'skip'), ('chore', 'skip'), ('ci', 'skip'), ('build', 'skip')) t(type, kind)),
+parts as (select *, regexp_extract(subject, {q(CONVENTIONAL)}, 3) = '!' as marked, regexp_extract(subject, {q(CONVENTIONAL)}, 4) as rest, lower(regexp_extract(subject, {q(CONVENTIONAL)}, 1)) as type,
+  regexp_matches(subject || chr(10) || body, 'BREAKING[\\s_-]?CHANGE') as loud, lower(trim(regexp_replace(subject, '^[A-Z]+-\\d+[:\\s]+\\s*', ''))) as plain from d_commits),
+cls as (select pos, hash, author, subject, body, case when kind is not null then case when marked or loud then 'Breaking Changes' else kind end when loud then 'Breaking Changes' else {keyword} end as category,
+  case when kind is not null then rest else subject end as description from parts left join kinds using (type)),
+refs as (select pos, list_sort(list_distinct(regexp_extract_all(subject || chr(10) || body, '(?:^|\\s|Merge pull request )#(\\d+)', 1))) as prs,
+  list_sort(list_distinct(regexp_extract_all(subject || chr(10) || body, '(?i)(?:fix(?:es)?|close[sd]?|resolve[sd]?)\\s+#(\\d+)', 1))) as issues from d_commits),
+norm as (select c.*, prs, issues, regexp_replace(trim(lower(regexp_replace(description, '\\s*\\(#\\d+\\)\\s*$', ''))), {q(PREFIX)}, '') as n from cls c join refs using (pos) where category not in ('skip', 'Documentation')),
+grp as (select category, n, min(pos) as pos, arg_min(hash, pos) as hash, arg_min(description, pos) as d, list_sort(list_distinct(flatten(list(prs)))) as prs, list_sort(list_distinct(flatten(list(issues)))) as issues from norm group by 1, 2),
+txt as (select *, regexp_replace(regexp_replace(d, {q(PREFIX)}, ''), '\\s*\\(#\\d+\\)\\s*$', '') as t from grp),
+entries as (select category, pos, hash, upper(substr(t, 1, 1)) || substr(t, 2) || case when len(prs) > 0 then ' (' || array_to_string(list_transform(prs, lambda x: '#' || x), ', ') || ')' else '' end as text, array_to_string(prs, ',') as prs, array_to_string(issues, ',') as issues from txt)
+"""
+    )
+
+
+SETTING = r"""(?:config|settings|options)\s*[\[.]?\s*['"]""" + W
+ENVIRONMENT = r"""(?:process\.env\.|os\.environ\.get\(|os\.getenv\()['"]?""" + W
+ENDPOINT = r"""(?:app|router)\.\s*(?:get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]"""
+
+
+def diff(*more: str) -> str:
+    """Tables chg, def, alg, ends, env, trk, and with d_docs men."""
+    names = " union all ".join(
+        [rf"select path, line, d, sign, case when regexp_matches(path, '\.(ts|tsx|js|jsx)$') then regexp_extract(d, '^[-+]\s*(?:export\s+)?(?:async\s+)?function\s+{W}', 1) when path like '%.py' then regexp_extract(d, '^[-+]\s*(?:async\s+)?def\s+{W}', 1) when path like '%.go' then regexp_extract(d, '^[-+]\s*func\s+(?:\([^)]+\)\s+)?{W}', 1) else '' end as symbol from chg"]
+        + [f"select path, line, d, sign, regexp_extract(d, {q(p)}, 1) from chg" for p in (r"^[-+]\s*export\s+(?:const|let|var)\s+" + W, r"^[-+]\s*(?:export\s+)?class\s+" + W, r"^[-+]\s*(?:export\s+)?(?:interface|type)\s+" + W)]
+    )
+    return (
+        prelude("d_diff", *more)
+        + f""",
+chg as (select path, line, d, substr(d, 1, 1) as sign from d_diff where trim(d) <> '' and d[1:1] in ('+', '-') and not starts_with(d, '--- ') and not starts_with(d, '+++ ')),
+def as (select path, line, sign, symbol from ({names}) where length(symbol) >= 6),
+alg as (select path, symbol, case when bool_or(sign = '+') and bool_or(sign = '-') then 'modified' when bool_or(sign = '+') then 'added' else 'removed' end as change from def group by 1, 2),
+ends as (select distinct path, g1 as endpoint, sign from ({exploded("chg", "d", ENDPOINT, 1, "path, sign")})),
+env as (select distinct path, g1 as name from ({exploded("chg", "d", ENVIRONMENT, 1, "path")})),
+alls as (select symbol, path, change as type from alg where change <> 'added' union all select endpoint, path, 'removed_endpoint' from ends where sign = '-' union all select name, path, 'env_var' from env),
+each as (select symbol, type, array_to_string(list_sort(list(distinct path)), ', ') as source from alls where length(symbol) >= 6 group by 1, 2),
+rk as (select *, row_number() over (partition by symbol order by case type when 'env_var' then 0 when 'removed_endpoint' then 1 when 'modified' then 2 else 3 end) as n from each),
+trk as (select symbol, type, case when starts_with(type, 'removed') then 'high' else 'medium' end as severity, source from rk where n = 1)"""
+        + (
+            masked("d_docs", "bl", tilde=False)
+            + r""",
+esc as (select symbol, severity, regexp_escape(symbol) as e from trk),
+hits as (select path, line, symbol, severity, inside, regexp_matches(text, '\b' || e || '\b') as w, regexp_matches(text, '`[^`]*' || e || '[^`]*`|' || e || '\s*[(=]') as c from bl join esc on contains(text, symbol) where trim(text) <> ''),
+men as (select path, line, symbol, severity, case when inside then case when w then 'code_block' end when c then 'inline_code' when w then 'prose' end as context from hits where case when inside then w else c or w end),
+stl as (select d.path, coalesce(sum(case when severity = 'high' then 3 when severity is not null then 1 end), 0) as score, count(severity) as findings from d_docs d left join (select * from men where context <> 'prose') m using (path) group by 1),
+st as (select path, case when score >= 3 then 'stale' when score > 0 then 'likely_stale' else 'fresh' end as status, cast(score as bigint) as score, findings from stl)
+"""
+            if "d_docs" in more
+            else ""
+        )
+    )
+
+
+FRONT = r"(?s)\A---[^\S\n]*\n(.*?)\n---[^\S\n]*\n"
+
+
+def paged(source: str) -> str:
+    field = lambda n: rf"nullif(trim(regexp_extract(fm, '(?m)^{n}[^\S\n]*:[^\S\n]*[''\"]?([^\n]+?)[''\"]?[^\S\n]*$', 1)), '')"
+    return f""",
+hd as (select path, content, substr(content, 1, 5000) as head from {source}),
+fm as (select *, regexp_extract(head, {q(FRONT)}, 1) as fm, regexp_replace(head, {q(FRONT)}, '') as rest from hd),
+ls as (select path, list_filter(list_transform(string_split(rest, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 20 and not starts_with(x, '#') and not starts_with(x, '```')) as w from fm),
+pgs as (select f.path, coalesce({field("title")}, nullif(trim(regexp_extract(head, '(?m)^#\\s+([^\\n]+)$', 1)), '')) as title, coalesce({field("description")}, substr(w[1], 1, 200), '') as description, strlen(content) as bytes from fm f join ls using (path))
+"""
+
+
+SECTION = """case when regexp_matches(p, '/api/|/reference/|/endpoints?/|/rest/|/graphql/') then 'API' when regexp_matches(p, '/guides?/|/tutorials?/|/how-?to/|/walkthrough/|/getting-started') then 'Guides'
+when regexp_matches(p, '/blog/|/_posts/|/articles/|/news/|/changelog/|/release-notes?/') then 'Blog' when regexp_matches(p, '/examples?/|/samples?/|/quickstart/|/starter/|/demo/|/recipes?/') then 'Examples' else 'Docs' end"""
+
+
+def indexed() -> str:
+    words = ["getting-started", "quickstart", "installation", "overview", "introduction", "index", "readme"]
+    prio = "case " + " ".join(f"when contains(lower(below), {q(w)}) then {k}" for k, w in enumerate(words)) + " else 7 end"
+    return (
+        prelude("d_docs")
+        + paged("d_docs")
+        + f""",
+bw as (select *, regexp_replace(path, '^docs/', '') as below from pgs),
+sc as (select *, {SECTION} as section from (select *, '/' || lower(below) as p from bw)),
+idx as (select path, section, cast(list_position(['Docs', 'API', 'Guides', 'Blog', 'Examples'], section) as int) as section_rank, {prio} as priority, title, description,
+  rtrim('https://example.com/' || array_to_string(list_transform(string_split(lower(replace(regexp_replace(regexp_replace(below, '\\.[^./]*$', ''), '/index$', ''), ' ', '-')), '/'), lambda s: regexp_replace(s, '^[0-9]+-', '')), '/'), '/') as url, bytes from sc)
+"""
+    )
+
+
+def prose() -> str:
+    return prelude("d_prose") + masked("d_prose") + ",\npr as (select path, line, text from ml where not inside)"
+
+
+def words(rows: list[tuple], names: str, fold: bool) -> str:
+    """Lines that hold a word of a table as a word; RE2 has no look-around, so its neighbours are named."""
+    values = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in rows)
+    text = "lower(text)" if fold else "text"
+    return f"select path, line, t.* from pr join (values {values}) t({names}) on contains({text}, word) and regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(word) || '($|[^\\p{{L}}\\p{{N}}_])')"
+
+
+HEURISTICS = ", ".join(f"struct_pack(rule := {q(n)}, severity := {q(s)}, needs_review := {str(r).lower()}, hit := regexp_matches(text, {q(p)}))" for n, p, s, r in rules.HEURISTICS)
+HEADS = r", hs as (select path, line, length(regexp_extract(text, '^(#{1,6})\s+(.+)$', 1)) as level, trim(regexp_extract(text, '^(#{1,6})\s+(.+)$', 2)) as title from pr where regexp_matches(text, '^#{1,6}\s+.+$'))"
+FENCES = "select path, cast(count(*) as int) as n from (select *, row_number() over (partition by path order by line) as k from {0}1 where mark) where k % 2 = 1 and trim(regexp_replace(text, '^\\s*(```|~~~)', '')) = '' group by 1"
+TERM_ROWS = [(v, t) for t, own in rules.TERMS for v in own]
+TERMS = f"""hits as ({words(TERM_ROWS, "word, term", False)}), good as ({words([(t,) for t, _ in rules.TERMS], "word", False)}),
+terms as (select path, line, word as found, term from hits h where not exists (select 1 from good g where g.path = h.path and g.line = h.line and contains(g.word, h.word) and length(g.word) > length(h.word)))"""
+PROHIBITED = words(rules.PROHIBITED, "word, suggestion", True)
+VERBS = words([("to " + n, "to " + v) for n, v in rules.VERB_FORMS], "word, suggestion", True)
+BANNED = words([(b,) for b in rules.BANNED], "word", True)
+SPELLING = words(rules.SPELLING, "word, suggestion", True)
+KNOWN = "[" + ", ".join(q(t) for t, _ in rules.TERMS) + "]"
+TITLES = f"select path, line, title, cast(n as int) as n from (select *, len(list_filter(regexp_split_to_array(title, '\\s+')[2:], lambda w: regexp_matches(w, '^[A-Z][a-z]') and not list_contains({KNOWN}, w))) as n from hs) where n > 0"
+SKIPS = "select path, line, before, level from (select *, lag(level) over (partition by path order by line) as before from hs) where level - before > 1"
+CALLOUTS = "select path, line, kind from (select *, regexp_extract(text, '^>\\s*\\*\\*([A-Za-z]+)\\*?\\*?:', 1) as kind from pr) where kind not in ('', 'Note', 'Tip', 'Important', 'Warning', 'Caution')"
+VAGUE = f"select path, line, g1 as link from ({exploded('pr', 'text', INLINE, 1, 'path, line')}) where lower(trim(g1)) in ('click here', 'here', 'this link', 'this page')"
+
+_code = "element_at([200, 301, 302, 307, 308, 403, 404, 410, 429, 500], event_id % 10 + 1)".replace("element_at(", "list_extract(")
+ORACLE = {
+    "S_lines": prelude("d_docs") + masked("d_docs") + " select path, cast(line as int) as line, text from ml0",
+    "S06_excluded_files": prelude("d_files") + f" select path from d_files where regexp_matches(path, {q(SKIPPED)})",
+    "S12_safe_ranges": r"select span, count(*) as n, regexp_matches(span, '^[a-zA-Z0-9_.~^/\-]+(\.\.[a-zA-Z0-9_.~^/\-]+)?$') as safe from (select list_extract(['v1.0..HEAD', 'abc~5', 'a b', 'x;rm', '--all', 'a..b..c'], event_id % 6 + 1) as span from events) group by 1",
+    "L01_inline_links": link("select * from inl"),
+    "L02_definitions": link("select * from defs"),
+    "L03_reference_links": link("select * from refs"),
+    "L04_attribute_links": f"with ln as (select page_id, unnest(string_split(html, chr(10))) as text, unnest(range(1, len(string_split(html, chr(10))) + 1)) as line from pages) select page_id, cast(line as int) as line, cast(o as int) as ordinal, target, {KIND} as type from (select page_id, line, o, g1 as target from ({exploded('ln', 'text', ATTRIBUTE, 1, 'page_id, line')}))",
+    "L05_code_fences": prelude("d_docs") + masked("d_docs") + " select * from ml",
+    "L06_L07_links": link("select * from links"),
+    "L07_page_link_types": f"select {KIND} as type, count(*) as links, count(distinct target) as targets from (select unnest(regexp_extract_all(html, {q(ATTRIBUTE)}, 1)) as target from pages) group by 1",
+    "L08_slugs": f"select page_id, {slug("regexp_extract(html, '<title>([^<]*)</title>', 1)")} as slug from pages",
+    "L09_anchors": link("select * from anchors"),
+    "L10_missing_anchors": link("select * from missing"),
+    "L11_anchor_suggestions": link("select m.path, line, m.anchor, coalesce(array_to_string((list_sort(list(a.anchor) filter (starts_with(lower(a.anchor), m.anchor[1:5]))))[1:3], ','), '') as suggested, coalesce(array_to_string((list_sort(list(a.anchor)))[1:10], ','), '') as available from missing m left join anchors a using (path) group by 1, 2, 3"),
+    "L12_L13_L14_L15_resolved": link("select path, line, kind, ordinal, target, fragment, outside, resolved, status from resolved"),
+    "L16_http_status": f"select {_code} as code, case when {_code} = 200 then 'ok' when {_code} in (301, 302, 307, 308) then 'redirect' when {_code} = 403 then 'indeterminate' when {_code} = 429 then 'rate_limited' when {_code} in (404, 410) then 'broken' else 'unknown' end as status, count(*) as n from events group by 1, 2",
+    "L18_missing_fragments": link("select path, line, target, resolved from resolved r where status = 'ok' and fragment <> '' and not exists (select 1 from anchors a where a.path = r.resolved and lower(a.anchor) = lower(r.fragment))"),
+    "L19_page_suggestions": link("""select path, line, target, ordinal, coalesce((select array_to_string((list_sort(list(nm)))[1:3], ',') from (select regexp_replace(f.path, '^.*/', '') as nm from folder f where f.dir = regexp_replace(r.loc, '/[^/]*$', '') and lower(regexp_replace(f.path, '^.*/', ''))[1:3] = lower(regexp_replace(r.loc, '^.*/', ''))[1:3])), '') as suggested
+from resolved r where status = 'broken' and not outside and not starts_with(target, '/')"""),
+    "L20_orphans": link("select * from orphans"),
+    "L21_link_summary": link("select count(*) as total, " + ", ".join(f"count(*) filter (type = '{k}') as {k}" for k in ("internal", "anchor", "image", "external", "email")) + ", (select count(*) from resolved where status = 'broken') as broken_internal, (select count(*) from missing) as broken_anchor, (select count(*) from orphans) as orphans from links"),
+    "L22_request_budget": link("select path, line, kind, ordinal, target, row_number() over (order by path, line, kind, ordinal) <= 50 as checked from links where type = 'external'"),
+    "F01_changed_lines": diff() + " select * from chg",
+    "F02_F03_F08_defined": diff() + " select * from def",
+    "F04_endpoints": diff() + " select * from ends",
+    "F05_environment": diff() + " select * from env",
+    "F06_settings": diff() + f" select distinct path, g1 as name from ({exploded('chg', 'd', SETTING, 1, 'path')}) where length(g1) >= 6",
+    "F07_algebra": diff() + " select * from alg",
+    "F09_F10_tracked": diff() + " select * from trk",
+    "F11_F12_F13_F14_mentions": diff("d_docs") + " select * from men",
+    "F15_F16_stale": diff("d_docs") + " select * from st",
+    "F17_findings": diff("d_docs") + " select * from (select path, cast(row_number() over (partition by path order by line, symbol) as int) as n, line, symbol, context from men where context <> 'prose') where n <= 10",
+    "F18_summary": diff("d_docs") + " select count(*) filter (status = 'stale') as stale, count(*) filter (status = 'likely_stale') as likely_stale, count(*) filter (status = 'fresh') as fresh, (select count(*) from trk) as symbols_tracked from st",
+    "X01_X10_items": items() + "select * from items",
+    "X11_X13_status": items() + "select * from status",
+    "X14_by_type": items() + by("type"),
+    "X15_by_directory": items() + by("directory") + " order by total desc, directory limit 15",
+    "X16_overall": items() + "select count(*) filter (status = 'documented') as documented, count(*) filter (status = 'partial') as partial, count(*) filter (status = 'undocumented') as undocumented, count(*) as total, cast(round_even(count(*) filter (status = 'documented') / count(*) * 100, 0) as int) as percentage from counted",
+    "X17_primary_language": items() + "select language from lang where language is not null group by 1 order by count(*) desc, list_position(['typescript', 'python', 'go'], language) limit 1",
+    "X18_docs_kind": prelude("d_docs") + " select case when bool_or(regexp_matches(content, '(?i)(api|function|class) reference')) or sum(len(regexp_extract_all(content, '`[^`\\n]+\\(\\)`'))) > 20 then 'api_reference' else 'product_docs' end as kind from d_docs",
+    "X19_X20_undocumented": items() + "select case when type = 'endpoint' then 0 when type in ('function', 'component') then 1 when type = 'class' then 2 else 3 end as priority, path, line, name, type from status where status = 'undocumented' order by 1, 2, 3, 4 limit 30",
+    "X21_stubs": items() + "select s.path, s.line, name, '## ' || name || chr(10) || chr(10) || '```' || chr(10) || trim(text) || chr(10) || '```' || chr(10) || chr(10) || 'Description.' || chr(10) || chr(10) || '### Parameters' || chr(10) || chr(10) || '### Returns' || chr(10) || chr(10) || '### Example' || chr(10) as stub from status s join cl on cl.path = s.path and cl.line = s.line where status = 'undocumented'",
+    "C01_conventional": commits() + f"select pos, type, regexp_extract(subject, {q(CONVENTIONAL)}, 2) as scope, marked as breaking, rest as description from parts where type <> ''",
+    "C02_C06_classified": commits() + "select * from cls",
+    "C07_C08_refs": commits() + "select pos, array_to_string(prs, ',') as prs, array_to_string(issues, ',') as issues from refs",
+    "C09_C10_entries": commits() + "select * from entries",
+    "C11_C13_sections": commits() + "select cast(list_position(['Breaking Changes', 'Added', 'Changed', 'Fixed', 'Removed', 'Security'], category) as int) as rank, category, string_agg('- ' || text, chr(10) order by pos) as body from entries group by 2",
+    "C12_summary": commits() + "select count(*) as analysed, count(*) filter (category in ('skip', 'Documentation')) as skipped, (select count(*) from entries) as entries from cls",
+    "P04_P07_pages": prelude("d_docs") + paged("d_docs") + "select * from pgs",
+    "P06_descriptions": "with src as (select doc_id || '.md' as path, text as content from documents)" + paged("src") + "select path, description, bytes from pgs",
+    "P08_sections": f"select page_id, {SECTION} as section, regexp_matches(url, '(?i)^https?://[^/?#]+') as safe from (select *, '/' || lower(regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1)) as p from pages)",
+    "P08_P11_index": indexed() + "select * from idx",
+    "P12_P13_totals": prelude("d_docs") + " select count(*) as files, cast(round_even(sum(strlen(content)) / 1024, 0) as bigint) as kb, count(*) <= 20 and sum(strlen(content)) <= 200 * 1024 as full_export from d_docs",
+    "P15_rendered": indexed() + "select section_rank, section, string_agg('- [' || title || '](' || url || ')' || case when description <> '' then ': ' || description else '' end, chr(10) order by priority, lower(path), path) as body from idx group by 1, 2",
+    "T01_T02_banned": prose() + f" select path, line, word as phrase from ({BANNED})",
+    "T03_T06_heuristics": prose() + f" select path, line, x.rule, x.severity, x.needs_review from (select path, line, unnest([{HEURISTICS}]) as x from pr) where x.hit",
+    "T07_title_case": prose() + HEADS + TITLES.join((" ", "")),
+    "T08_skipped_levels": prelude("d_docs") + masked("d_docs") + ", pr as (select path, line, text from ml where not inside)" + HEADS + " " + SKIPS,
+    "T09_several_titles": prose() + HEADS + " select path, count(*) as n from hs where level = 1 group by 1 having count(*) > 1",
+    "T10_bare_fences": prelude("d_docs") + masked("d_docs") + " " + FENCES.format("ml"),
+    "T14_spelling": prose() + f" select path, line, word as found, suggestion from ({SPELLING})",
+    "T15_callouts": prose() + " " + CALLOUTS,
+    "T16_vague_links": prose() + " " + VAGUE,
+    "T17_own_site_links": prose() + f" select path, line, g2 as target from ({exploded('pr', 'text', INLINE, 2, 'path, line')}) where starts_with(g2, 'https://docs.example.com')",
+    "T20_fixed": prose() + r" select path, line, fixed from (select *, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\p{L}])In order to ', '\1To ', 'g'), '(^|[^\p{L}])in order to ', '\1to ', 'g'), '(?i)please note that ', '', 'g') as fixed from pr) where fixed <> text",
+    "T21_profile": prose() + r" select path, count(*) filter (regexp_matches(text, '(?i)(^|[^\p{L}])your?([^\p{L}]|$)')) as second_person, count(*) filter (regexp_matches(text, '(?i)(^|[^\p{L}])(users?|one|they)([^\p{L}]|$)')) as third_person, count(*) filter (regexp_matches(text, '^\s*[0-9]+\. ')) as numbered, count(*) filter (regexp_matches(text, '^\s*[-*+] ')) as bulleted from pr group by 1",
+    "T22_compliance": prose() + HEADS + f""", v as (select path, 'high' as s from ({BANNED}) union all select path, x.severity from (select path, unnest([{HEURISTICS}]) as x from pr) where x.hit
+union all select path, 'medium' from ({TITLES}) union all select path, 'medium' from ({SKIPS}) union all select path, 'medium' from (select path from hs where level = 1 group by 1 having count(*) > 1)
+union all select path, 'medium' from ({FENCES.format("ml")}) union all select path, 'low' from ({SPELLING}) union all select path, 'low' from ({CALLOUTS}) union all select path, 'high' from ({VAGUE}))
+select d.path, count(*) filter (s = 'high') as high, count(*) filter (s = 'medium') as medium, count(*) filter (s = 'low') as low, count(*) filter (s in ('high', 'medium')) = 0 as compliant from d_prose d left join v using (path) group by 1""",
+    "M01_M04_terms": prose() + f", {TERMS} select * from terms",
+    "M05_verb_forms": prose() + f" select path, line, word as found, suggestion from ({VERBS})",
+    "M07_steps": prose() + " select path, line, verb, suggestion from (select *, lower(regexp_extract(text, '^\\s*[0-9]+\\. ([A-Za-z]+)', 1)) as verb from pr) join (values " + ", ".join(f"({q(a)}, {q(b)})" for a, b in rules.AVOIDED) + ") t(verb, suggestion) using (verb)",
+    "M10_prohibited": prose() + f" select path, line, word as found, suggestion from ({PROHIBITED})",
+    "M11_small_numbers": prose() + r" select path, line, word from (select *, regexp_extract(text, '(?:^|[^\p{L}\p{N}_.])[1-9] ([a-z]+)', 1) as word from pr) where word not in ('', 'ms', 's', 'seconds', 'minutes', 'hours', 'days', 'kb', 'mb', 'gb', 'px', 'cores')",
+    "M12_inconsistent": prose() + f" select path, term, array_to_string(list_sort(list(distinct word)), '|') as variants from ({words([(v, t) for t, own in rules.TERMS for v in [t, *own]], 'word, term', False)}) group by 1, 2 having count(distinct word) > 1",
+    "M14_term_report": prose() + f""", {TERMS}, v as (select path, 'e' as s from ({PROHIBITED}) union all select path, 'w' from terms union all select path, 'i' from ({VERBS}))
+select d.path, count(*) filter (s = 'e') as errors, count(*) filter (s = 'w') as warnings, count(*) filter (s = 'i') as infos, count(*) filter (s in ('e', 'w')) = 0 as compliant from d_prose d left join v using (path) group by 1""",
+    "M16_quick_checks": prose() + " select path, x.c as check, count(*) as n from (select path, unnest([" + ", ".join(f"struct_pack(c := {q(n)}, hit := regexp_matches(text, {q(p)}))" for n, p in rules.QUICK) + "]) as x from pr) where x.hit group by 1, 2",
+    "V03_by_category": prelude("d_findings") + " select line::json ->> 'category' as category, count(*) as findings, count(distinct line::json ->> 'rule_id') as rules from d_findings group by 1",
+    "V03_by_file": prelude("d_findings") + " select line::json ->> 'file' as file, count(*) as findings, count(distinct line::json ->> 'rule_id') as rules from d_findings group by 1",
+    "V04_patch": prelude("d_patch") + """, g as (select *, sum(case when starts_with(line, '+++ ') then 1 else 0 end) over (order by pos) as k from d_patch)
+select file, count(*) filter (starts_with(line, '@@')) as hunks, count(*) filter (line[1:1] = '+' and not starts_with(line, '+++ ')) as added, count(*) filter (line[1:1] = '-' and not starts_with(line, '--- ')) as removed
+from (select *, first_value(regexp_extract(line, '^\\+\\+\\+ (?:b/)?(.*)$', 1)) over (partition by k order by pos) as file from g where k > 0) group by 1""",
+}
+ORACLE["T07_title_case"] = prose() + HEADS + " " + TITLES
