@@ -7,8 +7,8 @@ such a class has suffixes from distinct pages, the words are covered. Covered wo
 what is left between them are the unique runs, one a line. A longer repeated substring is covered by its overlapping runs.
 
 The stream of a host is sorted in one task as long as it has at most `most` words. Beyond that the suffixes of the host are
-sorted by the cluster: runs of `least` words are keyed by 64-bit hashes, which classes of a suffix array at that depth are,
-and the pages whose runs are in a class of several pages are joined by shuffles. Both give the same result.
+sorted by the cluster: its suffix array to that depth is sharded by the hash of a suffix's first `least` words, and a shard
+sorts the hashes that batches of pages send, each once. Both give the same result, but for a chance of 2**-56 for two runs.
 
 Defined results: a null html gives null text, one without words ''; neither covers anything. Pages of a null url, or one
 without a host, are of the host ''. Rows of the same page_id are one page when repeats across pages are sought, so a
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .shared import written
+from .shared import BROADCAST_BYTES, small, written
+from .text import unvarints, varints
 
 U = np.uint64
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -107,18 +108,8 @@ def rebuilt(pages: pa.RecordBatch, offsets: np.ndarray, parts: pa.Array, gone: n
     )
 
 
-def identity(pages: pa.RecordBatch | pa.Table) -> pa.Array:
-    """A number for each page: of page_id, or of url and text where it is null."""
-    ids = pages.column(0)
-    known = np.asarray(ids.is_valid())
-    h = X.mix(np.asarray(ids.fill_null(0)).astype(np.int64).view(U))
-    with np.errstate(over="ignore"):
-        other = X.mix(X.string_hashes(X.filled(pages.column(1))) + U(3) * X.string_hashes(X.filled(pages.column(3))) + U(1))
-    return np.where(known, h, other)
-
-
 def in_one_task(pages: DataFrame, least: int) -> DataFrame:
-    """Rows of hosts that each fit in a task: page_id, url, host, text."""
+    """Rows of hosts that each fit in a task: page_id, url, host, text, page."""
 
     def sort(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -127,7 +118,7 @@ def in_one_task(pages: DataFrame, least: int) -> DataFrame:
         if not keep.all():
             parts = parts.filter(pa.array(keep))
             offsets = np.r_[0, np.cumsum(keep)][offsets]
-        _, page = np.unique(identity(table), return_inverse=True)
+        _, page = np.unique(np.asarray(table.column(4)), return_inverse=True)
         page = np.repeat(page.astype(np.int32), np.diff(offsets))
         # Stretches of one page that follow each other still need a mark between them.
         stretch = X.owners(offsets).astype(np.int32)
@@ -138,52 +129,130 @@ def in_one_task(pages: DataFrame, least: int) -> DataFrame:
     return pages.groupBy("host").applyInArrow(sort, SCHEMA)
 
 
-def by_cluster(pages: DataFrame, least: int) -> DataFrame:
-    """The same for hosts of any size: runs are keyed by hashes and meet by shuffles. Only runs that repeat come back."""
-    keyed = pages.withColumn("row", F.monotonically_increasing_id())
-    keyed = written(keyed, "large-hosts")
+def windows(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Offsets and words of pages (page_id, url, host, text, ...); row and 56-bit hash, with the host, of each run of `least` words."""
+    offsets, parts = X.split(X.filled(batch.column(3)))
+    keep = np.asarray(pc.binary_length(parts)) > 0
+    parts = parts.filter(pa.array(keep))
+    offsets = np.r_[0, np.cumsum(keep)][offsets]
+    row, g = X.grams(offsets, X.hashes(parts, False)[0], least)
+    with np.errstate(over="ignore"):
+        g = X.mix(g + X.string_hashes(X.filled(batch.column(2)))[row])
+    return offsets, parts, row, g >> U(8)
+
 
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-        offsets, parts = X.split(X.filled(batch.column(3)))
-        keep = np.asarray(pc.binary_length(parts)) > 0
-        parts = parts.filter(pa.array(keep))
-        offsets = np.r_[0, np.cumsum(keep)][offsets]
-        h = X.hashes(parts, False)[0]
-        row, g = X.grams(offsets, h, least)
-        with np.errstate(over="ignore"):
-            g = X.mix(g + X.string_hashes(X.filled(batch.column(2)))[row])
-        return offsets, parts, row, g
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, _, row, g = read(batch)
-            page = identity(batch)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(page.view(np.int64)), batch.column(4).take(pa.array(row))], ["g", "page", "row"])
+def by_cluster(pages: DataFrame, least: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The same for hosts of any size, the suffixes' classes being found by the cluster.
 
-    names = keyed.select("page_id", "url", "host", "text", "row")
-    runs_ = names.mapInArrow(suffixes, "g bigint, page bigint, row bigint")
-    shared = runs_.groupBy("g").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("g")
-    hit = runs_.join(shared, "g", "left_semi").groupBy("row").agg(F.collect_set("g").alias("gs"))
+    A batch of pages sends its distinct runs once, as sorted and packed 56-bit hashes, with whether several of its pages have
+    them; a run that two batches have, or several pages of one, repeats. Pages of which there are several rows send theirs
+    with the page, so that a page doesn't meet itself. The runs that repeat come back to all pages if they take at most
+    most_bytes, else by a join to the rows that have them.
+    """
+    counts = pages.groupBy("host", "page").count().where("count > 1").select("host", "page", F.lit(True).alias("twice"))
+    counts = written(counts, "twice")
+    keyed = pages.join(small(counts, 40), ["host", "page"], "left").select("page_id", "url", "host", "text", "page", F.coalesce("twice", F.lit(False)).alias("twice"))
+    n = max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, row, g = windows(batch, least)
+            page, twice = np.asarray(batch.column(4)), np.asarray(batch.column(5))[row]
+            own = np.unique(g[twice])
+            pairs = np.unique(np.stack([g[twice].view(np.int64), page[row[twice]]], 1), axis=0) if len(own) else np.empty((0, 2), np.int64)
+            order = np.argsort(g[~twice], kind="stable")
+            h, r = g[~twice][order], row[~twice][order]
+            new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
+            start = np.flatnonzero(new)
+            several = np.maximum.reduceat(r, start) > np.minimum.reduceat(r, start) if len(start) else np.empty(0, bool)
+            h = h[start]
+            bucket = (h >> U(40)) % U(n) if len(h) else h
+            order = np.argsort(bucket, kind="stable")
+            h, several, bucket = h[order], several[order], bucket[order].astype(np.int64)
+            cut = np.searchsorted(bucket, np.arange(n + 1))
+            where = ((pairs[:, 0].view(U) if len(pairs) else pairs[:, 0].astype(U)) >> U(40)) % U(n)
+            rows = []
+            for k in range(n):
+                a, b = cut[k], cut[k + 1]
+                mine = pairs[where == U(k)] if len(pairs) else pairs
+                if b > a or len(mine):
+                    rows.append((k, steps(h[a:b]), np.packbits(several[a:b]).tobytes(), mine.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["k", "h", "several", "pairs"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of a bucket's runs that distinct pages have. A hash is in one bucket, a bucket in one partition."""
+        hashes, hit, pairs = [], [], []
         for batch in batches:
-            offsets, parts, row, g = read(batch)
-            out = np.zeros(len(parts) + 1, np.int64)
-            sets = batch.column(5)
-            before = np.cumsum(np.minimum(np.diff(offsets), least - 1)) - np.minimum(np.diff(offsets), least - 1)
+            for h, several, mine in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                own = unsteps(h)
+                hashes.append(own)
+                hit.append(own[np.unpackbits(np.frombuffer(several, np.uint8))[: len(own)].astype(bool)])
+                pairs.append(np.frombuffer(mine, np.int64).reshape(-1, 2))
+        if not hashes:
+            return
+        distinct = np.unique(np.concatenate(pairs), axis=0)[:, 0].view(U).copy() if sum(map(len, pairs)) else np.empty(0, U)
+        every = np.sort(np.concatenate([*hashes, distinct]))
+        out = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *hit]))
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["g"])
+
+    shards = keyed.mapInArrow(X.lean(packed), "k int, h binary, several binary, pairs binary").repartition(n, "k")
+    again = written(shards.mapInArrow(X.lean(repeated), "g bigint"), "repeated")
+
+    def without(batch: pa.RecordBatch, has) -> pa.RecordBatch:
+        offsets, parts, row, g = windows(batch, least)
+        length = np.minimum(np.diff(offsets), least - 1)
+        at = np.flatnonzero(has(row, g))
+        start = at + (np.cumsum(length) - length)[row[at]]
+        edge = np.zeros(len(parts) + 1, np.int32)
+        edge[start] += 1
+        np.subtract.at(edge, start + least, 1)
+        return rebuilt(batch, offsets, parts, np.cumsum(edge[:-1]) > 0)
+
+    if 8 * again.count() <= most_bytes:
+        known = np.sort(again.toArrow().column(0).to_numpy().view(U))
+
+        def cut_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def has(row: np.ndarray, g: np.ndarray) -> np.ndarray:
+                if not len(known):
+                    return np.zeros(len(g), bool)
+                return known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+
+            for batch in batches:
+                yield without(batch, has)
+
+        return keyed.mapInArrow(X.lean(cut_known), SCHEMA)
+    rows = written(keyed.withColumn("row", F.monotonically_increasing_id()), "large-hosts")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, row, g = windows(batch, least)
+            yield pa.RecordBatch.from_arrays([batch.column(6).take(pa.array(row)), pa.array(g.view(np.int64))], ["row", "g"])
+
+    def cut_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(6)
             own = np.repeat(np.arange(len(batch)), np.asarray(pc.fill_null(pc.list_value_length(sets), 0)))
             with np.errstate(over="ignore"):
-                keys = X.mix(np.asarray(sets.flatten()).view(U) + own.astype(U))
-                at = np.flatnonzero(np.isin(X.mix(g + row.astype(U)), keys))
-            start = at + before[row[at]]
-            np.add.at(out, start, 1)
-            np.subtract.at(out, start + least, 1)
-            yield rebuilt(batch, offsets, parts, np.cumsum(out[:-1]) > 0)
+                keys = X.mix(np.asarray(sets.flatten()).view(U) + X.mix(own.astype(U)))
+                yield without(batch, lambda row, g, keys=keys: np.isin(X.mix(g + X.mix(row.astype(U))), keys))
+
+    hit = rows.mapInArrow(X.lean(listed), "row bigint, g bigint").join(again, "g", "left_semi").groupBy("row").agg(F.collect_set("g").alias("gs"))
+    return rows.join(hit, "row", "left").select("page_id", "url", "host", "text", "page", "twice", "gs").mapInArrow(X.lean(cut_joined), SCHEMA)
+
+
+def steps(h: np.ndarray) -> bytes:
+    """Sorted hashes as differences, in varints."""
+    h = np.sort(h)
+    return varints(np.array([0, len(h)]), np.diff(h.astype(np.int64), prepend=0))[1] if len(h) else b""
+
 
-    return names.join(hit, "row", "left").select("page_id", "url", "host", "text", "row", "gs").mapInArrow(cut, SCHEMA)
+def unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(unvarints(data)).astype(U)
 
 
-def extract(pages: DataFrame, least: int = 8, most: int = 16_000_000) -> DataFrame:
+def extract(pages: DataFrame, least: int = 8, most: int = 4_000_000, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, host, text, words, removed: one row for each row of pages; words: before removal."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     own = own.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
@@ -191,6 +260,8 @@ def extract(pages: DataFrame, least: int = 8, most: int = 16_000_000) -> DataFra
     size = own.groupBy("host").agg(F.sum(F.octet_length("html")).alias("n"))
     large = [r["host"] for r in size.where(F.col("n") > 8 * most).select("host").collect()]
     texts = own.select("page_id", "url", "host", resolved(visible(F.col("html"))).alias("text"))
+    page = F.when(F.col("page_id").isNotNull(), F.xxhash64(F.lit(0), "page_id")).otherwise(F.xxhash64(F.lit(1), "url", "text"))
+    texts = texts.withColumn("page", page)
     if not large:
         return in_one_task(texts, least)
-    return in_one_task(texts.where(~F.col("host").isin(large)), least).unionByName(by_cluster(texts.where(F.col("host").isin(large)), least))
+    return in_one_task(texts.where(~F.col("host").isin(large)), least).unionByName(by_cluster(texts.where(F.col("host").isin(large)), least, most_bytes))
