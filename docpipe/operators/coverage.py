@@ -71,15 +71,15 @@ def items(files: DataFrame) -> DataFrame:
         .otherwise(F.col("x.kind"))
     )
     at = lambda k: F.trim(F.coalesce(F.get("all", F.col("p") + k), F.lit("")))
-    # The nearest line above that is exactly */, and above it an opening with a line of text between.
+    # The nearest line above that is exactly */, with only blank and comment lines between, and above it an opening; text in between.
     above = F.transform(F.reverse(F.slice("all", F.greatest(F.col("p") - 8, F.lit(1)), F.least(F.lit(9), F.col("p")))), lambda x: F.trim(x))
-    close = F.col("p") - F.array_position(above, "*/")
-    inner = F.slice("all", F.greatest(close - 28, F.lit(1)).cast("int"), F.least(F.lit(29), F.greatest(close, F.lit(0))).cast("int"))
-    trimmed = F.transform(inner, lambda x: F.trim(x))
-    last = F.size(trimmed) - F.array_position(F.transform(F.reverse(trimmed), lambda x: x.startswith("/**")), True) + 1
-    body = F.slice(trimmed, (last + 1).cast("int"), F.lit(30))
-    opened = F.exists(trimmed, lambda x: x.startswith("/**"))
-    jsdoc = (F.col("p") > 0) & (F.array_position(above, "*/") > 0) & opened & F.exists(body, lambda x: F.regexp_replace(x, r"^\*\s*", "") != "")
+    ends = F.array_position(above, "*/").cast("int")
+    calm = F.forall(F.slice(above, F.lit(1), F.greatest(ends - 1, F.lit(0))), lambda x: (x == "") | x.startswith("//") | x.startswith("*"))
+    close = F.col("p") - ends
+    inner = F.transform(F.slice("all", F.greatest(close - 28, F.lit(1)), F.least(F.lit(29), F.greatest(close, F.lit(0)))), lambda x: F.trim(x))
+    opening = F.array_position(F.transform(F.reverse(inner), lambda x: x.contains("/**")), True).cast("int")
+    body = F.slice(inner, F.greatest(F.size(inner) - opening + 1, F.lit(1)), F.lit(30))
+    jsdoc = (F.col("p") > 0) & (ends > 0) & calm & (opening > 0) & F.exists(body, lambda x: ~x.isin("", "/**", "*/", "*"))
     quote = lambda x: x.startswith('"""') | x.startswith("'''")
     quiet = lambda x: (x == "") | x.startswith("#")
     docstring = quote(at(1)) | (quiet(at(1)) & quote(at(2)))

@@ -117,9 +117,9 @@ cl as (select path, language, unnest(string_split(content, chr(10))) as text, un
 named as (select * from ({union}) where length(name) >= 4
   union all select path, line, language, 'endpoint', upper(g1) || ' ' || g2 from ({exploded("cl", "text", verb, 2, "path, line, language")}) where language = 'typescript'
   union all select distinct path, line, language, 'endpoint', 'ROUTE ' || g1 from (select path, line, language, g1 from ({exploded("cl", "text", flask, 1, "path, line, language")}) union all select path, line, language, g1 from ({exploded("cl", "text", fast, 1, "path, line, language")})) where language = 'python'),
-close as (select n.path, n.line, max(c.line) as cline from named n join cl c on c.path = n.path and c.line < n.line and c.line >= n.line - 9 and trim(c.text) = '*/' group by 1, 2),
-opened as (select k.path, k.line, k.cline, max(o.line) as oline from close k join cl o on o.path = k.path and o.line < k.cline and o.line >= k.cline - 29 and starts_with(trim(o.text), '/**') group by 1, 2, 3),
-js as (select distinct o.path, o.line from opened o join cl b on b.path = o.path and b.line > o.oline and b.line < o.cline where regexp_replace(trim(b.text), '^\\*\\s*', '') <> ''),
+close as (select n.path, n.line, max(c.line) as cline from named n join cl c on c.path = n.path and c.line < n.line and c.line >= n.line - 9 and trim(c.text) = '*/' and not exists (select 1 from cl m where m.path = n.path and m.line > c.line and m.line < n.line and trim(m.text) <> '' and not starts_with(trim(m.text), '//') and not starts_with(trim(m.text), '*')) group by 1, 2),
+opened as (select k.path, k.line, k.cline, max(o.line) as oline from close k join cl o on o.path = k.path and o.line < k.cline and o.line >= k.cline - 29 and contains(o.text, '/**') group by 1, 2, 3),
+js as (select distinct o.path, o.line from opened o join cl b on b.path = o.path and b.line >= o.oline and b.line <= o.cline where trim(b.text) not in ('', '/**', '*/', '*')),
 near as (select path, line, lag(text) over w as before, trim(coalesce(lead(text) over w, '')) as n1, trim(coalesce(lead(text, 2) over w, '')) as n2 from cl window w as (partition by path order by line)),
 items as (select n.path, cast(n.line as int) as line, name,
   case when n.language = 'typescript' and kind in ('function', 'const_arrow', 'default_function') then case when n.path like '%.tsx' and regexp_matches(name, '^[A-Z]') then 'component' else 'function' end when kind = 'default_class' then 'class' else kind end as type,

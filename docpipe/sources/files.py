@@ -22,8 +22,8 @@ def read(spark: SparkSession, root: str, extensions: str, pruned: tuple[str, ...
     """path (below root), content, size: whole files, with line ends as \\n, bytes that aren't UTF-8 replaced, pruned folders left out."""
     glob = "*.{" + extensions + "}" if "," in extensions else f"*.{extensions}"
     raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    top = Path(root).resolve().as_uri().rstrip("/")
-    path = F.expr(f"url_decode(regexp_replace(_metadata.file_path, '^{re.escape(top)}/', ''))")
+    top = Path(root).resolve().as_posix().strip("/")
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/+\\Q" + top + "\\E/", "")
     out = raw.select(path.alias("path"), normalised(F.col("value")).alias("content"), F.col("_metadata.file_size").alias("size"))
     out = out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, pruned))))
     return out if hidden else out.where(~F.col("path").rlike(r"(^|/)\.[^/]*$"))
