@@ -62,3 +62,11 @@ def folder(path: Column) -> Column:
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """All matches of a group."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def holding(texts: DataFrame, text: str, terms: DataFrame, term: str, n: int = 6) -> DataFrame:
+    """texts joined with the terms, of n characters at least, that a text holds: by an equi-join of the last n characters of terms with the substrings of texts."""
+    at = F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))))
+    tails = terms.withColumn("__tail", F.right(term, F.lit(n)))
+    pairs = texts.withColumn("__tail", F.explode(at)).join(tails, "__tail").drop("__tail")
+    return pairs.where(F.col(text).contains(F.col(term)))

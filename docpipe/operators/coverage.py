@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import folder, found, lines
+from ..functions.text import folder, found, holding, lines
 
 WORD = r"([\p{L}\p{N}_]+)"
 SCRIPT = [
@@ -90,7 +90,7 @@ def items(files: DataFrame) -> DataFrame:
 def documented_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The terms that stand between two backticks of some document, wherever these are."""
     spans = docs.select(F.explode(F.expr("slice(split(content, '`', -1), 2, greatest(size(split(content, '`', -1)) - 2, 0))")).alias("span")).distinct()
-    return terms.join(spans, F.col("span").contains(F.col("term")), "left_semi")
+    return holding(spans, "span", terms, "term", SHORT_TERM).select("term").distinct()
 
 
 def status(files: DataFrame, docs: DataFrame) -> DataFrame:

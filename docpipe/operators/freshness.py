@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BACKTICKS, fenced, found
+from ..functions.text import BACKTICKS, fenced, found, holding
 
 WORD = r"([\p{L}\p{N}_]+)"
 FUNCTIONS = {
@@ -80,11 +80,11 @@ def quoted(symbol: Column) -> Column:
 def mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, line, symbol, severity, context: where pages mention symbols; in code as words, in prose as code, else as mere words.
 
-    Symbols are few beside lines: the pairs are found by `contains`, a loop over broadcast symbols if Spark finds them small
-    enough, and only what contains a symbol meets a pattern.
+    Symbols have at least LEAST characters, so the lines that hold one are found by an equi-join of their ends with the
+    lines' substrings of that length; only these meet a pattern.
     """
     text = fenced(docs, BACKTICKS).where(F.trim("text") != "")
-    pairs = text.join(symbols.select("symbol", "severity"), F.col("text").contains(F.col("symbol")))
+    pairs = holding(text, "text", symbols.select("symbol", "severity"), "symbol", LEAST)
     s = quoted(F.col("symbol"))
     whole = F.rlike("text", F.concat(F.lit(r"\b"), s, F.lit(r"\b")))
     code = F.rlike("text", F.concat(F.lit("`[^`]*"), s, F.lit("[^`]*`|"), s, F.lit(r"\s*[(=]")))

@@ -196,7 +196,7 @@ trk as (select symbol, type, case when starts_with(type, 'removed') then 'high'
             + r""",
 esc as (select symbol, severity, regexp_escape(symbol) as e from trk),
 hits as (select path, line, symbol, severity, inside, regexp_matches(text, '\b' || e || '\b') as w, regexp_matches(text, '`[^`]*' || e || '[^`]*`|' || e || '\s*[(=]') as c from bl join esc on contains(text, symbol) where trim(text) <> ''),
-men as (select path, line, symbol, severity, case when inside then case when w then 'code_block' end when c then 'inline_code' when w then 'prose' end as context from hits where case when inside then w else c or w end),
+men as materialized (select path, line, symbol, severity, case when inside then case when w then 'code_block' end when c then 'inline_code' when w then 'prose' end as context from hits where case when inside then w else c or w end),
 stl as (select d.path, coalesce(sum(case when severity = 'high' then 3 when severity is not null then 1 end), 0) as score, count(severity) as findings from d_docs d left join (select * from men where context <> 'prose') m using (path) group by 1),
 st as (select path, case when score >= 3 then 'stale' when score > 0 then 'likely_stale' else 'fresh' end as status, cast(score as bigint) as score, findings from stl)
 """
