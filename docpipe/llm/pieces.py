@@ -78,7 +78,7 @@ def vocabulary(path: str = MODEL, bpe: bool = True) -> Vocabulary:
 
 @dataclass
 class Chunk:
-    """Parts of texts: their numbers, in a row for each text; the units of each distinct part; the distinct units."""
+    """Parts of texts: their numbers, in a row for each text; the units of each distinct part; the distinct units, by bucket, and where buckets end."""
 
     key: int
     offsets: np.ndarray
@@ -86,6 +86,7 @@ class Chunk:
     unit_offsets: np.ndarray
     unit_ids: np.ndarray
     units: pa.Array
+    ends: np.ndarray
 
 
 COMMON = 1 << 11
@@ -134,8 +135,8 @@ def spaced(offsets: np.ndarray, at: np.ndarray, own: pa.Array, content: pa.Array
     return np.r_[0, np.cumsum(length)], np.concatenate([*pieces, at[offsets[last] :]]), pa.concat_arrays([content, pa.array(list(number), pa.large_string())])
 
 
-def chunk(texts: pa.Array, vocab: Vocabulary) -> Chunk:
-    """The texts, null being '', in units of which pieces are made."""
+def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
+    """The texts, null being '', in units of which pieces are made, these in n buckets by hash."""
     plain = pc.replace_substring(pc.replace_substring(texts, SPACE, " "), "\n", f" {SPACE}\n {SPACE}")
     offsets, parts = X.split(plain, " ")
     del plain
@@ -170,7 +171,12 @@ def chunk(texts: pa.Array, vocab: Vocabulary) -> Chunk:
     name = xxhash.xxh3_64(whole)
     name.update(at.tobytes())
     name.update(offsets.tobytes())
-    return Chunk(int(np.uint64(name.intdigest()).astype(np.int64)), offsets, at, unit_offsets, np.asarray(units.indices).astype(np.int64), units.dictionary)
+    bucket = (X.string_hashes(units.dictionary) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    key = int(np.uint64(name.intdigest()).astype(np.int64))
+    return Chunk(key, offsets, at, unit_offsets, place[np.asarray(units.indices)], units.dictionary.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(n + 1)))
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
@@ -229,35 +235,20 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | N
     n = partitions or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t"))
 
-    def lean(make):
-        """Batches of make, with memory given back at the end: idle workers stay."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pa.set_memory_pool(pa.system_memory_pool())
-            yield from make(batches)
-            X.trimmed()
-
-        return run
-
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in X.chunks(batch.column(1), 12 << 20):
-                c = chunk(part, vocab)
-                bucket = (X.string_hashes(c.units) % np.uint64(n)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(n + 1))
-                words = c.units.take(pa.array(order)).cast(pa.string())
-                some = np.flatnonzero(np.diff(ends))
-                offsets = pa.array(np.r_[ends[some], len(order)].astype(np.int32))
+                c = chunk(part, vocab, n)
+                some = np.flatnonzero(np.diff(c.ends))
+                offsets = pa.array(np.r_[c.ends[some], len(c.units)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), c.key)), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(order.astype(np.int32)))],
-                    ["b", "c", "w", "k"],
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), c.key)), pa.array(c.ends[some].astype(np.int32)), pa.ListArray.from_arrays(offsets, c.units.cast(pa.string()))], ["b", "c", "first", "w"]
                 )
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, part in X.chunks(batch.column(1), 12 << 20):
-                c = chunk(part, vocab)
+                c = chunk(part, vocab, n)
                 at, data = varints(c.offsets, c.parts)
                 codes = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
                 table = varints(np.array([0, len(c.unit_ids)]), c.unit_ids)[1]
@@ -327,12 +318,12 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | N
                         out = spelled(table, ids.slice(lo, min(ROWS, b - lo)), data.slice(lo, min(ROWS, b - lo)), kind[lo : min(lo + ROWS, b)] == 4)
                         yield out if spell is None else pa.RecordBatch.from_arrays([*out.columns, spell(out.column(1))], ["doc_id", "ids", "decoded"])
 
-    units = own.mapInArrow(lean(number), "b int, c bigint, w array<string>, k array<int>").repartition(n, "b")
-    units = units.select("b", "c", F.explode(F.arrays_zip("w", "k")).alias("u")).select("b", F.col("u.w").alias("w"), F.struct("c", F.col("u.k").alias("k")).alias("o"))
+    units = own.mapInArrow(X.lean(number), "b int, c bigint, first int, w array<string>").repartition(n, "b")
+    units = units.select("b", "c", "first", F.posexplode("w").alias("k", "w")).select("b", "w", F.struct("c", (F.col("first") + F.col("k")).alias("k")).alias("o"))
     units = units.groupBy("b", "w").agg(F.collect_list("o").alias("o")).withColumn("u", F.monotonically_increasing_id())
-    words = folded(edges(units, vocab), vocab).mapInArrow(lean(told), "c bigint, kind int, i bigint, data binary")
-    rows = own.mapInArrow(lean(coded), "c bigint, kind int, i bigint, data binary")
-    return words.unionByName(rows).repartition(n, "c").sortWithinPartitions("c", "kind").mapInArrow(lean(joined), "doc_id bigint, ids array<int>" + ", decoded string" * bool(back))
+    words = folded(edges(units, vocab), vocab).mapInArrow(X.lean(told), "c bigint, kind int, i bigint, data binary")
+    rows = own.mapInArrow(X.lean(coded), "c bigint, kind int, i bigint, data binary")
+    return words.unionByName(rows).repartition(n, "c").sortWithinPartitions("c", "kind").mapInArrow(X.lean(joined), "doc_id bigint, ids array<int>" + ", decoded string" * bool(back))
 
 
 def expanded(blobs: list[bytes], units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
