@@ -5,7 +5,7 @@ For each host the paths form a tree, walked from the root down. A child keeps it
 from those of its siblings together: |bad - n p| > z sqrt(n p (1 - p)) with p the parent's bad share; children that can't
 be told apart are merged into the same *. Segments after the first `depth` are one segment. The template of a page is
 host/child/child...; its purity is (good + strength * prior) / (labelled + strength), prior being the good share of
-all labels that meet a page. Templates of a purity under `threshold` are rejected.
+all labels that meet a page. Templates of a purity under `threshold` that have labelled pages are rejected.
 
 Defined results: a null url, or one without scheme and host, has template null and is never rejected, nor counted. Labels
 (page_id, bad) that are null or of unknown pages don't count; of repeated labels of a page, bad wins. Repeated pages count
@@ -51,7 +51,7 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, least: int =
         "t", "pages", "labelled", "nbad", F.when(F.col("all") > 0, (F.col("labelled") - F.col("nbad") + strength * (F.col("good") / F.nullif("all", F.lit(0)))) / (F.col("labelled") + strength)).alias("purity")
     )
     return own.join(scored, "t", "left").select(
-        "page_id", F.col("t").alias("template"), "pages", "labelled", F.col("nbad").alias("bad"), F.round("purity", 6).alias("purity"), F.coalesce(F.col("purity") < threshold, F.lit(False)).alias("rejected")
+        "page_id", F.col("t").alias("template"), "pages", "labelled", F.col("nbad").alias("bad"), F.round("purity", 6).alias("purity"), F.coalesce((F.col("purity") < threshold) & (F.col("labelled") > 0), F.lit(False)).alias("rejected")
     )
 
 
@@ -85,7 +85,7 @@ from c{k} left join k{k} on c{k}.t = k{k}.t and c{k}.c = k{k}.c)""")
 f as (select t, count(*) as pages, count(bad) as labelled, cast(coalesce(sum(bad), 0) as bigint) as nbad from o{depth} where t is not null group by 1),
 a as (select sum(labelled) - sum(nbad) as good, sum(labelled) as al from f),
 q as (select t, pages, labelled, nbad, case when al > 0 then (labelled - nbad + cast({strength} as double) * (cast(good as double) / al)) / (labelled + cast({strength} as double)) end as purity from f, a)
-select o.page_id, o.t as template, q.pages, q.labelled, q.nbad as bad, round(q.purity, 6) as purity, coalesce(q.purity < {threshold}, false) as rejected from o{depth} o left join q on o.t = q.t"""
+select o.page_id, o.t as template, q.pages, q.labelled, q.nbad as bad, round(q.purity, 6) as purity, coalesce(q.purity < {threshold} and q.labelled > 0, false) as rejected from o{depth} o left join q on o.t = q.t"""
     )
 
 
