@@ -39,8 +39,8 @@ BUCKETS = 1 << 16
 COLUMNS = "ksdlnpbe"
 WIDE = 80  # sets of more words have 128 bits
 LARGE = 16  # groups of more lines are compared as matrices, smaller ones all groups at once
-BLOCK = 1 << 20  # pairs in a matrix
-PARTNERS = 8  # of a line in a large group that are looked at before the last round
+BLOCK = 1 << 17  # pairs in a matrix
+PARTNERS = 64  # of a line in a large group that are looked at before the last round
 ROWS = 1 << 18  # lines that are compared at once, if no single group has more
 
 
@@ -79,7 +79,7 @@ def counted(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["k", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select("t").mapInArrow(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("t").mapInArrow(X.lean(count), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[r["k"]] = r["n"]
     return out
 
@@ -122,7 +122,7 @@ def prefixes(docs: DataFrame, frequency: np.ndarray, threshold: float) -> DataFr
                     list(COLUMNS),
                 )
 
-    return docs.select("d", "t").mapInArrow(cut, "k int, s bigint, d bigint, l int, n int, p int, b bigint, e bigint")
+    return docs.select("d", "t").mapInArrow(X.lean(cut), "k int, s bigint, d bigint, l int, n int, p int, b bigint, e bigint")
 
 
 def possible(threshold: float, x: dict, early: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def paired(rows: DataFrame, threshold: float, every: bool) -> DataFrame:
             yield from compare({c: np.concatenate([y[c] for y in held]) for c in COLUMNS})
 
     out = rows.repartition("k").sortWithinPartitions("k", "s", "d", "l", "p")
-    return out.mapInArrow(grouped, "d bigint, l int, s bigint, ad bigint, al int, as bigint, same boolean, more boolean")
+    return out.mapInArrow(X.lean(grouped), "d bigint, l int, s bigint, ad bigint, al int, as bigint, same boolean, more boolean")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float, most: int = 5000) -> DataFrame:
@@ -272,8 +272,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, most: int = 50
             if kept:
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(np.concatenate(kept))) for k in (3, 4, 5)], ["d", "l", "s"])
 
-    rows = docs.join(small(visits.select("d", "v"), bulk, 1), "d").select("d", "t", "v").mapInArrow(sets, "g bigint, z int, role int, d bigint, l int, s bigint, w array<bigint>")
-    return rows.repartition("g", "z").sortWithinPartitions("g", "z", "role").mapInArrow(compare, "d bigint, l int, s bigint").distinct()
+    rows = docs.join(small(visits.select("d", "v"), bulk, 1), "d").select("d", "t", "v").mapInArrow(X.lean(sets), "g bigint, z int, role int, d bigint, l int, s bigint, w array<bigint>")
+    return rows.repartition("g", "z").sortWithinPartitions("g", "z", "role").mapInArrow(X.lean(compare), "d bigint, l int, s bigint").distinct()
 
 
 def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -325,7 +325,9 @@ def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             drop = set(drop)
             text[i] = "\n".join(x for a, x in enumerate(lines) if a not in drop)
             removed[i] = len(drop)
-        return pd.DataFrame({"text": pd.Series(text, dtype=object), "removed": removed})
+        out = pd.DataFrame({"text": pd.Series(text, dtype=object), "removed": removed})
+        X.trimmed()
+        return out
 
     joined = docs.join(small(gone, bulk, 1), docs["doc_id"].cast("bigint") == F.col("__d"), "left")
     joined = joined.withColumn("__new", rest(F.col("text").cast("string"), F.col("__gone.l"), F.col("__gone.s"), F.coalesce("__twice", F.lit(False))))
