@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as X
 from .shared import written
 
 SCHEMA = "vec_id bigint, neighbor_id bigint, score double"
@@ -89,7 +90,7 @@ def summed(rows: DataFrame, part, width: int) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at].astype(float)), pa.list_(pa.float64()))], ["k", "v"])
 
     sums = [F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)]
-    return {r[0]: np.array(r[1:]) for r in rows.select("x").mapInArrow(add, "k int, v array<double>").groupBy("k").agg(*sums).collect()}
+    return {r[0]: np.array(r[1:]) for r in rows.select("x").mapInArrow(X.lean(add), "k int, v array<double>").groupBy("k").agg(*sums).collect()}
 
 
 def fit(rows: DataFrame, n: int, d: int, threshold: float = 0.2, rounds: int = 5) -> Index:
@@ -178,7 +179,7 @@ def probes(rows: DataFrame, index: Index, k: int, target: float, tried: int) ->
             need = place[np.arange(len(q))[:, None], nearest(x, index.leaves)[top]]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), r)), pa.array(np.take_along_axis(scores, top, 1).ravel().astype(float)), pa.array(need.ravel().astype(np.int32))], ["q", "s", "p"])
 
-    found = rows.mapInArrow(best, "q bigint, s double, p int").where("s > double('-inf')")
+    found = rows.mapInArrow(X.lean(best), "q bigint, s double, p int").where("s > double('-inf')")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "p"))
     counts = found.select("p", rank.alias("r")).where(F.col("r") <= k).groupBy("p").count().orderBy("p").collect()
     total, seen = sum(r["count"] for r in counts), 0
@@ -254,7 +255,7 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int
                     real = exact > -np.inf
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, real.sum(1))), pa.array(best[real]), pa.array(exact[real])], ["vec_id", "neighbor_id", "score"])
 
-    found = rows.mapInArrow(placed, "leaf int, role int, i bigint, x array<float>, c binary").repartition("leaf").sortWithinPartitions("leaf", "role").mapInArrow(searched, SCHEMA)
+    found = rows.mapInArrow(X.lean(placed), "leaf int, role int, i bigint, x array<float>, c binary").repartition("leaf").sortWithinPartitions("leaf", "role").mapInArrow(X.lean(searched), SCHEMA)
     found = found.groupBy("vec_id", "neighbor_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id"))
     return found.select("*", rank.alias("rank")).where(F.col("rank") <= k)

@@ -160,7 +160,7 @@ def seeded(docs: DataFrame, ids: list, words: list[np.ndarray], n: int, share: f
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.col("text").cast("string")).mapInArrow(X.lean(count), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(grams), np.int64)
     df[[r["k"] for r in found]] = [r["n"] for r in found]
     seeds: list[np.ndarray] = []
@@ -191,21 +191,28 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 2, share: float = 0.5,
                         ["doc_id", "item_id", "score", "start", "end"],
                     )
 
-        found = own.mapInArrow(matched, SCHEMA)
+        found = own.mapInArrow(X.lean(matched), SCHEMA)
         out = found if k == 0 else out.unionByName(found)
     return out
 
 
+def holds(items: Items, least: int, threshold: float):
+    """Whether a text holds a passage of an item."""
+
+    @F.pandas_udf(T.BooleanType())
+    def flagged(column: pd.Series) -> pd.Series:
+        hit = np.zeros(len(column), bool)
+        hit[[r for r, *_ in passages(items, pa.array(column, pa.string(), from_pandas=True), least, threshold)]] = True
+        X.trimmed()
+        return pd.Series(hit)
+
+    return flagged
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 2, share: float = 0.5, least: int = 2, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with their columns, that hold no passage of the benchmark."""
     out = docs
     for items in slices(docs, benchmark, n, share, least):
 
-        @F.pandas_udf(T.BooleanType())
-        def holds(column: pd.Series, items: Items = items) -> pd.Series:
-            hit = np.zeros(len(column), bool)
-            hit[[r for r, *_ in passages(items, pa.array(column, pa.string(), from_pandas=True), least, threshold)]] = True
-            return pd.Series(hit)
-
-        out = out.where(~holds(docs["text"].cast("string")))
+        out = out.where(~holds(items, least, threshold)(docs["text"].cast("string")))
     return out

@@ -163,7 +163,7 @@ def overlapping(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, mos
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.int64())], ["a", "b"])
 
     rows = docs.join(small(visits.select("d", "v"), bulk, 1), "d").select("d", "t", F.explode("v").alias("v")).select("v.a", "v.salt", "v.role", "d", "t")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "d", "t").mapInArrow(compare, "a bigint, b bigint")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "d", "t").mapInArrow(X.lean(compare), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshold: float = 0.4) -> DataFrame:
@@ -180,7 +180,7 @@ def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshol
                     sig = banded(signatures(np.searchsorted(kept, row), gram, count, len(kept), bands * rows), bands, rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(base + kept)).cast(pa.int64()), X.lists(np.arange(len(kept) + 1) * bands, sig.ravel())], ["d", "s"])
 
-    keys = own.mapInArrow(signed, "d bigint, s array<bigint>").select("d", F.explode("s").alias("k"))
+    keys = own.mapInArrow(X.lean(signed), "d bigint, s array<bigint>").select("d", F.explode("s").alias("k"))
     buckets = keys.selectExpr("k", "d", "min(d) over (partition by k) as a", "max(d) over (partition by k) as z").where("a < z").select("k", "d", "a").distinct()
     buckets = written(buckets, "buckets")
     # Of the documents that are least of a text's buckets the one that shares most buckets with it, hence most alike.

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text as X
+
 
 @dataclass(frozen=True)
 class Model:
@@ -126,6 +128,7 @@ def score(text: Column, model: Model | None) -> Column:
         good, bad = compressors(model)
         d = np.array([np.nan if t is None or not t.strip() else difference(t, good, bad, model.block) for t in texts], float)
         p = 1 / (1 + np.exp(-np.clip(model.slope * d + model.intercept, -30, 30)))
+        X.trimmed()
         return pd.Series(np.where(np.isnan(d), 0.0, p))
 
     return scored(text)

@@ -31,7 +31,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", "ids", pieces.decode(F.col("ids")).alias("decoded"))
+    return pieces.encode(table(spark, sf_dir, "documents"), back=pieces.MODEL)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

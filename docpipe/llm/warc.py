@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as X
+
 SCHEMA = (
     "bundle_id int, frame_no int, kind string, offset bigint, size bigint, raw_size bigint, n_records int,"
     " records array<struct<record_id:string,page_id:bigint,offset:bigint,length:bigint>>, bytes binary"
@@ -130,7 +132,7 @@ def pack(pages: DataFrame, frame: int = 256 << 10, bundle: int = 32 << 20, level
                     yield closed()
         yield from ended()
 
-    return own.repartition(n, "b").sortWithinPartitions("b", "k", "i", "u", "h").select("i", "u", "h", "b").mapInArrow(packed, SCHEMA)
+    return own.repartition(n, "b").sortWithinPartitions("b", "k", "i", "u", "h").select("i", "u", "h", "b").mapInArrow(X.lean(packed), SCHEMA)
 
 
 def index(frames: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def unpack(frames: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["record_id", "page_id", "url", "html"])
 
-    return frames.where("kind = 'data'").select("records", "bytes").mapInArrow(read, "record_id string, page_id bigint, url string, html string")
+    return frames.where("kind = 'data'").select("records", "bytes").mapInArrow(X.lean(read), "record_id string, page_id bigint, url string, html string")
 
 
 def fetch(frames: DataFrame, record_ids: DataFrame) -> DataFrame:
