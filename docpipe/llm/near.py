@@ -194,7 +194,7 @@ def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshol
     # All pairs of a bucket that are in different groups: a member outside the group of the least one, with any other.
     base = put.where("d = a").select("k", F.col("g").alias("h"))
     rest = put.join(base, "k").where("g <> h").select("k", F.col("d").alias("e"), F.col("g").alias("f"))
-    second = rest.join(put, "k").where("f <> g and a <> d").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+    second = rest.join(put, "k").where("f <> g").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "second")
     if second.head(1):
         more = written(overlapping(own, second, n, threshold), "more")

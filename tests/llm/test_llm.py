@@ -181,6 +181,17 @@ def test_groups_are_brute_force(spark):
     assert sum(a in out and out.get(a) == out.get(b) for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def test_groups_join_unlike_texts_by_a_bridge(spark):
+    """Buckets {1, 3} and {2, 3}: 3 is compared with both of the documents that are least in its buckets."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        a, b = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+        texts += [a, b, f"{a} {b}"]
+    out = {r.doc_id: r.group_id for r in near.groups(docs_of(spark, texts), bands=96, rows=2).collect()}
+    assert out == {i: i - i % 3 for i in range(len(texts))}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     row = np.repeat([0, 1], 60)
