@@ -21,9 +21,9 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items, scored by all documents: what the corpus gives away of them."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return lm.score(table(spark, sf_dir, "documents"), items).withColumnRenamed("id", "item_id")
+    """Every document, scored by all others."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return lm.each(docs).withColumnRenamed("id", "doc_id")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,38 @@ def test_lm_is_brute_force(spark):
     assert abs(empty.log2_prob + 20 * empty.words) < 1e-9
 
 
+def test_lm_scores_each_row_by_all_others(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 400)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("a b c d e".split(), k=rng.randrange(1, 30))) for _ in range(30)]
+    texts += [texts[0], texts[1], f"{texts[2]} zz", "zz yy", "yy yy yy", "only " * 9, None, " "]
+    rows = [(i % 36, t) for i, t in enumerate(texts)]
+    got = Counter((r.id, r.words, None if r.log2_prob is None else round(r.log2_prob, 6), None if r.context is None else round(r.context, 6)) for r in lm.each(spark.createDataFrame(rows, "id bigint, text string").repartition(3), shard=100).collect())
+    known = [(t or "").split() for t in texts]
+    want = Counter()
+    for i, (k, t) in enumerate(rows):
+        others = Counter(tuple(c[a:b]) for j, c in enumerate(known) if j != i for a in range(len(c)) for b in range(a + 1, len(c) + 1))
+        others[()] = sum(len(c) for j, c in enumerate(known) if j != i)
+        total, longest, w = 0.0, [], known[i]
+        for j in range(len(w)):
+            p, m = 2.0**-20, 0
+            for n in range(j + 1):
+                if not others[tuple(w[j - n : j])]:
+                    break
+                p, m = (others[tuple(w[j - n : j + 1])] + 4 * p) / (others[tuple(w[j - n : j])] + 4), n
+            total, longest = total + math.log2(p), [*longest, m]
+        want[k, None if t is None else len(w), None if t is None else round(total, 6), round(sum(longest) / len(w), 6) if w else None] += 1
+    assert got == want
+
+
+def test_op3_scores_every_document(spark):
+    from docpipe.llm.queries import op3_lm_scores
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = op3_lm_scores(spark, SF)
+    assert got.count() == docs.count() and not got.select("doc_id").exceptAll(docs.select("doc_id")).head(1)
+
+
 # 4 near duplicates
 
 
