@@ -19,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It is fitted on the labelled ones among docs; blank texts are rejected."""
-    return quality.accepted(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return quality.accepted(docs, quality.fit(docs, read(spark, sf_dir, "labels"), toxic_z=quality.TOXIC_Z))
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,12 @@ Two Zstandard dictionaries are trained, one on texts labelled good and one on te
 blocks, so that the dictionary matters everywhere in it and not only at its start; each block is compressed with both.
 With g and b the sums of compressed sizes over all blocks of the whole text, d = (g - b) / (g + b) is the normalised
 difference, and a logistic fit on held-out labelled texts, weighted to the shares of the classes among all labels,
-turns it into score = P(good).
+turns it into P(good).
+
+With `toxic_z`, toxic texts are rejected too. A few insults in fluent prose don't change how it compresses, so toxic texts are told by words: `marks` are the words that
+are in at least three labelled toxic texts and in so many more of them than by chance that z > `toxic_z`. score = P(good)
+times the share of texts labelled not toxic among the labelled ones that hold a mark, if the text holds one. Texts labelled
+toxic aren't examples of good ones. With fewer than `least` labelled texts toxic or not there are no marks.
 
 Defined results: a null or blank text has score 0.0 and is rejected. With fewer than `least` labelled texts of either
 class there is nothing to fit: every text that isn't blank is accepted with a null score. Labels that are null, of
@@ -18,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +31,9 @@ from pyspark.sql import types as T
 
 from . import text as X
 
+#: Of the queries and the pipeline.
+TOXIC_Z = 6.0
+
 
 @dataclass(frozen=True)
 class Model:
@@ -35,6 +44,8 @@ class Model:
     block: int
     level: int
     raw: bool = False
+    marks: np.ndarray | None = None  # hashes of words
+    clean: float = 1.0  # share of texts that aren't toxic among those with a mark
 
 
 def blocks(text: str, size: int) -> list[bytes]:
@@ -58,10 +69,10 @@ def difference(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCom
     return (g - b) / (g + b)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, dict]:
-    """At most per_class texts of each class, those with the least hash of doc_id, and the counts of all labels."""
+def labelled(docs: DataFrame, labels: DataFrame, per_class: int, name: str = "quality") -> tuple[list, dict]:
+    """At most per_class texts of each class of the label, those with the least hash of doc_id, and the counts of all labels."""
     own = (
-        labels.select(F.col("doc_id").alias("i"), F.col("quality").alias("q"))
+        labels.select(F.col("doc_id").alias("i"), F.col(name).alias("q"))
         .where("i is not null and q in (0, 1)")
         .groupBy("i")
         .agg(F.min("q").alias("q"), F.max("q").alias("r"))
@@ -81,13 +92,40 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list,
     return sorted((r["i"], r["t"], by[r["i"]]) for r in texts.collect()), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, dictionary: int = 65536, block: int = 1024, level: int = 3, least: int = 8) -> Model | None:
-    """A model from a bounded sample: at most per_class labelled documents of each class, half of them for the dictionaries, half for the calibration."""
-    rows, counts = labelled(docs, labels, per_class)
+def held(texts: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Whether each text holds one of the words."""
+    out = np.zeros(len(texts), bool)
+    for base, part in X.chunks(texts):
+        offsets, h = X.words(part)
+        out[base + X.owners(offsets)[np.isin(h, marks)]] = True
+    return out
+
+
+def toxic_marks(rows: list, least: int, z: float) -> tuple[np.ndarray | None, float]:
+    """Words that tell toxic texts, and the share of texts that aren't among those that hold one. rows: id, text, 1 for toxic."""
+    y = np.array([q for _, _, q in rows], bool)
+    if min(y.sum(), (~y).sum()) < least:
+        return None, 1.0
+    texts = pa.array([t for _, t, _ in rows], pa.string())
+    offsets, h = X.words(texts)
+    names, code = np.unique(h, return_inverse=True)
+    pairs = np.unique(code.astype(np.int64) * len(rows) + X.owners(offsets))
+    n = np.bincount(pairs // len(rows), minlength=len(names))
+    a = np.bincount(pairs // len(rows), y[pairs % len(rows)], len(names))
+    p = y.mean()
+    marks = names[(a >= 3) & (a - n * p > z * np.sqrt(n * p * (1 - p)))]
+    found = held(texts, marks)
+    return marks, float(((found & ~y).sum() + 1) / (found.sum() + 2))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, dictionary: int = 65536, block: int = 1024, level: int = 3, least: int = 8, toxic_z: float | None = None) -> Model | None:
+    """A model of quality alone, or with toxic_z of quality and toxicity, from a bounded sample: at most per_class labelled documents of each class, half of them for the dictionaries, half for the calibration."""
+    rows, counts = labelled(docs, labels if toxic_z is None else labels.where("quality = 0 or coalesce(toxic, 0) <> 1"), per_class)
     if min(sum(q == k for _, _, q in rows) for k in (0, 1)) < least:
         return None
+    marks, clean = (None, 1.0) if toxic_z is None else toxic_marks(labelled(docs, labels, per_class, "toxic")[0], least, toxic_z)
     made, raw = {}, False
-    held = {k: [t for _, t, q in rows if q == k][1::2] for k in (0, 1)}
+    rest = {k: [t for _, t, q in rows if q == k][1::2] for k in (0, 1)}
     samples = {k: [b for t in [t for _, t, q in rows if q == k][::2] for b in blocks(t, block)] for k in (0, 1)}
     try:
         made = {k: zstandard.train_dictionary(dictionary, v[:: 1 + len(v) // 4000]).as_bytes() for k, v in samples.items()}
@@ -95,12 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, dictionary: i
         made, raw = {k: b"".join(v)[-dictionary:] for k, v in samples.items()}, True
     model = Model(made[1], made[0], 0.0, 0.0, block, level, raw)
     good, bad = compressors(model)
-    x = np.array([difference(t, good, bad, block) for k in (0, 1) for t in held[k]])
-    y = np.array([float(k) for k in (0, 1) for _ in held[k]])
+    x = np.array([difference(t, good, bad, block) for k in (0, 1) for t in rest[k]])
+    y = np.array([float(k) for k in (0, 1) for _ in rest[k]])
     total = sum(counts.values())
-    w = np.array([counts[k] / total / len(held[k]) for k in (0, 1) for _ in held[k]]) * len(y)
+    w = np.array([counts[k] / total / len(rest[k]) for k in (0, 1) for _ in rest[k]]) * len(y)
     slope, intercept = logistic(x, y, w)
-    return Model(made[1], made[0], slope, intercept, block, level, raw)
+    return Model(made[1], made[0], slope, intercept, block, level, raw, marks, clean)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -118,7 +156,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
 
 
 def score(text: Column, model: Model | None) -> Column:
-    """P(good) of a text; see the module for blank texts and for no model."""
+    """P(good and not toxic) of a text; see the module for blank texts and for no model."""
     blank = F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")) == ""
     if model is None:
         return F.when(blank, F.lit(0.0)).otherwise(F.lit(None).cast("double"))
@@ -128,6 +166,8 @@ def score(text: Column, model: Model | None) -> Column:
         good, bad = compressors(model)
         d = np.array([np.nan if t is None or not t.strip() else difference(t, good, bad, model.block) for t in texts], float)
         p = 1 / (1 + np.exp(-np.clip(model.slope * d + model.intercept, -30, 30)))
+        if model.marks is not None and len(model.marks):
+            p = np.where(held(pa.array(texts, pa.string(), from_pandas=True), model.marks), p * model.clean, p)
         X.trimmed()
         return pd.Series(np.where(np.isnan(d), 0.0, p))
 

@@ -36,7 +36,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"), toxic_z=quality.TOXIC_Z))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

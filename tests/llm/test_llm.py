@@ -296,6 +296,16 @@ def test_quality_on_held_out_labels(spark):
     assert out[out.quality == 1].accepted.mean() > 0.97
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_quality_rejects_held_out_toxic_texts(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"), toxic_z=quality.TOXIC_Z)
+    out = quality.classify(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    clean, toxic = out[(out.quality == 1) & (out.toxic == 0)], out[(out.quality == 1) & (out.toxic == 1)]
+    print(sf, "accepted clean", clean.accepted.mean(), len(clean), "rejected toxic", 1 - toxic.accepted.mean(), len(toxic), "rejected quality 0", 1 - out[out.quality == 0].accepted.mean())
+    assert 1 - toxic.accepted.mean() > least and clean.accepted.mean() > 0.96
+
+
 def test_quality_odd_rows(spark):
     docs = docs_of(spark, ["fine text here " * 20, None, "", " \n ", "fine text here " * 20, "x" * 100_000], [1, 2, 3, 4, None, 5]).withColumn("score", F.lit(9)).withColumn("accepted", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, None), (77, 0, 0)], "doc_id bigint, quality int, toxic int")
