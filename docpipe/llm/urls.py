@@ -1,9 +1,10 @@
 """URL filter by a tree of path templates.
 
 For each host the paths form a tree, walked from the root down. A child keeps its name only if it is frequent (at least
-`least` pages and `share` of its parent's pages), so that variable segments become *, and if its labelled pages differ
+`least` pages), so that variable segments become *, and if its labelled pages differ
 from those of its siblings together: |bad - n p| > z sqrt(n p (1 - p)) with p the parent's bad share; children that can't
-be told apart are merged into the same *. Segments after the first `depth` are one segment. The template of a page is
+be told apart are merged into the same *. The walk ends where a name can't be kept any more: below a node of too few pages,
+or whose labels are all alike or missing, every segment is *. The template of a page is
 host/child/child...; its purity is (good + strength * prior) / (labelled + strength), prior being the good share of
 all labels that meet a page. Templates of a purity under `threshold` that have labelled pages are rejected.
 
@@ -14,7 +15,7 @@ each time. Without labels nothing is rejected and purity is null. Extra columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -23,27 +24,39 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
-def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, least: int = 5, share: float = 0.01, z: float = 1.96, strength: float = 5.0, threshold: float = 0.5) -> DataFrame:
+def starred(k: int) -> Column:
+    """t with a * for each segment from the k-th on."""
+    return F.concat("t", F.repeat(F.lit("/*"), F.size("s") - k))
+
+
+def templates(pages: DataFrame, labels: DataFrame, least: int = 5, z: float = 1.96, strength: float = 5.0, threshold: float = 0.5) -> DataFrame:
     """page_id, template, pages, labelled, bad, purity, rejected: one row for each row of pages."""
     marks = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     own = pages.select("page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), F.regexp_extract("url", PATH, 1).alias("path"))
     own = own.withColumn("s", F.filter(F.split("path", "/"), lambda x: x != "")).drop("path")
     own = own.join(marks, "page_id", "left").withColumn("t", F.when(F.col("host") != "", F.col("host")))
     own = own.drop("host")
-    for k in range(depth):
-        name = F.get("s", F.lit(k)) if k < depth - 1 else F.when(F.size("s") > k, F.array_join(F.slice("s", k + 1, F.greatest(F.size("s") - k, F.lit(1))), "/"))
-        own = written(own.withColumn("c", name), "level")
+    k = 0
+    while True:
+        own = written(own.withColumn("c", F.get("s", F.lit(k))), "level")
         children = own.where("t is not null and c is not null").groupBy("t", "c").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
         parents = children.groupBy("t").agg(F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        live = written(parents.where((F.col("pn") >= least) & (F.col("pb") > 0) & (F.col("pb") < F.col("pl"))).select("t", F.lit(1).alias("live")), "live")
+        if not live.head(1):
+            break
         p = F.col("pb") / F.col("pl")
         named = (
             children.join(parents, "t")
-            .where((F.col("n") >= least) & (F.col("n") >= share * F.col("pn")) & (F.col("pl") > 0))
+            .where((F.col("n") >= least) & (F.col("pl") > 0))
             .where(F.abs(F.col("b") - F.col("l") * p) > z * F.sqrt(F.col("l") * p * (1 - p)))
             .select("t", "c", F.lit(1).alias("named"))
         )
-        own = own.join(named, ["t", "c"], "left").withColumn("t", F.when(F.col("c").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), F.when(F.col("named") == 1, F.col("c")).otherwise("*"))))
-        own = own.drop("c", "named")
+        step = F.concat("t", F.lit("/"), F.when(F.col("named") == 1, F.col("c")).otherwise("*"))
+        own = own.join(named, ["t", "c"], "left").join(live, "t", "left").select(
+            "page_id", "bad", F.when(F.col("c").isNull(), F.col("t")).when(F.col("live") == 1, step).otherwise(starred(k)).alias("t"), F.when(F.col("live") == 1, F.col("s")).alias("s")
+        )
+        k += 1
+    own = own.withColumn("t", F.when(F.col("c").isNull(), F.col("t")).otherwise(starred(k))).drop("c")
     own = written(own.drop("s"), "named")
     found = own.where("t is not null").groupBy("t").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("nbad"))
     prior = found.agg((F.sum("labelled") - F.sum("nbad")).alias("good"), F.sum("labelled").alias("all"))

@@ -426,6 +426,16 @@ def test_urls_odd_rows(spark):
     assert {r.rejected for r in urls.templates(pages, labels.limit(0)).collect()} == {False}
 
 
+def test_urls_of_small_sections_and_deep_segments(spark):
+    """A section of 0.5 % of a large host, and one told apart by its fifth segment."""
+    rows = [(i, f"http://h.org/{'spam' if i < 20 else 'good'}/{i}", "") for i in range(4000)]
+    rows += [(i, f"http://deep.org/a/b/c/d/{'spam' if i % 2 else 'good'}/x/{i}", "") for i in range(5000, 5080)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    labels = spark.createDataFrame([(i, i < 20) for i in range(0, 4000, 2)] + [(i, bool(i % 2)) for i in range(5000, 5080)], "page_id bigint, bad boolean")
+    by = {r.page_id: (r.template, r.rejected) for r in urls.templates(pages, labels).collect()}
+    assert by == {i: (f"h.org/{'spam' if i < 20 else 'good'}/*", i < 20) for i in range(4000)} | {i: (f"deep.org/*/*/*/*/{'spam' if i % 2 else 'good'}/*/*", bool(i % 2)) for i in range(5000, 5080)}
+
+
 # 10 lines
 
 
