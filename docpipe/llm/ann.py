@@ -9,7 +9,9 @@ turn, over all vectors.
 Each vector is a query too. It goes to the leaves whose centres have the largest product with it; to how many follows from
 the data: so many as hold `target` of the exact neighbours of `tried` vectors, which are searched for among all. There the tables
 of its products with all centres are summed along the codes, two codes a byte; the `rerank` best are ranked again by exact
-products, and the `k` best of all leaves are the result.
+products, and so are all whose sums equal the last one's, or come as near to the k-th exact product as the largest error of
+the sums of those already ranked. So the number doesn't split groups of equal vectors, nor, as far as that error holds, of
+nearly equal ones. The `k` best of all leaves are the result.
 
 Defined results: vectors that are null, empty, of another length than most, or hold a null, NaN or infinity, and rows of
 null vec_id, are left out on both sides. Repeated rows of an id are one if the vectors are equal; else each is a query, and
@@ -140,8 +142,8 @@ def fit(rows: DataFrame, n: int, d: int, threshold: float = 0.2, rounds: int = 5
     return Index(leaves, books, eta)
 
 
-def scanned(index: Index, packed: np.ndarray, queries: np.ndarray, rerank: int) -> np.ndarray:
-    """For each query the places of its best candidates in a leaf, by table sums over packed codes."""
+def scanned(index: Index, packed: np.ndarray, queries: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the places of its best candidates in a leaf, by table sums over packed codes; and all sums, negative."""
     m = len(index.books)
     tables = np.einsum("qmd,mjd->qmj", padded(queries).reshape(len(queries), m, 2), index.books)
     if m % 2:
@@ -151,7 +153,9 @@ def scanned(index: Index, packed: np.ndarray, queries: np.ndarray, rerank: int)
     for s in range(len(pairs)):
         sums += pairs[s].take(packed[:, s], 0)
     r = min(rerank, len(packed))
-    return np.argpartition(np.ascontiguousarray(-sums.T), r - 1, 1)[:, :r]
+    less = np.ascontiguousarray(-sums.T)
+    best = np.argpartition(less, r - 1, 1)[:, :r]
+    return best, less
 
 
 def packed(c: np.ndarray) -> np.ndarray:
@@ -247,11 +251,22 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int
                 for lo in range(0, len(part), step):
                     q = part.slice(lo, step)
                     who, y = np.asarray(q.column(2)), matrix(q.column(3), d)
-                    at = scanned(index, c, y, rerank + 1)
+                    at, less = scanned(index, c, y, rerank + 1)
                     exact = np.einsum("qd,qrd->qr", y.astype(float), x[at].astype(float))
+                    base = y.astype(float) @ index.leaves[now].astype(float)
+                    sums = np.take_along_axis(less, at, 1)
+                    error = np.abs(exact - base[:, None] + sums).max(1)
                     exact[ids[at] == who[:, None]] = -np.inf
                     order = np.lexsort((ids[at], -exact), axis=1)[:, :k]
                     exact, best = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[at], order, 1)
+                    least = exact[:, k - 1] - base - error if exact.shape[1] == k else np.full(len(y), -np.inf)
+                    near = less <= np.maximum(sums.max(1), -least)[:, None]
+                    for j in np.flatnonzero(near.sum(1) > at.shape[1]):
+                        places = np.flatnonzero(near[j])
+                        whole = np.einsum("qd,qrd->qr", y[j : j + 1].astype(float), x[places][None].astype(float))[0]
+                        whole[ids[places] == who[j]] = -np.inf
+                        order = np.lexsort((ids[places], -whole))[:k]
+                        exact[j], best[j] = whole[order], ids[places][order]
                     real = exact > -np.inf
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, real.sum(1))), pa.array(best[real]), pa.array(exact[real])], ["vec_id", "neighbor_id", "score"])
 

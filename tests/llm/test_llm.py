@@ -88,6 +88,25 @@ def test_neighbours_recall(spark):
     assert np.mean([len(got[i] & v) / 10 for i, v in exact.items()]) >= 0.9
 
 
+@pytest.mark.parametrize(("noise", "least"), [(0.0, 1.0), (1e-4, 0.9)])
+def test_neighbours_in_a_large_cluster(spark, noise, least):
+    """Thousands of vectors of equal codes: more than are ranked again."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3600, 16)).astype(np.float32)
+    x[:3000] = (x[0] * 3 + noise * rng.normal(size=(3000, 16))).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append(r.neighbor_id)
+    scores = np.einsum("qd,rd->qr", x.astype(float), x.astype(float))
+    np.fill_diagonal(scores, -np.inf)
+    dense = np.flatnonzero(np.linalg.norm(x - np.median(x, 0), axis=1) < 0.1)[:: 3]
+    assert len(dense) == 1000
+    hits = [len(set(got[q]) & set(np.lexsort((np.arange(len(x)), -scores[q]))[:10])) for q in dense]
+    print("recall in the cluster", noise, np.mean(hits) / 10)
+    assert np.mean(hits) / 10 >= least
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, []), (6, [1.0, None, 0.0]), (7, [float("nan"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (8, [1.0, 2.0]), (9, [0.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1)).withColumn("leaf", F.lit("x"))
