@@ -64,14 +64,107 @@ def hashes(parts: pa.Array, trim: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return string_hashes(own)[at], np.asarray(pc.binary_length(own))[at] > 0
 
 
+SPACE, OUTER = 1, 2
+EMPTY, BLANK = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+KINDS = np.zeros(256, np.uint8)
+KINDS[[ord(c) for c in PUNCTUATION if ord(c) < 128]] = OUTER
+KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+LONGER = {c.encode() for c in PUNCTUATION if ord(c) > 127}
+FACTOR = 0x9E3779B97F4A7C15
+SEGMENT = 1 << 17  # bytes that are hashed at once
+LETTERS = mix(np.arange(1, 257, dtype=U64) * U64(FACTOR))
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of FACTOR and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.r_[U64(1), np.full(n - 1, f % (1 << 64), U64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def plain_kinds(raw: np.ndarray) -> np.ndarray:
+    return np.frombuffer(bytearray(raw.tobytes().translate(KINDS.tobytes())), np.uint8)
+
+
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """For each byte whether it is white space, outer punctuation or neither."""
+    kind = plain_kinds(raw)
+    for lead, size in ((0xC2, 2), (0xE2, 3)):
+        at = np.flatnonzero(raw == lead)
+        at = at[at + size <= len(raw)]
+        own = [c for c in LONGER if len(c) == size]
+        if len(at):
+            hit = np.zeros(len(at), bool)
+            for c in own:
+                hit |= np.logical_and.reduce([raw[at + k] == c[k] for k in range(1, size)])
+            for k in range(size):
+                kind[at[hit] + k] = OUTER
+    return kind
+
+
+def trimmed_ends(kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words first..last without outer punctuation; last <= first if nothing is left."""
+    first, last = first.copy(), last.copy()
+    before, after = np.flatnonzero(kind[first] == OUTER), np.flatnonzero(kind[last - 1] == OUTER)
+    for _ in range(4):
+        first[before] += 1
+        last[after] -= 1
+        before, after = before[kind[first[before]] == OUTER], after[kind[last[after] - 1] == OUTER]
+        before, after = before[first[before] < last[before]], after[first[after] < last[after]]
+    at = np.union1d(before, after)
+    if len(at):  # long runs of punctuation
+        core = np.flatnonzero(kind == 0)
+        a, b = np.searchsorted(core, first[at]), np.searchsorted(core, last[at])
+        some = a < b
+        last[at[~some]] = first[at[~some]]
+        first[at[some]], last[at[some]] = core[a[some]], core[b[some] - 1] + 1
+    return first, last
+
+
 def words(column: pa.Array, trim: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and hashes of the words of each text; words of punctuation alone are dropped if trim."""
-    offsets, parts = split(filled(column))
-    h, left = hashes(parts, trim)
-    if left.all():
-        return offsets, h
-    kept = np.concatenate([[0], np.cumsum(left)])
-    return kept[offsets], h[left]
+    """Offsets and hashes of the words of each text, at ASCII white space. trim: lower case, without outer punctuation; words of nothing else are dropped.
+
+    A word's hash is a polynomial of random numbers for its bytes, from running sums over the whole batch, and mixed.
+    """
+    texts = filled(column)
+    if not len(texts):
+        return np.zeros(1, np.int64), np.empty(0, U64)
+    texts = pc.binary_join_element_wise(pc.utf8_lower(texts) if trim else texts, EMPTY, BLANK)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    kind = kinds(raw) if trim else plain_kinds(raw)
+    space = kind == SPACE
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.r_[0, edge]
+    first, last = edge[::2], edge[1::2]
+    text = np.searchsorted(first, at - at[0])
+    if trim:
+        a, b = trimmed_ends(kind, first, last)
+        left = a < b
+        if left.all():
+            first, last = a, b
+        else:
+            text = np.r_[0, np.cumsum(left)][text]
+            first, last = a[left], b[left]
+    h = np.empty(len(first), U64)
+    done = 0
+    while done < len(first):
+        base = first[done]
+        to = max(done + 1, int(np.searchsorted(last, base + SEGMENT, "right")))
+        size = int(last[to - 1] - base)
+        up, down = powers(max(size, SEGMENT) + 1)
+        sums = np.zeros(size + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum(LETTERS[raw[base : base + size]] * up[:size], out=sums[1:])
+            own = first[done:to] - base
+            h[done:to] = (sums[last[done:to] - base] - sums[own]) * down[own]
+        done = to
+    with np.errstate(over="ignore"):
+        return text, mix(h + (last - first).astype(U64))
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:
@@ -92,7 +185,7 @@ def grams(offsets: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return row[: len(h) - n + 1][full], g[full]
 
 
-def chunks(column: pa.Array, most: int = 8 << 20) -> list[tuple[int, pa.Array]]:
+def chunks(column: pa.Array, most: int = 2 << 20) -> list[tuple[int, pa.Array]]:
     """Slices of a column of texts, of at most so many bytes each if no single text is larger, with their first rows."""
     texts = filled(column)
     ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64)) if len(texts) else np.empty(0, np.int64)

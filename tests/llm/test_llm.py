@@ -472,9 +472,10 @@ def brute_lines(rows, threshold):
     return gone
 
 
-def test_lines_are_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("threshold", "hot", "partners"), [(0.8, lines.HOT, lines.PARTNERS), (0.8, 0, 64), (0.8, 40, 1), (0.5, 0, 1), (0.5, 10**6, 64), (1.0, 0, 1)])
+def test_lines_are_brute_force(spark, threshold, hot, partners):
     rng = random.Random(11)
-    base = [prose(rng, rng.randrange(1, 30), 60) for _ in range(40)]
+    base = [prose(rng, rng.randrange(1, 30), 60) for _ in range(40)] + [prose(rng, rng.randrange(55, 140), 4000) for _ in range(8)]
     texts = []
     for _ in range(120):
         own = []
@@ -486,14 +487,27 @@ def test_lines_are_brute_force(spark, monkeypatch):
             own.append(" ".join(w))
         texts.append("\n".join(own + [""] + [prose(rng, 8, 60)]))
     docs = docs_of(spark, texts)
-    got = {(r.d, r.l) for r in lines.removals(docs).collect()}
-    assert got == brute_lines(list(enumerate(texts)), 0.8) and len(got) > 200
-    out = {r.doc_id: (r.text, r["__removed"]) for r in lines.dedup(docs).collect()}
+    got = {(r.d, r.l) for r in lines.removals(docs, threshold, hot, partners).collect()}
+    assert got == brute_lines(list(enumerate(texts)), threshold) and len(got) > (200 if threshold < 1 else 20)
+    out = {r.doc_id: (r.text, r["__removed"]) for r in lines.dedup(docs, threshold, hot, partners).collect()}
     for d, t in enumerate(texts):
         left = [x for n, x in enumerate(t.split("\n")) if (d, n) not in got]
         assert out[d] == ("\n".join(left), len(t.split("\n")) - len(left))
 
 
+@pytest.mark.parametrize("partners", [1, 64])
+def test_lines_of_a_large_group_reach_the_last_round(spark, monkeypatch, partners):
+    """Lines that share their rare words and half of the others: many possible partners by sketch that fail, some that don't."""
+    rng = random.Random(3)
+    texts = [" ".join(["rare", "seldom", *sorted(rng.sample([f"c{k}" for k in range(16)], 12))]) for _ in range(900)]
+    rounds = []
+    real = lines.paired
+    monkeypatch.setattr(lines, "paired", lambda *a: rounds.append(a[4:]) or real(*a))
+    got = {(r.d, r.l) for r in lines.removals(docs_of(spark, texts), 0.8, lines.HOT, partners).collect()}
+    assert got == brute_lines(list(enumerate(texts)), 0.8)
+    assert partners > 1 or rounds == [(), (True,)]
+
+
 def test_lines_odd_rows(spark):
     a = "one two three four five"
     docs = docs_of(spark, [f"{a}\nx", a, None, "", "\n \n", f"{a}\nunlike", f"{a}", a, "word " * 30_000, "z"], [1, 2, 3, 4, 5, 6, 6, None, 7, 1]).withColumn("d", F.lit(0)).withColumn("__x", F.lit(1))
