@@ -7,8 +7,8 @@ Words are ordered by rarity: their occurrences in the whole corpus, counted in 2
 Any total order gives exact results, so that the counts needn't be exact for a word; they only have to tell the common
 ones. A line of n words is indexed by its first n - ceil(threshold n) + 1. Lines that share such a word are compared by
 length (each with those that aren't shorter, nor longer than n / threshold), by the places of the word in both, and by a
-sketch of each set: each word turns over one bit of 64, or 128 for large sets, so the bits that two sketches differ in are
-no more than the words that the sets differ in. None of these filters loses a pair. What is left is verified with the full sets.
+sketch of each set: each word turns over one bit of 64, or up to 512 for larger sets, so the bits that two sketches differ
+in are no more than the words that the sets differ in. None of these filters loses a pair. What is left is verified with the full sets.
 
 Words that occur more than `hot` times don't make a group of their own. Lines that share such a word, as the first that
 they share, also share a second one among the first n - ceil(threshold n) + 2; short lines meet by these two words, long
@@ -46,7 +46,7 @@ HALF = U(20)  # bits of a word: 20 of its bucket, 20 more
 BUCKETS = 1 << 20
 MASK = U(BUCKETS - 1)
 SLICES = 64  # in which the counts are summed
-WIDE = 40  # sets of more words have 128 bits
+LEVELS = np.array([40, 100, 250])  # sets of more words have 128, 256, 512 bits
 SHORT = 64  # lines of more words meet by hot words and class of length
 BLOCK = 1 << 18  # pairs that are looked at at once
 PARTNERS = 64  # of a line in a group that are noted before the last round
@@ -131,9 +131,10 @@ COLUMNS = {"k": np.uint32, "s": np.int32, "d": np.int64, "l": np.int32, "n": np.
 
 
 def packed(x: dict[str, np.ndarray]) -> bytes:
-    """Prefix words of one bucket; `e`, the upper half of the sketch, is kept for large sets only."""
+    """Prefix words of one bucket; `e`, the seven further words of the sketch, is kept as far as a set has them."""
     y = x | {"d": np.diff(x["d"], prepend=0)}
-    return b"".join([len(x["k"]).to_bytes(4, "little"), *(y[c].astype(t).tobytes() for c, t in COLUMNS.items()), x["e"][x["n"] > WIDE].tobytes()])
+    more = [x["e"][x["n"] > least, a:b].tobytes() for least, a, b in zip(LEVELS, (0, 1, 3), (1, 3, 7), strict=True)]
+    return b"".join([len(x["k"]).to_bytes(4, "little"), *(y[c].astype(t).tobytes() for c, t in COLUMNS.items()), *more])
 
 
 def unpacked(data: list[memoryview]) -> dict[str, np.ndarray]:
@@ -145,8 +146,12 @@ def unpacked(data: list[memoryview]) -> dict[str, np.ndarray]:
             own[c] = np.frombuffer(x[at : at + size], t)
             at += size
         own["d"] = np.cumsum(own["d"])
-        own["e"] = np.zeros(n, U)
-        own["e"][own["n"] > WIDE] = np.frombuffer(x[at:], U)
+        own["e"] = np.zeros((n, 7), U)
+        for least, a, b in zip(LEVELS, (0, 1, 3), (1, 3, 7), strict=True):
+            wide = np.flatnonzero(own["n"] > least)
+            size = len(wide) * (b - a) * 8
+            own["e"][wide, a:b] = np.frombuffer(x[at : at + size], U).reshape(-1, b - a)
+            at += size
         parts.append(own)
     return {c: np.concatenate([p[c] for p in parts]) for c in [*COLUMNS, "e"]}
 
@@ -196,7 +201,7 @@ def prefixes(docs: DataFrame, frequency: np.ndarray, threshold: float, n_parts:
         def flushed() -> pa.RecordBatch:
             line, row = ({c: np.concatenate([h[k][c] for h in held]) for c in held[0][k]} for k in (0, 1))
             own = np.lexsort((line["l"], line["d"], line["n"], line["s"], line["b"]))
-            v = {c: x[own] for c, x in line.items()}
+            v = {c: line[c][own] for c in ("s", "b", "n", "d", "l")}
             new = np.r_[True, (v["s"][1:] != v["s"][:-1]) | (v["b"][1:] != v["b"][:-1]) | (v["n"][1:] != v["n"][:-1])]
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             gone = np.flatnonzero((v["d"] != v["d"][first]) | (v["l"] != v["l"][first]))
@@ -225,18 +230,18 @@ def prefixes(docs: DataFrame, frequency: np.ndarray, threshold: float, n_parts:
                     continue
                 n = np.bincount(line, minlength=len(lines))
                 start = (np.cumsum(n) - n)[n > 0]
-                bits = np.zeros((2, len(n)), U)
-                where = mixed >> U(57)
-                turned = U(1) << (where & U(63))
-                bits[0, n > 0] = np.bitwise_xor.reduceat(turned, start)
-                bits[1, n > 0] = np.bitwise_xor.reduceat(np.where(where > 63, turned, U(0)), start)
-                bits[1, n <= WIDE] = 0
+                level = np.searchsorted(LEVELS, n)
+                bits = np.zeros((len(n), 8), U)
+                slot = (mixed >> U(61)).astype(np.int64) & ((1 << level[line]) - 1)
+                turned = U(1) << ((mixed >> U(55)) & U(63))
+                for k in range(1 << int(level.max())):
+                    bits[n > 0, k] = np.bitwise_xor.reduceat(np.where(slot == k, turned, U(0)), start)
                 i, k, p, first = keyed(word, n, threshold, from_hot)
                 flag = np.zeros(len(n), np.int64)
                 if some_marked:
                     last = {(r, a, b) for r in np.unique(doc).tolist() if marked[r].is_valid for a, b in zip(marked[r].values.field(0).to_pylist(), marked[r].values.field(1).to_pylist(), strict=True)}
                     flag[:] = [(r, a, b) in last for r, a, b in zip(doc.tolist(), number.tolist(), low(sets).tolist(), strict=True)]
-                held.append(({"s": low(sets), "d": ids[doc], "l": number, "n": n, "b": bits[0], "e": bits[1], "f": flag}, {"i": base + i, "k": k, "p": 4 * p + 2 * first}))
+                held.append(({"s": low(sets), "d": ids[doc], "l": number, "n": n, "b": bits[:, 0], "e": bits[:, 1:], "f": flag}, {"i": base + i, "k": k, "p": 4 * p + 2 * first}))
                 held[-1][0]["n"] = np.where(n > 0, n, -1 - np.arange(base, base + len(n)))  # lines without words are like none
                 base, waiting = base + len(n), waiting + len(k)
                 if waiting >= ROWS:
@@ -254,11 +259,12 @@ def possible(threshold: float, x: dict, early: np.ndarray, late: np.ndarray) ->
     need = least_overlap(threshold, n, m)
     left = np.flatnonzero(np.minimum(n - (x["p"][early] >> 2), m - (x["p"][late] >> 2)) >= need)
     early, late, both = early[left], late[left], (n + m)[left]
-    fold = x["b"][early] ^ x["b"][late]
-    apart = np.bitwise_count(fold).astype(np.int64)
-    wide = np.flatnonzero((x["n"][early] > WIDE) & (x["n"][late] > WIDE))
-    upper = x["e"][early[wide]] ^ x["e"][late[wide]]
-    apart[wide] = np.bitwise_count(fold[wide] ^ upper).astype(np.int64) + np.bitwise_count(upper)
+    level = np.searchsorted(LEVELS, np.minimum(x["n"][early], x["n"][late]))
+    apart = np.zeros(len(left), np.int64)
+    for k in range(4):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            apart[at] = np.bitwise_count(x["sketch"][k][early[at]] ^ x["sketch"][k][late[at]]).astype(np.int64).sum(1)
     own = apart <= both - 2 * need[left]
     return left[own], (1000 * apart[own] // both[own]).astype(np.int32)
 
@@ -281,6 +287,11 @@ def paired(rows: DataFrame, threshold: float, n_parts: int, partners: int, every
             yield emit(x, first[equal], equal, np.full(len(equal), -1, np.int32))
         group = np.cumsum(other)[new]
         x = {c: v[new] for c, v in x.items()}
+        full = np.concatenate([x["b"][:, None], x.pop("e")], 1)
+        x["sketch"] = [full]  # as of each level, folded
+        for k in (4, 2, 1):
+            full = full[:, :k] ^ full[:, k:]
+            x["sketch"].insert(0, full)
         size = len(group)
         # Of the lines of a group, in order of length, each is compared with those after it that aren't too long.
         most = int(x["n"].max()) + 2
