@@ -17,8 +17,9 @@ together before anything is shuffled, as far as they are read by one task.
 
 One partner is enough for a line to go. So each line is first verified with the possible partner that is nearest by sketch;
 if that fails, with all others that are known. Only the first `partners` of a line in a group are noted at first; lines that
-had more, and didn't go, are paired with all of them in a last round. Lines of equal sets need no verification. Thousands
-of variants of a line cost about as many verifications as variants.
+had more, and didn't go, are compared with all lines in a last round: by one more pass over the texts that are sent these
+lines' sets, if these take at most `broadcast` bytes, else by shuffling the prefixes again. Lines of equal sets need no
+verification. Thousands of variants of a line cost about as many verifications as variants.
 
 Shuffled are packed columns, one row for each bucket of prefix words and about ROWS of them.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .shared import small, written
+from .shared import BROADCAST_BYTES, small, written
 
 U = np.uint64
 HALF = U(20)  # bits of a word: 20 of its bucket, 20 more
@@ -422,7 +423,74 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, most: int = 50
     return rows.repartition("g", "z").sortWithinPartitions("g", "z", "role").mapInArrow(X.lean(compare), "d bigint, l int, s int").distinct()
 
 
-def removals(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners: int = PARTNERS) -> DataFrame:
+def wanted(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """d, l, s, w: lines with the packed words of their sets. docs: d, t. lines: d, l, s, written."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, d, own in zip(batch.column(1), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts = text.as_py().split("\n")
+                own = [x for x in own if x["l"] < len(parts)]
+                line, word, _, found = line_sets(pa.array([parts[x["l"]] for x in own], pa.large_string()))
+                ends = np.searchsorted(line, np.arange(len(own) + 1))
+                rows = [(d, x["l"], x["s"], word[a:b].tobytes()) for x, a, b, f in zip(own, ends[:-1], ends[1:], low(found), strict=True) if f == x["s"]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["d", "l", "s", "w"])
+
+    by = lines.groupBy("d").agg(F.collect_list(F.struct("l", "s")).alias("v"))
+    return docs.join(small(written(by, "wanted"), 24 * lines.count(), 1), "d").select("d", "t", "v").mapInArrow(X.lean(sets), "d bigint, l int, s int, w binary")
+
+
+def against(docs: DataFrame, rows: list, frequency: np.ndarray, threshold: float) -> DataFrame:
+    """d, l, s of the rows (d, l, s, w) that an earlier line of docs (d, t) is similar to: the rows' prefixes are looked up in each task."""
+    order = np.lexsort((np.arange(BUCKETS), frequency))
+    place = np.empty(BUCKETS, np.uint32)
+    place[order] = np.arange(BUCKETS, dtype=np.uint32)
+    back = order.astype(np.uint32)
+    key = {c: np.array([r[c] for r in rows], np.int64) for c in KEY}
+    size = np.array([len(r["w"]) // 8 for r in rows], np.int64)
+    flat = np.frombuffer(b"".join(r["w"] for r in rows), U)
+    flat = np.sort((np.repeat(np.arange(len(rows)), size).astype(U) << U(40)) | (place[flat & MASK].astype(U) << HALF) | (flat >> HALF)) & U((1 << 40) - 1)
+    ends = np.r_[0, np.cumsum(size)]
+    which, k = repeated(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)
+    first = flat[ends[which] + k]
+    by_word = np.argsort(first, kind="stable")
+    first, which = first[by_word], which[by_word]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = np.zeros(len(size), bool)
+        for batch in batches:
+            ids = np.asarray(batch.column(0)).astype(np.int64)
+            for doc, number, lines in parted(batch.column(1)):
+                line, word, _, sets = line_sets(lines, place, back)
+                if not len(word):
+                    continue
+                n = np.bincount(line, minlength=len(lines))
+                begin = np.cumsum(n) - n
+                own, p = repeated(np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0))
+                w = word[begin[own] + p]
+                a, b = np.searchsorted(first, w), np.searchsorted(first, w, "right")
+                at, step = repeated(b - a)
+                pair = np.unique(own[at] * len(size) + which[a[at] + step])
+                i, j = pair // len(size), pair % len(size)
+                d, l, s = ids[doc[i]], number[i], low(sets)[i].astype(np.int64)
+                early = (d < key["d"][j]) | ((d == key["d"][j]) & ((l < key["l"][j]) | ((l == key["l"][j]) & (s < key["s"][j]))))
+                fit = np.flatnonzero(early & ~gone[j] & (np.minimum(n[i], size[j]) >= threshold * np.maximum(n[i], size[j]) - 1e-9))
+                there = (line.astype(U) << U(40)) | word
+                for lo in range(0, len(fit), 4096):
+                    x, y = i[fit[lo : lo + 4096]], j[fit[lo : lo + 4096]]
+                    owner, k = repeated(size[y])
+                    q = (x[owner].astype(U) << U(40)) | flat[ends[y][owner] + k]
+                    found = np.minimum(np.searchsorted(there, q), len(there) - 1)
+                    common = np.bincount(owner, there[found] == q, len(x))
+                    gone[y[common >= threshold * (n[x] + size[y] - common) - 1e-9]] = True
+        some = np.flatnonzero(gone)
+        yield pa.RecordBatch.from_arrays([pa.array(key["d"][some]), pa.array(key["l"][some].astype(np.int32)), pa.array(key["s"][some].astype(np.int32))], KEY)
+
+    return docs.select("d", "t").mapInArrow(X.lean(look), "d bigint, l int, s int").distinct()
+
+
+def removals(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners: int = PARTNERS, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """d, l, s of the lines that go: doc_id, line number from 0, and 32 bits of the hash of the line's set."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("t")).where("d is not null and t is not null")
     frequency = counted(own)
@@ -442,7 +510,11 @@ def removals(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners:
         done = done.union(written(verified(own, second, threshold), "second-done"))
     out = gone.union(done)
     left = written(best.where("more = -2").select(*KEY).join(done, KEY, "left_anti"), "left")
-    if n := left.count():
+    n = left.count()
+    sets = written(wanted(own, left), "left-sets") if n else None
+    if n and sets.agg(F.sum(F.octet_length("w") + 16)).first()[0] <= broadcast:
+        out = out.union(against(own, sets.collect(), frequency, threshold))
+    elif n:
         marks = left.groupBy("d").agg(F.collect_list(F.struct("l", "s")).alias("v"))
         marked = own.join(small(written(marks, "marks"), 24 * n, 1), "d", "left").select("d", "t", "v")
         again = paired(prefixes(marked, frequency, threshold, n_parts, hot), threshold, n_parts, partners, True)
@@ -450,9 +522,9 @@ def removals(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners:
     return out.distinct()
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners: int = PARTNERS) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners: int = PARTNERS, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """The rows and columns of docs, text without the lines that go, and __removed: how many went (0 where none)."""
-    lines = written(removals(docs, threshold, hot, partners), "removals")
+    lines = written(removals(docs, threshold, hot, partners, broadcast), "removals")
     bulk = 24 * lines.count()
     twice = docs.groupBy(F.col("doc_id").cast("bigint").alias("d")).agg((F.count("*") > 1).alias("twice")).where("twice")
     gone = lines.join(twice, "d", "left").groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("l", "s")).alias("__gone"), F.max("twice").alias("__twice"))
