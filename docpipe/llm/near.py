@@ -7,11 +7,14 @@ up to c, those of the last block being thinned by where they fall; a component o
 reaches it. So two texts agree in a component with the probability of their weighted Jaccard, min over max. Points are
 drawn only up to the time at which all components of a text are filled.
 
+Texts of equal multisets are one class, of which only the least doc_id goes on; the others are linked to it. So a text that
+is copied into a third of all rows is one row in its buckets.
+
 Signatures are cut into `bands` of `rows` components. Texts that share a band are candidates. First each candidate is
 verified against one other, of the least doc_ids of its buckets that which shares most of them; verified pairs are joined to groups. Then, exactly, all pairs of one
-bucket that are still in different groups and weren't compared are verified too, so nothing is capped: a bucket of
-thousands of copies costs as many comparisons as copies, not their square. A pair counts if the exact overlap of the
-multisets (sum of minima over sum of maxima) is at least `threshold`.
+bucket that are still in different groups, weren't compared and aren't too unlike in size are verified too, so nothing is
+capped: a bucket of thousands of near copies costs as many comparisons as copies, not their square. A pair counts if the
+exact overlap of the multisets (sum of minima over sum of maxima) is at least `threshold`.
 
 Defined results: null and blank texts belong to no group. Rows of null doc_id take no part. Rows with the same doc_id are
 one document of all their texts' signatures, and verified by the first of their texts in order. group_id is the least
@@ -175,26 +178,33 @@ def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshol
             for base, part in X.chunks(batch.column(1)):
                 offsets, h = X.words(part)
                 row, gram, count = bags(offsets, h, n)
-                kept = np.unique(row)
-                if len(kept):
-                    sig = banded(signatures(np.searchsorted(kept, row), gram, count, len(kept), bands * rows), bands, rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(base + kept)).cast(pa.int64()), X.lists(np.arange(len(kept) + 1) * bands, sig.ravel())], ["d", "s"])
-
-    keys = own.mapInArrow(X.lean(signed), "d bigint, s array<bigint>").select("d", F.explode("s").alias("k"))
-    buckets = keys.selectExpr("k", "d", "min(d) over (partition by k) as a", "max(d) over (partition by k) as z").where("a < z").select("k", "d", "a").distinct()
-    buckets = written(buckets, "buckets")
+                if not len(row):
+                    continue
+                at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                kept, size = row[at], np.add.reduceat(count, at)
+                with np.errstate(over="ignore"):
+                    whole = X.mix(np.add.reduceat(X.mix(gram * U(0x9E3779B97F4A7C15) + count.astype(U)), at) + size.astype(U))
+                sig = banded(signatures(np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(row)])), gram, count, len(kept), bands * rows), bands, rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(base + kept)).cast(pa.int64()), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int64)), X.lists(np.arange(len(kept) + 1) * bands, sig.ravel())], ["d", "x", "n", "s"])
+
+    signs = written(own.mapInArrow(X.lean(signed), "d bigint, x bigint, n bigint, s array<bigint>"), "signatures")
+    least = written(signs.groupBy("x").agg(F.min("d").alias("r")), "classes")
+    copies = written(signs.select("d", "x").join(least, "x").where("d <> r").select(F.col("r").alias("a"), F.col("d").alias("b")).distinct(), "copies")
+    keys = signs.join(least.withColumnRenamed("r", "d"), ["x", "d"], "left_semi").select("d", "n", F.explode("s").alias("k"))
+    ends = written(keys.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("k", "a"), "ends")
+    buckets = written(keys.join(small(ends, 16), "k").groupBy("k", "d").agg(F.max("n").alias("n"), F.first("a").alias("a")), "buckets")
     # Of the documents that are least of a text's buckets the one that shares most buckets with it, hence most alike.
     shared = buckets.where("d <> a").groupBy("d", "a").agg(F.count("*").alias("c"))
     first = written(shared.groupBy("d").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("d").alias("b")), "first")
-    edges = written(overlapping(own, first, n, threshold), "overlaps")
+    edges = written(overlapping(own, first, n, threshold), "overlaps").union(copies)
     found = written(connected(edges), "groups")
-    put = written(buckets.join(found, "d", "left").select("k", "d", "a", F.coalesce("g", "d").alias("g")), "put")
+    put = written(buckets.join(found, "d", "left").select("k", "d", "n", "a", F.coalesce("g", "d").alias("g")), "put")
     mixed = put.groupBy("k").agg(F.min("g").alias("p"), F.max("g").alias("q")).where("p < q").select("k")
     put = written(put.join(mixed, "k", "left_semi"), "mixed")
     # All pairs of a bucket that are in different groups: a member outside the group of the least one, with any other.
     base = put.where("d = a").select("k", F.col("g").alias("h"))
-    rest = put.join(base, "k").where("g <> h").select("k", F.col("d").alias("e"), F.col("g").alias("f"))
-    second = rest.join(put, "k").where("f <> g").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+    rest = put.join(base, "k").where("g <> h").select("k", F.col("d").alias("e"), F.col("g").alias("f"), F.col("n").alias("m"))
+    second = rest.join(put, "k").where(f"f <> g and least(m, n) >= {threshold} * greatest(m, n)").select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "second")
     if second.head(1):
         more = written(overlapping(own, second, n, threshold), "more")
