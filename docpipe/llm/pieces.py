@@ -1,7 +1,7 @@
 """SentencePiece encoding by a relational Viterbi lattice, and decoding.
 
 The vocabulary is a .model file, given by its path. A piece's log probability is the score in the file if it is a unigram
-model; a BPE file has only merge ranks, which become log probabilities by Zipf's law, -ln(rank) - ln(sum of 1 / rank).
+model, as the file itself says; a BPE file has only merge ranks, which become log probabilities by Zipf's law, -ln(rank) - ln(sum of 1 / rank).
 Scores are in 1/256, so that sums are exact. The encoding is the most probable sequence of pieces, of equals the one that
 has the longer last piece; a character without a piece costs 10 more than the worst piece and becomes its UTF-8 bytes. This
 is what the sentencepiece library gives for the same pieces in a unigram model (of texts of some 5,000 pieces and more its
@@ -17,12 +17,14 @@ Texts aren't shuffled: a batch of them is a chunk with numbered units, its docum
 what is shuffled are a chunk's distinct units, their pieces, and those numbers.
 
 Defined results: a null text has null ids, an empty one none. Line breaks and unknown characters come back exactly; U+2581
-is a space to the library, and comes back as one. Decoding ignores ids that the vocabulary doesn't have. Repeated rows are
+is a space to the library, and comes back as one. A text without any cut costs its length, as others do. Texts are read
+twice: what isn't a mere scan of files is written first. Decoding ignores ids that the vocabulary doesn't have. Repeated rows are
 encoded each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,15 +37,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sentencepiece import sentencepiece_model_pb2
 
 from . import text as X
-from .shared import BROADCAST_BYTES
+from .shared import BROADCAST_BYTES, written
 from .text import unvarints, varints
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN = 0xFFFF
 ROWS = 512  # documents that are put together at once
+BLOCK = 64  # characters that are folded at once
+SCORES = 1 << 17  # scores are below that, and above its negative
+CHUNK_BYTES = 8 << 20
+BUCKETS_A_UNIT = 256  # of so many buckets a unit is in one
 
 
 @dataclass(frozen=True)
@@ -61,15 +68,26 @@ class Vocabulary:
         return max(map(len, self.pieces))
 
 
-def vocabulary(path: str = MODEL, bpe: bool = True) -> Vocabulary:
-    """The pieces of a model with byte fallback. bpe: scores are merge ranks, in order of id."""
+def is_bpe(path: str) -> bool:
+    """Whether the file says that its model is one of merges."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto.trainer_spec.model_type == proto.trainer_spec.BPE
+
+
+def vocabulary(path: str = MODEL, bpe: bool | None = None) -> Vocabulary:
+    """The pieces of a model with byte fallback. bpe: whether scores are merge ranks, in order of id; by default what the file says."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    bpe = is_bpe(path) if bpe is None else bpe
     size = model.get_piece_size()
     if size > UNKNOWN:
         raise ValueError(f"at most {UNKNOWN} pieces can be packed")
     own = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     total = np.log(np.sum(1.0 / np.arange(1, len(own) + 1)))
     scores = {i: round(256 * (-np.log(k + 1) - total if bpe else model.get_score(i))) for k, i in enumerate(own)}
+    if max(scores.values()) >= SCORES or min(scores.values()) - 2560 <= -SCORES:
+        raise ValueError("a score can't be packed")
     byte = {model.id_to_piece(i): i for i in range(size) if model.is_byte(i)}
     pieces = {model.id_to_piece(i): (i, s) for i, s in scores.items()}
     adjacent = np.unique(np.array([(ord(a) << 21) | ord(b) for p in pieces for a, b in zip(p, p[1:], strict=False)], np.int64))
@@ -171,11 +189,13 @@ def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
     name = xxhash.xxh3_64(whole)
     name.update(at.tobytes())
     name.update(offsets.tobytes())
-    bucket = (X.string_hashes(units.dictionary) % np.uint64(n)).astype(np.int64)
+    key = int(np.uint64(name.intdigest()).astype(np.int64))
+    # With many buckets a unit is in several, each for its share of the chunks: lists of where it occurs stay short.
+    with np.errstate(over="ignore"):
+        bucket = ((X.string_hashes(units.dictionary) + X.mix(np.full(1, key % max(1, n // BUCKETS_A_UNIT), np.uint64))) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    key = int(np.uint64(name.intdigest()).astype(np.int64))
     return Chunk(key, offsets, at, unit_offsets, place[np.asarray(units.indices)], units.dictionary.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(n + 1)))
 
 
@@ -186,35 +206,49 @@ def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
 
 
 def edges(units: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """b, u, t, x: an edge of the lattice of unit u, packed: end, 31 - length, score, id. t, the unit and where it occurs, is carried by one edge of a unit."""
+    """b, u, k, t, x: an edge of the lattice of unit u that ends in its k-th block of BLOCK characters, packed: end in the block, 31 - length, score, id. t, the unit and where it occurs, is carried by one edge of a unit."""
     n = vocab.longest
     if n > 31:
         raise ValueError("pieces of at most 31 characters can be packed")
-    spread = units.select("b", "u", "w", F.struct("w", "o").alias("t"), F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("s"))
-    spread = spread.select("b", "u", "w", "s", F.when(F.col("s") == 0, F.col("t")).alias("t"), F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.length("w") - F.col("s")))).alias("l"))
-    spread = spread.select("b", "u", "s", "l", F.when(F.col("l") == 1, F.col("t")).alias("t"), F.expr("substring(w, s + 1, l)").alias("p"))
+    # A block goes with the characters after it that its pieces may reach, so that no substring is looked for in a long text.
+    blocks = F.expr(f"if(length(w) <= {BLOCK}, array(w), regexp_extract_all(w, '(?s).{{1,{BLOCK}}}', 0))")
+    block = "named_struct('k', i, 'text', concat(x, left(coalesce(get(parts, i + 1), ''), 30)), 't', if(i = 0, named_struct('w', w, 'o', o), null))"
+    spread = units.withColumn("parts", blocks).select("b", "u", F.expr(f"explode(transform(parts, (x, i) -> {block})) as y")).select("b", "u", "y.*")
+    spread = spread.select("b", "u", "k", "text", "t", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.length("text")) - 1)).alias("s"))
+    spread = spread.select("b", "u", "k", "text", "s", F.when(F.col("s") == 0, F.col("t")).alias("t"), F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.length("text") - F.col("s")))).alias("l"))
+    spread = spread.select("b", "u", "k", (F.col("s") + F.col("l") - 1).alias("e"), "l", F.when(F.col("l") == 1, F.col("t")).alias("t"), F.expr("substring(text, s + 1, l)").alias("p"))
     joined = spread.join(piece_table(units.sparkSession, vocab), "p", "left").where("id is not null or l = 1")
     packed = F.expr(
-        f"shiftleft(cast(s + l as bigint), 35) | shiftleft(cast(31 - l as bigint), 30) | shiftleft(cast(coalesce(score, {vocab.unknown}) + 8192 as bigint), 16) | cast(coalesce(id, {UNKNOWN}) as bigint)"
+        f"shiftleft(cast(e % {BLOCK} as bigint), 39) | shiftleft(cast(31 - l as bigint), 34) | shiftleft(cast(coalesce(score, {vocab.unknown}) + {SCORES} as bigint), 16) | cast(coalesce(id, {UNKNOWN}) as bigint)"
     )
-    return joined.select("b", "u", "t", packed.alias("x"))
+    return joined.select("b", "u", F.expr(f"k + cast(e div {BLOCK} as int)").alias("k"), "t", packed.alias("x"))
 
 
 def folded(lattice: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """o, ids: the best pieces of each unit. The fold has for each place the score, and how it is reached: start and id."""
-    grouped = lattice.groupBy("u", "b").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("t", True).alias("t"))
-    end, start = "cast(shiftright(x, 35) as int)", "(cast(shiftright(x, 35) as int) - 31 + cast(shiftright(x, 30) & 31 as int))"
-    total = f"(a[{start}].score + cast(shiftright(x, 16) & 16383 as int) - 8192)"
-    edge = f"array(named_struct('score', {total}, 's', {start}, 'id', cast(x & 65535 as int)))"
+    """o, ids: the best pieces of each unit.
+
+    The fold has for each place the score, and how it is reached: start and id. It goes from block to block with the last 31
+    places alone, so that a unit costs its length and not the square of it.
+    """
+    grouped = lattice.groupBy("u", "b", "k").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.first("t", True).alias("t"))
+    grouped = grouped.groupBy("u", "b").agg(F.sort_array(F.collect_list(F.struct("k", "xs"))).alias("ys"), F.first("t", True).alias("t"))
+    way = "cast(array() as array<array<struct<{}s:int,id:int>>>)"
+    end, size = "(size(z.c) + cast(shiftright(x, 39) as int))", "(31 - cast(shiftright(x, 34) & 31 as int))"
+    total = f"(a[{end} - {size}].score + (shiftright(x, 16) & {2 * SCORES - 1}) - {SCORES})"
+    edge = f"array(named_struct('score', {total}, 's', {BLOCK} * y.k + 1 + cast(shiftright(x, 39) as int) - {size}, 'id', cast(x & 65535 as int)))"
     best = grouped.select(
         F.col("t.w").alias("w"), F.col("t.o").alias("o"),
-        F.expr(f"""aggregate(xs, array(named_struct('score', 0, 's', -1, 'id', -1)), (a, x) ->
-            if(size(a) = {end}, concat(a, {edge}), if({total} > a[{end}].score, concat(slice(a, 1, {end}), {edge}), a)))""").alias("a"),
+        F.expr(f"""aggregate(ys, named_struct('c', array(named_struct('score', 0L, 's', -1, 'id', -1)), 'out', {way.format("score:bigint,")}), (z, y) ->
+            aggregate(y.xs, z.c, (a, x) -> if(size(a) = {end}, concat(a, {edge}), if({total} > a[{end}].score, concat(slice(a, 1, {end}), {edge}), a)),
+            a -> named_struct('c', slice(a, greatest(size(a) - 30, 1), 31), 'out', concat(z.out, array(slice(a, size(z.c) + 1, {BLOCK}))))), z -> z.out)""").alias("a"),
     )
+    block = "a[size(a) - i]"
     way = best.select(
         "w", "o",
-        F.expr("""aggregate(sequence(1, size(a) - 1), named_struct('at', size(a) - 1, 'out', cast(array() as array<struct<s:int,id:int>>)), (z, k) ->
-            if(z.at = 0, z, named_struct('at', a[z.at].s, 'out', array_append(z.out, named_struct('s', a[z.at].s, 'id', a[z.at].id)))), z -> reverse(z.out))""").alias("way"),
+        F.expr(f"""aggregate(sequence(1, size(a)), named_struct('at', {BLOCK} * (size(a) - 1) + size(a[size(a) - 1]), 'out', {way.format("")}), (z, i) ->
+            aggregate(sequence(1, size({block})), named_struct('at', z.at, 'o', cast(array() as array<struct<s:int,id:int>>)), (v, j) ->
+            if(v.at <= {BLOCK} * (size(a) - i), v, named_struct('at', {block}[v.at - 1 - {BLOCK} * (size(a) - i)].s, 'o', array_append(v.o, named_struct('s', {block}[v.at - 1 - {BLOCK} * (size(a) - i)].s, 'id', {block}[v.at - 1 - {BLOCK} * (size(a) - i)].id)))),
+            v -> named_struct('at', v.at, 'out', concat(array(reverse(v.o)), z.out))), z -> flatten(z.out))""").alias("way"),
     )
     first = vocab.bytes[0]
     if vocab.bytes != tuple(range(first, first + 256)):
@@ -227,17 +261,23 @@ def folded(lattice: DataFrame, vocab: Vocabulary) -> DataFrame:
     return way.select("o", F.when(known, F.expr("transform(way, y -> y.id)")).otherwise(spelt).alias("ids"))
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """docs, if it is but a scan of files, which gives the same batches each time it is read; else written first."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return written(docs, "texts") if re.search(r"Exchange|Sort|Limit|Sample|Aggregate|Join|Python|Pandas|Arrow|Window|RDD|Generate|Union|InMemory|Local", plan) or "FileScan" not in plan else docs
+
+
 def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | None = None, back: str | None = None) -> DataFrame:
     """doc_id, ids: one row for each row of docs. back: path of a model, to add `decoded`, the text that the ids stand for."""
     vocab = vocab or vocabulary()
     spell = Speller(back) if back else None
     spark = docs.sparkSession
     n = partitions or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t"))
+    own = steady(docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t")))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in X.chunks(batch.column(1), 12 << 20):
+            for _, part in X.chunks(batch.column(1), CHUNK_BYTES):
                 c = chunk(part, vocab, n)
                 some = np.flatnonzero(np.diff(c.ends))
                 offsets = pa.array(np.r_[c.ends[some], len(c.units)].astype(np.int32))
@@ -247,7 +287,7 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | N
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, part in X.chunks(batch.column(1), 12 << 20):
+            for base, part in X.chunks(batch.column(1), CHUNK_BYTES):
                 c = chunk(part, vocab, n)
                 at, data = varints(c.offsets, c.parts)
                 codes = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
