@@ -79,17 +79,10 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int, name: str = "qu
         .where("q = r")
     )
     counts = {r["q"]: r["count"] for r in own.groupBy("q").count().collect()}
-    picked = [r for q in (0, 1) for r in own.where(F.col("q") == q).orderBy(F.xxhash64("i"), "i").limit(per_class).collect()]
-    if not picked:
-        return [], counts
-    by = {r["i"]: r["q"] for r in picked}
-    texts = (
-        docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
-        .where(F.col("i").isin(list(by)) & (F.trim("t") != ""))
-        .groupBy("i")
-        .agg(F.min("t").alias("t"))
-    )
-    return sorted((r["i"], r["t"], by[r["i"]]) for r in texts.collect()), counts
+    picked = own.where("q = 0").orderBy(F.xxhash64("i"), "i").limit(per_class).union(own.where("q = 1").orderBy(F.xxhash64("i"), "i").limit(per_class))
+    # At most 2 * per_class ids are broadcast.
+    texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where(F.trim("t") != "").join(F.broadcast(picked.select("i", "q")), "i")
+    return sorted((r["i"], r["t"], r["q"]) for r in texts.groupBy("i").agg(F.min("t").alias("t"), F.first("q").alias("q")).collect()), counts
 
 
 def held(texts: pa.Array, marks: np.ndarray) -> np.ndarray:
@@ -107,11 +100,15 @@ def toxic_marks(rows: list, least: int, z: float) -> tuple[np.ndarray | None, fl
     if min(y.sum(), (~y).sum()) < least:
         return None, 1.0
     texts = pa.array([t for _, t, _ in rows], pa.string())
-    offsets, h = X.words(texts)
-    names, code = np.unique(h, return_inverse=True)
-    pairs = np.unique(code.astype(np.int64) * len(rows) + X.owners(offsets))
-    n = np.bincount(pairs // len(rows), minlength=len(names))
-    a = np.bincount(pairs // len(rows), y[pairs % len(rows)], len(names))
+    names, n, a = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # words, texts that hold them, toxic ones of these
+    for base, part in X.chunks(texts):
+        offsets, h = X.words(part)
+        own, code = np.unique(h, return_inverse=True)
+        pairs = np.unique(code * len(part) + X.owners(offsets))
+        each, toxic = np.bincount(pairs // max(1, len(part)), minlength=len(own)), y[base + pairs % max(1, len(part))]
+        names, at = np.unique(np.r_[names, own], return_inverse=True)
+        n = np.bincount(at, np.r_[n, each], len(names)).astype(np.int64)
+        a = np.bincount(at, np.r_[a, np.bincount(pairs // max(1, len(part)), toxic, len(own))], len(names)).astype(np.int64)
     p = y.mean()
     marks = names[(a >= 3) & (a - n * p > z * np.sqrt(n * p * (1 - p)))]
     found = held(texts, marks)
@@ -128,9 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, dictionary: i
     rest = {k: [t for _, t, q in rows if q == k][1::2] for k in (0, 1)}
     samples = {k: [b for t in [t for _, t, q in rows if q == k][::2] for b in blocks(t, block)] for k in (0, 1)}
     try:
-        made = {k: zstandard.train_dictionary(dictionary, v[:: 1 + len(v) // 4000]).as_bytes() for k, v in samples.items()}
-    except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-        made, raw = {k: b"".join(v)[-dictionary:] for k, v in samples.items()}, True
+        made = {k: zstandard.train_dictionary(dictionary, v).as_bytes() for k, v in samples.items()}
+    except zstandard.ZstdError:  # too little text to train on: the whole text itself is the dictionary
+        made, raw = {k: b"".join(v) for k, v in samples.items()}, True
     model = Model(made[1], made[0], 0.0, 0.0, block, level, raw)
     good, bad = compressors(model)
     x = np.array([difference(t, good, bad, block) for k in (0, 1) for t in rest[k]])

@@ -303,6 +303,17 @@ def same(ids, text, own, vocab):
     return len(exact) > 4000 and total(ids) >= total(exact) and own.decode(ids) == text
 
 
+def test_pieces_of_very_long_units_and_of_shuffled_texts(spark):
+    rng = random.Random(8)
+    vocab = pieces.vocabulary()
+    texts = ["th" * n for n in (31, 32, 33, 63, 64, 65, 127, 128, 129, 3000)] + ["".join(rng.choices("ing", k=k)) for k in (62, 95, 96, 500, 9_000)] + ["e" * 60_000]
+    docs = docs_of(spark, texts).repartition(3)
+    own = library(vocab)
+    out = {r.doc_id: r for r in pieces.encode(docs, vocab, partitions=4, back=pieces.MODEL).collect()}
+    assert all(same(out[i].ids, t, own, vocab) and out[i].decoded == t for i, t in enumerate(texts[:-1]))
+    assert out[len(texts) - 1].decoded == texts[-1]
+
+
 # 6 quality
 
 
@@ -495,17 +506,17 @@ def test_lines_are_brute_force(spark, threshold, hot, partners):
         assert out[d] == ("\n".join(left), len(t.split("\n")) - len(left))
 
 
-@pytest.mark.parametrize("partners", [1, 64])
-def test_lines_of_a_large_group_reach_the_last_round(spark, monkeypatch, partners):
+@pytest.mark.parametrize(("partners", "broadcast"), [(1, 0), (1, 1 << 25), (64, 0)])
+def test_lines_of_a_large_group_reach_the_last_round(spark, monkeypatch, partners, broadcast):
     """Lines that share their rare words and half of the others: many possible partners by sketch that fail, some that don't."""
     rng = random.Random(3)
     texts = [" ".join(["rare", "seldom", *sorted(rng.sample([f"c{k}" for k in range(16)], 12))]) for _ in range(900)]
     rounds = []
-    real = lines.paired
-    monkeypatch.setattr(lines, "paired", lambda *a: rounds.append(a[4:]) or real(*a))
-    got = {(r.d, r.l) for r in lines.removals(docs_of(spark, texts), 0.8, lines.HOT, partners).collect()}
+    for name in ("paired", "against"):
+        monkeypatch.setattr(lines, name, lambda *a, name=name, real=getattr(lines, name): rounds.append(name) or real(*a))
+    got = {(r.d, r.l) for r in lines.removals(docs_of(spark, texts), 0.8, lines.HOT, partners, broadcast).collect()}
     assert got == brute_lines(list(enumerate(texts)), 0.8)
-    assert partners > 1 or rounds == [(), (True,)]
+    assert partners > 1 or rounds == ["paired", "against" if broadcast else "paired"]
 
 
 def test_lines_odd_rows(spark):
