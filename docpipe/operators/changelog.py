@@ -82,3 +82,30 @@ def markdown(commits: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("category")).cast("int")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.concat(F.lit("- "), x["text"])), "\n")
     return entries(commits).groupBy(rank.alias("rank"), "category").agg(body.alias("body"))
+
+
+HEADER = """# Changelog
+
+All notable changes to this project will be documented in this file.
+
+The format is based on [Keep a Changelog](https://keepachangelog.com/en/1.1.0/),
+and this project adheres to [Semantic Versioning](https://semver.org/spec/v2.0.0.html).
+"""
+
+
+def release(commits: DataFrame, date: str) -> DataFrame:
+    """entry: the whole entry of a release that isn't out, in one row; without changes its heading alone."""
+    parts = markdown(commits).select("rank", F.concat(F.lit("### "), "category", F.lit("\n\n"), "body").alias("text"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n")
+    return parts.agg(F.rtrim(F.concat(F.lit(f"## [Unreleased] - {date}\n\n"), body), F.lit("\n")).alias("entry"))
+
+
+def inserted(existing: Column, entry: Column) -> Column:
+    """A changelog with an entry before its first one, at its end if it has none; of null a new changelog."""
+    at = F.locate("\n## [", F.concat(F.lit("\n"), existing))
+    before, after = F.substring(existing, F.lit(1), at - 1), F.substring(existing, at, F.length(existing))
+    return (
+        F.when(existing.isNull(), F.concat(F.lit(HEADER + "\n"), entry, F.lit("\n")))
+        .when(at > 0, F.concat(before, entry, F.lit("\n\n"), after))
+        .otherwise(F.concat(F.rtrim(existing, F.lit("\n")), F.lit("\n\n"), entry, F.lit("\n")))
+    )

@@ -25,6 +25,7 @@ VERB = r"""(?:app|router)\.\s*(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"
 FLASK = r"""@(?:app|bp|blueprint)\.\s*(?:route|get|post|put|delete)\s*\(\s*['"]([^'"]+)"""
 FASTAPI = r"""@(?:app|router)\.\s*(?:get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)"""
 EXCLUDED = r"\.(?:test|spec|stories)\.[jt]sx?$|_test\.(?:py|go)$|test_[\p{L}\p{N}_]+\.py$|(?:conftest|setup)\.py$|\.d\.ts$"
+NAMING = r"^(?:export|module|exports|async|def|class|func|type)\b|(?:app|router|bp|blueprint)\.\s*(?:route|get|post|put|delete|patch)\s*\("  # what every pattern above needs
 SHORT_NAME, SHORT_TERM = 4, 6
 
 
@@ -56,14 +57,17 @@ def items(files: DataFrame) -> DataFrame:
     The comment above a name is looked for in the file's own array of lines, at most 9 and then 29 lines back: no window.
     """
     own = language(files).withColumn("all", F.split("content", "\n", -1))
-    text = own.select("path", "language", "all", F.posexplode("all").alias("p", "text"))
+    # Of the lines only those that may name something are exploded, each with the lines around it that its comment may be in.
+    some = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("p"), x.alias("text"))), lambda x: x["text"].rlike(NAMING))
+    text = own.select("path", "language", "all", F.explode(some).alias("y")).select("path", "language", F.col("y.p").alias("line0"), "y.text", F.greatest(F.col("y.p") - 40, F.lit(0)).alias("from"), "all")
+    text = text.select("path", "language", "line0", "text", F.slice("all", F.col("from") + 1, F.lit(44)).alias("all"), (F.col("line0") - F.col("from")).alias("p"))
     ts = F.col("language") == "typescript"
     py = F.col("language") == "python"
     exported = F.when(ts, _pairs(SCRIPT)).when(py, _pairs(PYTHON)).otherwise(_pairs(GO))
     verbs = F.transform(F.arrays_zip(found(F.col("text"), VERB, 1).alias("v"), found(F.col("text"), VERB, 2).alias("u")), lambda x: F.struct(F.lit("endpoint").alias("kind"), F.concat(F.upper(x["v"]), F.lit(" "), x["u"]).alias("name")))
     routes = F.transform(F.array_union(found(F.col("text"), FLASK), found(F.col("text"), FASTAPI)), lambda x: F.struct(F.lit("endpoint").alias("kind"), F.concat(F.lit("ROUTE "), x).alias("name")))
     every = F.concat(exported, F.when(ts, verbs).when(py, routes).otherwise(F.array().cast("array<struct<kind:string,name:string>>")))
-    rows = text.where(F.size(every) > 0).select("path", "language", "all", "p", F.explode(every).alias("x")).where(f"x.kind = 'endpoint' or length(x.name) >= {SHORT_NAME}")
+    rows = text.where(F.size(every) > 0).select("path", "language", "all", "p", "line0", F.explode(every).alias("x")).where(f"x.kind = 'endpoint' or length(x.name) >= {SHORT_NAME}")
     component = F.col("path").endswith(".tsx") & F.col("x.name").rlike("^[A-Z]")
     kind = (
         F.when((F.col("language") == "typescript") & F.col("x.kind").isin("function", "const_arrow", "default_function"), F.when(component, "component").otherwise("function"))
@@ -84,7 +88,7 @@ def items(files: DataFrame) -> DataFrame:
     quiet = lambda x: (x == "") | x.startswith("#")
     docstring = quote(at(1)) | (quiet(at(1)) & quote(at(2)))
     inline = F.when(F.col("x.kind") == "endpoint", F.lit(False)).when(F.col("language") == "typescript", jsdoc).when(F.col("language") == "python", docstring).otherwise(at(-1).startswith("//") & (F.col("p") > 0))
-    return rows.select("path", (F.col("p") + 1).alias("line"), F.col("x.name").alias("name"), kind.alias("type"), F.coalesce(inline, F.lit(False)).alias("has_inline_docs"))
+    return rows.select("path", (F.col("line0") + 1).alias("line"), F.col("x.name").alias("name"), kind.alias("type"), F.coalesce(inline, F.lit(False)).alias("has_inline_docs"))
 
 
 def documented_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -94,7 +98,9 @@ def documented_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def status(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """items with status: documented, partial, undocumented, or skipped where the term is too short to be looked for."""
+    """items with status: documented, partial, undocumented, or skipped where the term is too short to be looked for. Without any document all are undocumented."""
+    if not docs.where("content is not null").head(1):
+        return items(files).withColumn("status", F.lit("undocumented"))
     own = items(files).withColumn("term", F.when(F.col("type") == "endpoint", F.regexp_replace("name", "^[A-Z]+ ", "")).otherwise(F.col("name")))
     terms = own.where(F.length("term") >= SHORT_TERM).select("term").distinct()
     hit = documented_terms(docs, terms).withColumn("hit", F.lit(True))
@@ -127,10 +133,16 @@ def undocumented(files: DataFrame, docs: DataFrame, most: int = 30) -> DataFrame
     return status(files, docs).where("status = 'undocumented'").withColumn("priority", order).orderBy("priority", "path", "line", "name").limit(most).select("priority", "path", "line", "name", "type")
 
 
+def partial(files: DataFrame, docs: DataFrame, most: int = 15) -> DataFrame:
+    """The first names with a comment but without a page, and why they are on the list."""
+    own = status(files, docs).where("status = 'partial'").orderBy("path", "line", "name").limit(most)
+    return own.select("path", "line", "name", "type", F.lit("Has inline docs but no page of its own").alias("reason"))
+
+
 def docs_kind(docs: DataFrame) -> DataFrame:
     """kind: api_reference if a document says so or functions are mentioned more than 20 times, else product_docs."""
-    said = F.max(F.col("content").rlike(r"(?i)(?:api|function|class) reference"))
-    calls = F.sum(F.size(found(F.col("content"), r"(`[^`\n]+\(\)`)")))
+    said = F.max(F.col("content").rlike(r"(?i)(?:api|function|class)\s+reference"))
+    calls = F.sum(F.size(found(F.col("content"), r"(`[^`]+\(\)`)")))
     return docs.agg(F.when(said | (calls > 20), "api_reference").otherwise("product_docs").alias("kind"))
 
 

@@ -84,53 +84,55 @@ def suggestions(docs: DataFrame) -> DataFrame:
 
 
 def resolved(docs: DataFrame) -> DataFrame:
-    """Internal links with the page that they lead to: relative to their page, or by route; null where there is none.
+    """Internal links and images with the page that they lead to: relative to their page, or by route; null where there is none.
 
-    A relative target may also be a folder. What leaves the root is broken and its path isn't shown.
+    A relative target may also be a folder. What leaves the root is broken and its path isn't shown. A route begins at the
+    root; a relative target that isn't there is tried as a route too, and is then a fallback. Documents without content have no links.
     """
-    own = links(docs).where("type = 'internal'").withColumn("file", F.substring_index("target", "#", 1))
+    own = links(docs).where("type in ('internal', 'image')").withColumn("file", F.substring_index("target", "#", 1))
     own = own.withColumn("fragment", F.when(F.col("target").contains("#"), F.expr("substr(target, locate('#', target) + 1)")).otherwise(""))
     route = F.col("file").startswith("/")
     relative = normal_path(F.concat_ws("/", folder(F.col("path")), "file"))
     own = own.withColumn("at", F.when(~route, relative)).withColumn("outside", ~route & (F.col("at").startswith("../") | (F.col("at") == "..")))
-    name = F.regexp_replace(F.when(route, F.col("file")).otherwise(F.concat(F.lit("/"), F.col("at"))), "^/+|/+$", "")
+    name = F.regexp_replace("file", "^/+|/+$", "")
     name = F.when(name == "", "index").otherwise(name)
-    tries = F.array(F.when(~route, F.col("at")), F.concat(name, F.lit(".md")), F.concat(name, F.lit(".mdx")), F.concat(name, F.lit("/index.md")), F.concat(name, F.lit("/index.mdx")))
+    routes = [normal_path(F.concat(name, F.lit(end))) for end in (".md", ".mdx", "/index.md", "/index.mdx")]
+    tries = F.array(F.when(~route, F.col("at")), *routes)
     files = docs.select(F.col("path").alias("c"))
     folders = docs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("c")).distinct()
     places = folders.join(files.withColumn("page", F.lit(True)), "c", "left")
     own = own.withColumn("key", F.struct("path", "line", "kind", "ordinal"))
     wide = own.where("not outside").select("key", F.posexplode(tries).alias("r", "c")).where("c is not null")
-    hits = wide.join(places, "c").where("r = 0 or page").groupBy("key").agg(F.min_by("c", "r").alias("resolved"))
+    hits = wide.join(places, "c").where("r = 0 or page").groupBy("key").agg(F.min(F.struct("r", "c")).alias("x"))
     return own.join(hits, "key", "left").select(
-        "path", "line", "kind", "ordinal", "target", "fragment", "outside", "resolved",
-        F.when(F.col("outside"), "broken").when(F.col("resolved").isNull(), "broken").otherwise("ok").alias("status"),
+        "path", "line", "kind", "ordinal", "type", "target", "fragment", "outside", F.col("x.c").alias("resolved"), F.coalesce(~F.col("file").startswith("/") & (F.col("x.r") > 0), F.lit(False)).alias("fallback"),
+        F.when(F.col("outside"), "broken").when(F.col("x").isNull(), "broken").otherwise("ok").alias("status"),
     )
 
 
 def missing_fragments(docs: DataFrame) -> DataFrame:
-    """Links to another page that is there, but without the anchor."""
-    own = resolved(docs).where("status = 'ok' and fragment <> ''").withColumn("anchor", F.lower("fragment"))
+    """Links to another page, found by its path or by a route of its own, that is there without the anchor."""
+    own = resolved(docs).where("status = 'ok' and fragment <> '' and not fallback").withColumn("anchor", F.lower("fragment"))
     there = anchors(docs).select(F.col("path").alias("resolved"), F.lower("anchor").alias("anchor")).distinct()
-    return own.join(there, ["resolved", "anchor"], "left_anti").select("path", "line", "target", "resolved")
+    return own.join(there, ["resolved", "anchor"], "left_anti").select("path", "line", "kind", "ordinal", "target", "resolved")
 
 
 def page_suggestions(docs: DataFrame) -> DataFrame:
     """For broken relative links up to three pages of the wanted folder that begin with the same three letters."""
-    gone = resolved(docs).where("status = 'broken' and not outside and not startswith(target, '/')")
+    gone = resolved(docs).where("status = 'broken' and type = 'internal' and not outside and not startswith(target, '/')")
     wanted = normal_path(F.concat_ws("/", folder(F.col("path")), F.substring_index("target", "#", 1)))
-    gone = gone.select("path", "line", "target", "ordinal", folder(wanted).alias("dir"), F.lower(F.substring(F.regexp_replace(wanted, "^.*/", ""), 1, 3)).alias("three"))
+    gone = gone.select("path", "line", "target", "kind", "ordinal", folder(wanted).alias("dir"), F.lower(F.substring(F.regexp_replace(wanted, "^.*/", ""), 1, 3)).alias("three"))
     pages = docs.select(folder(F.col("path")).alias("dir"), F.regexp_replace("path", "^.*/", "").alias("name"))
     pages = pages.withColumn("three", F.lower(F.substring("name", 1, 3)))
     # Of each beginning only the first three pages can be suggested.
     few = pages.withColumn("n", F.row_number().over(Window.partitionBy("dir", "three").orderBy("name"))).where("n <= 3")
     few = few.groupBy("dir", "three").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("suggested"))
-    return gone.join(few, ["dir", "three"], "left").select("path", "line", "target", "ordinal", F.coalesce("suggested", F.lit("")).alias("suggested"))
+    return gone.join(few, ["dir", "three"], "left").select("path", "line", "target", "kind", "ordinal", F.coalesce("suggested", F.lit("")).alias("suggested"))
 
 
 def orphans(docs: DataFrame) -> DataFrame:
-    """Pages that no internal link leads to by its path; front pages don't count."""
-    to = links(docs).where("type = 'internal'").select(normal_path(F.concat_ws("/", folder(F.col("path")), F.substring_index("target", "#", 1))).alias("path")).distinct()
+    """Pages that no internal link leads to by its path; front pages don't count. A route isn't a path of a page."""
+    to = links(docs).where("type = 'internal' and not startswith(target, '/')").select(normal_path(F.concat_ws("/", folder(F.col("path")), F.substring_index("target", "#", 1))).alias("path")).distinct()
     return docs.select("path").join(to, "path", "left_anti").where(~F.col("path").rlike(r"(?:README\.md|index\.mdx?)$"))
 
 
@@ -150,16 +152,41 @@ def safe_url(url: Column) -> Column:
 def budgeted(docs: DataFrame, most: int = 50) -> DataFrame:
     """External links in order, with whether they are within the budget of requests."""
     own = links(docs).where("type = 'external'").select("path", "line", "kind", "ordinal", "target")
-    first = own.orderBy("path", "line", "kind", "ordinal").limit(most).withColumn("checked", F.lit(True))
-    return own.join(first, ["path", "line", "kind", "ordinal", "target"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
+    key = F.struct("path", "line", "kind", "ordinal")
+    # The last that is within the budget is one row; all others are compared with it.
+    last = own.select(key.alias("key")).orderBy("key").limit(most).agg(F.max("key").alias("last"))
+    return own.join(F.broadcast(last)).select(*own.columns, (key <= F.col("last")).alias("checked"))
+
+
+def fixes(docs: DataFrame) -> DataFrame:
+    """path, line, target, proposed: broken links that have a suggestion. Only the file, or only the anchor, is replaced."""
+    pages = page_suggestions(docs).where("suggested <> ''")
+    rest = F.when(F.col("target").contains("#"), F.expr("substr(target, locate('#', target))")).otherwise("")
+    file = F.concat(F.regexp_replace(F.substring_index("target", "#", 1), "[^/]*$", ""), F.substring_index("suggested", ",", 1), rest)
+    marks = suggestions(docs).where("suggested <> ''")
+    return pages.select("path", "line", "target", file.alias("proposed")).union(
+        marks.select("path", "line", F.concat(F.lit("#"), "anchor").alias("target"), F.concat(F.lit("#"), F.substring_index("suggested", ",", 1)).alias("proposed"))
+    )
+
 
+def summary(docs: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """Links by type in one row; how many are ok, broken or redirected; and has_broken, which says whether a check fails.
 
-def summary(docs: DataFrame) -> DataFrame:
-    """Links by type in one row, with broken ones."""
+    checked: target and status of the external links that were asked for; the others count as ok. E-mail is in the total alone.
+    """
     every = links(docs)
+    status = every.where("type = 'external'").select("target")
+    if checked is not None:
+        status = status.join(checked.select("target", "status").distinct(), "target", "left")
+    else:
+        status = status.withColumn("status", F.lit(None).cast("string"))
+    outer = status.agg(*(F.count_if(F.col("status") == k).alias(n) for k, n in (("broken", "broken_external"), ("redirect", "redirects"))), F.count_if(F.coalesce("status", F.lit("ok")) == "ok").alias("external_ok"))
     kinds = every.agg(F.count("*").alias("total"), *(F.count_if(F.col("type") == k).alias(k) for k in ("internal", "anchor", "image", "external", "email")))
-    broken = resolved(docs).agg(F.count_if(F.col("status") == "broken").alias("broken_internal"))
-    return kinds.crossJoin(broken).crossJoin(missing_anchors(docs).agg(F.count("*").alias("broken_anchor"))).crossJoin(orphans(docs).agg(F.count("*").alias("orphans")))
+    gone = [resolved(docs).where("status = 'broken'"), missing_fragments(docs), missing_anchors(docs)]
+    broken = gone[0].select(F.lit(1)).union(gone[1].select(F.lit(1))).union(gone[2].select(F.lit(1))).agg(F.count("*").alias("broken_internal"))
+    out = kinds.crossJoin(outer).crossJoin(broken).crossJoin(orphans(docs).agg(F.count("*").alias("orphans")))  # four single rows
+    ok = F.col("internal") + F.col("anchor") + F.col("image") - F.col("broken_internal") + F.col("external_ok")
+    return out.withColumn("ok", ok).withColumn("has_broken", F.col("broken_internal") + F.col("broken_external") > 0).drop("external_ok")
 
 
 def page_links(pages: DataFrame) -> DataFrame:

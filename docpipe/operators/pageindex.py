@@ -80,16 +80,31 @@ def rendered(docs: DataFrame, root: str, base: str | None) -> DataFrame:
     return own.select("section_rank", "section", F.array_join(F.col("x.line"), "\n").alias("body"))
 
 
+def index_text(docs: DataFrame, root: str, base: str | None, name: str, description: str) -> DataFrame:
+    """text: the whole index in one row: name, description, and the sections that have pages."""
+    part = F.concat(F.lit("## "), "section", F.lit("\n\n"), "body")
+    own = rendered(docs, root, base).agg(F.array_sort(F.collect_list(F.struct("section_rank", part.alias("part")))).alias("x"))
+    return own.select(F.concat(F.lit(f"# {name}\n\n> {description}\n\n"), F.array_join("x.part", "\n\n"), F.lit("\n")).alias("text"))
+
+
+def full_blocks(docs: DataFrame) -> DataFrame:
+    """path, block: of each page its part of the full text, in order of path; the caller asks totals whether it is to be made."""
+    return pages(docs).join(docs.select("path", "content"), "path").select("path", F.concat(F.lit("---\n\n## "), "title", F.lit("\n\n"), "content", F.lit("\n")).alias("block"))
+
+
 def totals(docs: DataFrame, most_files: int = 20, most_kb: int = 200) -> DataFrame:
-    """files, kb, full_export: whether all pages are few and small enough to be exported whole."""
+    """files, kb, full_export: whether all pages are few and small enough to be exported whole; full_warning: why not, else null."""
     out = docs.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b"))
-    return out.select("files", F.bround(F.col("b") / 1024).cast("bigint").alias("kb"), ((F.col("files") <= most_files) & (F.col("b") <= most_kb * 1024)).alias("full_export"))
+    many = F.when(F.col("files") > most_files, F.concat(F.col("files").cast("string"), F.lit(f" files exceeds limit of {most_files}")))
+    large = F.when(F.col("b") > most_kb * 1024, F.concat(F.floor(F.col("b") / 1024).cast("string"), F.lit(f"KB exceeds limit of {most_kb}KB")))
+    why = F.concat_ws("; ", many, large)
+    return out.select("files", F.bround(F.col("b") / 1024).cast("bigint").alias("kb"), (why == "").alias("full_export"), F.when(why != "", F.concat(F.lit("Cannot generate llms-full.txt: "), why)).alias("full_warning"))
 
 
 PLATFORMS = [
     ("docusaurus", ["docusaurus.config.js", "docusaurus.config.ts"], r"url\s*[:=]\s*['\"]([^'\"]+)"),
     ("mintlify", ["mint.json", "mintlify.json"], r'"url"\s*:\s*"([^"]+)"'),
-    ("mkdocs", ["mkdocs.yml", "mkdocs.yaml"], r"site_url\s*:\s*['\"]?([^'\"\n]+)"),
+    ("mkdocs", ["mkdocs.yml", "mkdocs.yaml"], r"site_url\s*:\s*([^\n]+)"),
     ("gitbook", [".gitbook.yaml", "book.json"], None),
     ("vitepress", [".vitepress/config.js", ".vitepress/config.ts", ".vitepress/config.mts"], None),
     ("nextra", ["theme.config.jsx", "theme.config.tsx"], None),
@@ -97,12 +112,52 @@ PLATFORMS = [
 ]
 
 
-def platform(files: DataFrame) -> DataFrame:
-    """platform, path, base_url: the first configuration file that is there, by the order of platforms; files: path, content."""
-    rows = [(k, j, name, f, pattern) for k, (name, own, pattern) in enumerate(PLATFORMS) for j, f in enumerate(own)]
-    table = files.sparkSession.createDataFrame(rows, "k int, j int, platform string, path string, pattern string")
-    url = F.when(F.col("pattern").isNotNull(), F.nullif(F.regexp_replace(F.trim(F.expr("regexp_extract(content, pattern, 1)")), "/+$", ""), F.lit("")))
-    return files.join(F.broadcast(table), "path").withColumn("base_url", url).orderBy("k", "j").limit(1).select("platform", "path", "base_url")
+def upwards(folder: str | None) -> list[str]:
+    """A folder below the root and those above it, without the root; each with the slash that ends it."""
+    parts = [p for p in (folder or "").split("/") if p not in ("", ".")]
+    return ["/".join(parts[:k]) + "/" for k in range(len(parts), 0, -1)]
+
+
+def platforms(files: DataFrame, docs: str | None = None) -> DataFrame:
+    """project, platform, path, base_url: of each project (project, path, content) the first configuration that is there: at its root, then from the documents' folder upwards, each by the order of platforms."""
+    rows = [(d, k, j, name, place + f, pattern) for d, place in enumerate(["", *upwards(docs)]) for k, (name, own, pattern) in enumerate(PLATFORMS) for j, f in enumerate(own)]
+    table = files.sparkSession.createDataFrame(rows, "depth int, k int, j int, platform string, path string, pattern string")
+    found = files.join(F.broadcast(table), "path").groupBy("project").agg(F.min_by(F.struct("platform", "path", "content", "pattern"), F.struct("depth", "k", "j")).alias("x"))
+    value = F.expr("regexp_extract(x.content, x.pattern, 1)")
+    value = F.when(F.col("x.platform") == "mkdocs", F.regexp_replace(F.trim(value), "^['\"]+|['\"]+$", "")).otherwise(value)
+    url = F.when(F.col("x.pattern").isNotNull(), F.nullif(F.regexp_replace(value, "/+$", ""), F.lit("")))
+    return found.select("project", "x.platform", "x.path", url.alias("base_url"))
+
+
+TITLED = ["astro.config.mjs", "astro.config.ts", "docusaurus.config.js", "docusaurus.config.ts"]
+
+
+def projects(files: DataFrame, docs: str | None = None) -> DataFrame:
+    """project, name, description, url of each project (project, path, content).
+
+    The name is the first heading of the README at the root, else in the documents' folder; else the title in a configuration
+    near the documents; else what package.json says; else the project's own. The description is the README's first long line.
+    """
+    up = upwards(docs)
+    head = F.substring("content", 1, 4000)
+    title = F.trim(F.regexp_extract(head, r"(?dm)^#\s+([^\n]+)$", 1))
+    long = F.filter(F.transform(F.split(head, "\n", -1), lambda x: F.trim(x)), lambda x: (F.length(x) > 20) & ~x.startswith("#") & ~x.startswith("---"))
+    at = lambda path: F.col("path") == path
+    first = lambda path, value, name: F.max(F.when(at(path), value)).alias(name)
+    set_ = F.regexp_extract(F.substring("content", 1, 5000), r"title\s*:\s*['\"]([^'\"]+)", 1)
+    places = [*up, ""][:5] if docs else []
+    titles = [[first(place + name, set_, f"t{i}_{j}") for j, place in enumerate(places)] for i, name in enumerate(TITLED)]
+    other = (up[0] if up else "") + "README.md"
+    package = [first("package.json", F.coalesce(F.get_json_object("content", f"$.{k}"), F.lit("")), k) for k in ("name", "description", "homepage")]
+    own = files.groupBy("project").agg(
+        first("README.md", title, "n0"), first("README.md", F.coalesce(F.get(long, F.lit(0)), F.lit("")), "d0"), first(other, title, "n1"), first(other, F.coalesce(F.get(long, F.lit(0)), F.lit("")), "d1"), *[x for t in titles for x in t], *package
+    )
+    # Of a configuration's name the nearest file counts, whether it has a title or not.
+    named = [F.nullif(F.coalesce(*(F.col(f"t{i}_{j}") for j in range(len(places)))), F.lit("")) for i in range(len(TITLED))] if places else []
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    name = F.coalesce(blank("n0"), blank("n1"), *named, blank("name"), F.col("project").cast("string"))
+    said = F.when(F.coalesce("n0", F.lit("")) != "", F.col("d0")).otherwise(F.coalesce(blank("d1"), F.col("d0")))
+    return own.select("project", name.alias("name_"), F.coalesce(F.nullif(said, F.lit("")), "description", F.lit("")).alias("description"), F.coalesce("homepage", F.lit("")).alias("url")).withColumnRenamed("name_", "name")
 
 
 def safe_base(url: Column) -> Column:

@@ -71,15 +71,20 @@ anchors as (select distinct path, anchor from (select path, {slug("g1")} as anch
 missing as (select path, line, target, lower(substr(target, 2)) as anchor from links l where type = 'anchor' and not exists (select 1 from anchors a where a.path = l.path and lower(a.anchor) = lower(substr(l.target, 2)))),
 folder as (select path, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as dir from {source}),
 places as (select path as c, true as page from {source} union all select distinct array_to_string(string_split(path, '/')[1:k], '/'), false from {source}, range(1, 9) t(k) where k < len(string_split(path, '/'))),
-int0 as (select l.*, dir, split_part(target, '#', 1) as file, case when contains(target, '#') then substr(target, position('#' in target) + 1) else '' end as fragment from links l join folder using (path) where type = 'internal'),
+int0 as (select l.*, dir, split_part(target, '#', 1) as file, case when contains(target, '#') then substr(target, position('#' in target) + 1) else '' end as fragment from links l join folder using (path) where type in ('internal', 'image')),
 seg as (select *, starts_with(file, '/') as route, list_filter(string_split(dir || '/' || file, '/'), lambda s: s not in ('', '.')) as s from int0),
 rel as (select *, list_reduce(list_transform(s, lambda x: [x]), lambda a, b: case when b[1] = '..' and len(a) > 0 and a[len(a)] <> '..' then a[1:len(a) - 1] else list_concat(a, b) end) as parts from seg),
 rel2 as (select *, case when not route then array_to_string(parts, '/') end as loc from rel),
-res as (select *, coalesce(not route and (starts_with(loc, '../') or loc = '..'), false) as outside, case when trim(case when route then file else loc end, '/') = '' then 'index' else trim(case when route then file else loc end, '/') end as nm from rel2),
-cand as (select path, line, kind, ordinal, unnest([loc, nm || '.md', nm || '.mdx', nm || '/index.md', nm || '/index.mdx']) as c, unnest([0, 1, 2, 3, 4]) as r from res where not outside),
-hit as (select path, line, kind, ordinal, arg_min(cand.c, r) as resolved from cand join places p on cand.c = p.c where r = 0 or page group by 1, 2, 3, 4),
-resolved as (select path, line, kind, ordinal, target, fragment, outside, resolved, case when outside or resolved is null then 'broken' else 'ok' end as status, dir, file, loc from res left join hit using (path, line, kind, ordinal)),
-orphans as (select path from {source} d where not regexp_matches(path, '(README\\.md|index\\.mdx?)$') and path not in (select array_to_string(parts, '/') from rel))"""
+res as (select *, coalesce(not route and (starts_with(loc, '../') or loc = '..'), false) as outside, list_filter(string_split(case when trim(file, '/') = '' then 'index' else file end, '/'), lambda x: x not in ('', '.')) as t from rel2),
+res2 as (select *, array_to_string(list_reduce(list_transform(t, lambda x: [x]), lambda a, b: case when b[1] = '..' and len(a) > 0 and a[len(a)] <> '..' then a[1:len(a) - 1] else list_concat(a, b) end), '/') as nm from res),
+cand as (select path, line, kind, ordinal, unnest([loc, nm || '.md', nm || '.mdx', nm || '/index.md', nm || '/index.mdx']) as c, unnest([0, 1, 2, 3, 4]) as r from res2 where not outside),
+hit as (select path, line, kind, ordinal, arg_min(cand.c, r) as resolved, min(r) as r from cand join places p on cand.c = p.c where r = 0 or page group by 1, 2, 3, 4),
+resolved as (select path, line, kind, ordinal, type, target, fragment, outside, resolved, coalesce(not starts_with(file, '/') and r > 0, false) as fallback, case when outside or resolved is null then 'broken' else 'ok' end as status, dir, file, loc from res2 left join hit using (path, line, kind, ordinal)),
+lost as (select path, line, kind, ordinal, target, resolved from resolved r where status = 'ok' and fragment <> '' and not fallback and not exists (select 1 from anchors a where a.path = r.resolved and lower(a.anchor) = lower(r.fragment))),
+orphans as (select path from {source} d where not regexp_matches(path, '(README\\.md|index\\.mdx?)$') and path not in (select array_to_string(parts, '/') from rel where type = 'internal' and not starts_with(target, '/'))),
+sug as (select m.path, line, m.anchor, coalesce(array_to_string((list_sort(list(a.anchor) filter (starts_with(lower(a.anchor), m.anchor[1:5]))))[1:3], ','), '') as suggested, coalesce(array_to_string((list_sort(list(a.anchor)))[1:10], ','), '') as available from missing m left join anchors a using (path) group by 1, 2, 3),
+psug as (select path, line, target, kind, ordinal, coalesce((select array_to_string((list_sort(list(nm)))[1:3], ',') from (select regexp_replace(f.path, '^.*/', '') as nm from folder f where f.dir = regexp_replace(r.loc, '/[^/]*$', '') and lower(regexp_replace(f.path, '^.*/', ''))[1:3] = lower(regexp_replace(r.loc, '^.*/', ''))[1:3])), '') as suggested
+  from resolved r where status = 'broken' and type = 'internal' and not outside and not starts_with(target, '/'))"""
     )
 
 
@@ -129,7 +134,7 @@ items as (select n.path, cast(n.line as int) as line, name,
 term as (select *, case when type = 'endpoint' then regexp_replace(name, '^[A-Z]+ ', '') else name end as term from items),
 spans as (select distinct unnest(list_slice(string_split(content, '`'), 2, len(string_split(content, '`')) - 1)) as span from d_docs),
 spoken as (select distinct t.term from (select distinct term from term where length(term) >= 6) t join spans on contains(span, t.term)),
-status as (select path, line, name, type, has_inline_docs, case when length(t.term) < 6 then 'skipped' when s.term is not null then 'documented' when has_inline_docs then 'partial' else 'undocumented' end as status from term t left join spoken s on s.term = t.term),
+status as (select path, line, name, type, has_inline_docs, case when (select count(content) from d_docs) = 0 then 'undocumented' when length(t.term) < 6 then 'skipped' when s.term is not null then 'documented' when has_inline_docs then 'partial' else 'undocumented' end as status from term t left join spoken s on s.term = t.term),
 counted as (select *, regexp_replace(path, '/[^/]*$', '') as directory from status where status <> 'skipped')
 """
     )
@@ -190,12 +195,13 @@ env as (select distinct path, g1 as name from ({exploded("chg", "d", ENVIRONMENT
 alls as (select symbol, path, change as type from alg where change <> 'added' union all select endpoint, path, 'removed_endpoint' from ends where sign = '-' union all select name, path, 'env_var' from env),
 each as (select symbol, type, array_to_string(list_sort(list(distinct path)), ', ') as source from alls where length(symbol) >= 6 group by 1, 2),
 rk as (select *, row_number() over (partition by symbol order by case type when 'env_var' then 0 when 'removed_endpoint' then 1 when 'modified' then 2 else 3 end) as n from each),
-trk as (select symbol, type, case when starts_with(type, 'removed') then 'high' else 'medium' end as severity, source from rk where n = 1)"""
+trk as materialized (select symbol, type, case when starts_with(type, 'removed') then 'high' else 'medium' end as severity, source from rk where n = 1)"""
         + (
             masked("d_docs", "bl", tilde=False)
             + r""",
-esc as (select symbol, severity, regexp_escape(symbol) as e from trk),
-hits as (select path, line, symbol, severity, inside, regexp_matches(text, '\b' || e || '\b') as w, regexp_matches(text, '`[^`]*' || e || '[^`]*`|' || e || '\s*[(=]') as c from bl join esc on contains(text, symbol) where trim(text) <> ''),
+near as materialized (select path, line, symbol, severity, inside, text from bl join trk on contains(text, symbol) where trim(text) <> ''),
+esc as materialized (select distinct text, symbol, regexp_matches(text, '\b' || regexp_escape(symbol) || '\b') as w, regexp_matches(text, '`[^`]*' || regexp_escape(symbol) || '[^`]*`|' || regexp_escape(symbol) || '\s*[(=]') as c from (select distinct text, symbol from near)),
+hits as materialized (select path, line, symbol, severity, inside, w, c from near join esc using (text, symbol)),
 men as materialized (select path, line, symbol, severity, case when inside then case when w then 'code_block' end when c then 'inline_code' when w then 'prose' end as context from hits where case when inside then w else c or w end),
 stl as (select d.path, coalesce(sum(case when severity = 'high' then 3 when severity is not null then 1 end), 0) as score, count(severity) as findings from d_docs d left join (select * from men where context <> 'prose') m using (path) group by 1),
 st as (select path, case when score >= 3 then 'stale' when score > 0 then 'likely_stale' else 'fresh' end as status, cast(score as bigint) as score, findings from stl)
@@ -243,26 +249,56 @@ def prose() -> str:
 
 
 def words(rows: list[tuple], names: str, fold: bool) -> str:
-    """Lines that hold a word of a table as a word; RE2 has no look-around, so its neighbours are named."""
+    """Lines that hold a word of a table as a word: what is left and right of it, when the line is split at it, isn't part of a word."""
     values = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in rows)
     text = "lower(text)" if fold else "text"
-    return f"select path, line, t.* from pr join (values {values}) t({names}) on contains({text}, word) and regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(word) || '($|[^\\p{{L}}\\p{{N}}_])')"
+    inner = "[\\p{L}\\p{N}_]"
+    left = f"case when cut[i] = '' then i = 1 or not regexp_matches(word, '{inner}$') else not regexp_matches(cut[i], '{inner}$') end"
+    right = f"case when cut[i + 1] = '' then i + 1 = len(cut) or not regexp_matches(word, '^{inner}') else not regexp_matches(cut[i + 1], '^{inner}') end"
+    split = f"with c as materialized (select path, line, t.*, string_split({text}, word) as cut from pr join (values {values}) t({names}) on contains({text}, word))"
+    return f"select * exclude (cut) from ({split} select * from c where len(list_filter(range(1, len(cut)), lambda i: ({left}) and ({right}))) > 0)"
 
 
+KNOWN = "[" + ", ".join(q(t) for t, _ in rules.TERMS) + "]"
 HEURISTICS = ", ".join(f"struct_pack(rule := {q(n)}, severity := {q(s)}, needs_review := {str(r).lower()}, hit := regexp_matches(text, {q(p)}))" for n, p, s, r in rules.HEURISTICS)
 HEADS = r", hs as (select path, line, length(regexp_extract(text, '^(#{1,6})\s+(.+)$', 1)) as level, trim(regexp_extract(text, '^(#{1,6})\s+(.+)$', 2)) as title from pr where regexp_matches(text, '^#{1,6}\s+.+$'))"
 FENCES = "select path, cast(count(*) as int) as n from (select *, row_number() over (partition by path order by line) as k from {0}1 where mark) where k % 2 = 1 and trim(regexp_replace(text, '^\\s*(```|~~~)', '')) = '' group by 1"
 TERM_ROWS = [(v, t) for t, own in rules.TERMS for v in own]
-TERMS = f"""hits as ({words(TERM_ROWS, "word, term", False)}), good as ({words([(t,) for t, _ in rules.TERMS], "word", False)}),
-terms as (select path, line, word as found, term from hits h where not exists (select 1 from good g where g.path = h.path and g.line = h.line and contains(g.word, h.word) and length(g.word) > length(h.word)))"""
+TERMS = f"""hits as materialized ({words(TERM_ROWS, "word, term", False)}), good as materialized ({words([(t,) for t, own in rules.TERMS for t in [t, *own]], "word", False)}),
+covered as (select distinct h.path, h.line, h.word from hits h join good g on g.path = h.path and g.line = h.line where contains(g.word, h.word) and length(g.word) > length(h.word)),
+terms as (select path, line, word as found, term from hits anti join covered using (path, line, word))"""
 PROHIBITED = words(rules.PROHIBITED, "word, suggestion", True)
 VERBS = words([("to " + n, "to " + v) for n, v in rules.VERB_FORMS], "word, suggestion", True)
+STEPS = "select path, line, verb, suggestion from (select *, lower(regexp_extract(text, '^\\s*[0-9]+\\. ([A-Za-z]+)', 1)) as verb from pr) join (values " + ", ".join(f"({q(a)}, {q(b)})" for a, b in rules.AVOIDED) + ") t(verb, suggestion) using (verb)"
+NUMBERS = r"select path, line, word from (select *, regexp_extract(text, '(?:^|[^\p{L}\p{N}_.])[1-9] ([a-z]+)', 1) as word from pr) where word not in ('', 'ms', 's', 'seconds', 'minutes', 'hours', 'days', 'kb', 'mb', 'gb', 'px', 'cores')"
+AFTER = "[" + ", ".join(q(w) for w in rules.AFTER_NOUN) + "]"
+HYPHENS = " union all ".join(
+    f"select path, line, {q(c)} as found, {q(c.replace(' ', '-'))} as suggestion from pr where regexp_extract(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-]){c} ([a-z]+)', 1) <> '' and not list_contains({AFTER}, lower(regexp_extract(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-]){c} ([a-z]+)', 1)))"
+    f" union all select path, line, {q(c.replace(' ', '-'))}, {q(c)} from pr where regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-]){c.replace(' ', '-')}(?:[.,;:!?)]|$)')"
+    for c in ("front end", "back end", "real time", "open source", "command line", "end user")
+)
+PLAIN = "(?:[Cc]lick|[Ss]elect|[Ee]nable|[Oo]pen) the ([A-Z][A-Za-z]*(?: [A-Za-z]+)?) (link|button|dropdown|field|toggle|checkbox|radio button|tab|dialog|sidebar|header|page)"
+PLAINS = f"select path, line, g1 as name, g2 as element from ({exploded('pr', 'text', PLAIN, 2, 'path, line')})"
+LEFT = "regexp_replace(regexp_replace(text, '`[^`]*`', '', 'g'), '\\]\\([^)]*\\)', ']', 'g')"
+CALL = r"([A-Za-z_][A-Za-z0-9_]*\(\))"
+FILE = r"(?:^|[^A-Za-z0-9_./-])([A-Za-z0-9_-]+\.(?:yaml|yml|json|js|ts|py|go|md|toml|txt|sh|css|html))(?:[^A-Za-z0-9_]|$)"
 BANNED = words([(b,) for b in rules.BANNED], "word", True)
 SPELLING = words(rules.SPELLING, "word, suggestion", True)
-KNOWN = "[" + ", ".join(q(t) for t, _ in rules.TERMS) + "]"
 TITLES = f"select path, line, title, cast(n as int) as n from (select *, len(list_filter(regexp_split_to_array(title, '\\s+')[2:], lambda w: regexp_matches(w, '^[A-Z][a-z]') and not list_contains({KNOWN}, w))) as n from hs) where n > 0"
 SKIPS = "select path, line, before, level from (select *, lag(level) over (partition by path order by line) as before from hs) where level - before > 1"
 CALLOUTS = "select path, line, kind from (select *, regexp_extract(text, '^>\\s*\\*\\*([A-Za-z]+)\\*?\\*?:', 1) as kind from pr) where kind not in ('', 'Note', 'Tip', 'Important', 'Warning', 'Caution')"
+OPEN = f"select path, w as term, min(line) as first_use from (select path, line, unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z]{{2,}}s?$') and not list_contains({KNOWN}, w))) as w from pr) group by 1, 2"
+MIXED = f"select path, term, array_to_string(list_sort(list(distinct word)), '|') as variants from ({words([(v, t) for t, own in rules.TERMS for v in [t, *own]], 'word, term', False)}) group by 1, 2 having count(distinct word) > 1"
+FOUND = f"""select path, line, 'term' as rule, 'error' as severity, found, term as suggestion from terms union all select path, line, 'prohibited', 'error', word, suggestion from ({PROHIBITED})
+union all select path, line, 'verb_form', 'warning', word, suggestion from ({VERBS}) union all select path, line, 'action_verb', 'warning', verb, suggestion from ({STEPS}) union all select path, line, 'hyphenation', 'warning', found, suggestion from ({HYPHENS})
+union all select path, line, 'number', 'info', word, 'in words' from ({NUMBERS}) union all select path, line, 'element', 'info', name, '**' || name || '**' from ({PLAINS})"""
+#: Sections that kinds of pages need, written out again from the survey's rules.
+NEEDS = """('tutorial', 'introduction', 'introduction|overview|what you'), ('tutorial', 'prerequisites', 'prerequisite|before you'), ('tutorial', 'steps', 'step|set up'), ('tutorial', 'summary', 'summary|next steps'),
+('how-to', 'goal', 'goal|overview|introduction'), ('how-to', 'prerequisites', 'prerequisite|before you'), ('how-to', 'steps', 'step|set up'), ('how-to', 'verification', 'verif|check'),
+('reference', 'description', 'overview|description|details'), ('reference', 'syntax', 'syntax'), ('reference', 'parameters', 'parameter|argument|option'), ('reference', 'return value', 'return'), ('reference', 'examples', 'example'), ('reference', 'related', 'related|see also'),
+('explanation', 'context', 'context|introduction|overview'), ('explanation', 'core concept', 'concept'), ('explanation', 'how it works', 'how it works|details'), ('explanation', 'implications', 'implication|trade-off'), ('explanation', 'related', 'related|see also')"""
+NEEDED = f"""kd as (select path, case when regexp_matches('/' || lower(path), '/tutorials?/') then 'tutorial' when regexp_matches('/' || lower(path), '/how-?to/|/guides?/') then 'how-to' when regexp_matches('/' || lower(path), '/reference/|/api/') then 'reference' when regexp_matches('/' || lower(path), '/explanations?/|/concepts?/|/intro/') then 'explanation' end as kind from {{0}}),
+nd as (select path, kind, section from (select * from kd join (values {NEEDS}) t(kind, section, pattern) using (kind)) n where not exists (select 1 from hs where hs.path = n.path and len(list_filter(string_split(pattern, '|'), lambda x: contains(lower(hs.title), x))) > 0))"""
 VAGUE = f"select path, line, g1 as link from ({exploded('pr', 'text', INLINE, 1, 'path, line')}) where lower(trim(g1)) in ('click here', 'here', 'this link', 'this page')"
 
 _code = "element_at([200, 301, 302, 307, 308, 403, 404, 410, 429, 500], event_id % 10 + 1)".replace("element_at(", "list_extract(")
@@ -280,14 +316,15 @@ ORACLE = {
     "L08_slugs": f"select page_id, {slug("regexp_extract(html, '<title>([^<]*)</title>', 1)")} as slug from pages",
     "L09_anchors": link("select * from anchors"),
     "L10_missing_anchors": link("select * from missing"),
-    "L11_anchor_suggestions": link("select m.path, line, m.anchor, coalesce(array_to_string((list_sort(list(a.anchor) filter (starts_with(lower(a.anchor), m.anchor[1:5]))))[1:3], ','), '') as suggested, coalesce(array_to_string((list_sort(list(a.anchor)))[1:10], ','), '') as available from missing m left join anchors a using (path) group by 1, 2, 3"),
-    "L12_L13_L14_L15_resolved": link("select path, line, kind, ordinal, target, fragment, outside, resolved, status from resolved"),
+    "L11_anchor_suggestions": link("select * from sug"),
+    "L12_L13_L14_L15_resolved": link("select path, line, kind, ordinal, type, target, fragment, outside, resolved, fallback, status from resolved"),
     "L16_http_status": f"select {_code} as code, case when {_code} = 200 then 'ok' when {_code} in (301, 302, 307, 308) then 'redirect' when {_code} = 403 then 'indeterminate' when {_code} = 429 then 'rate_limited' when {_code} in (404, 410) then 'broken' else 'unknown' end as status, count(*) as n from events group by 1, 2",
-    "L18_missing_fragments": link("select path, line, target, resolved from resolved r where status = 'ok' and fragment <> '' and not exists (select 1 from anchors a where a.path = r.resolved and lower(a.anchor) = lower(r.fragment))"),
-    "L19_page_suggestions": link("""select path, line, target, ordinal, coalesce((select array_to_string((list_sort(list(nm)))[1:3], ',') from (select regexp_replace(f.path, '^.*/', '') as nm from folder f where f.dir = regexp_replace(r.loc, '/[^/]*$', '') and lower(regexp_replace(f.path, '^.*/', ''))[1:3] = lower(regexp_replace(r.loc, '^.*/', ''))[1:3])), '') as suggested
-from resolved r where status = 'broken' and not outside and not starts_with(target, '/')"""),
+    "L18_missing_fragments": link("select * from lost"),
+    "L19_page_suggestions": link("select * from psug"),
+    "L23_fixes": link("""select path, line, target, regexp_replace(split_part(target, '#', 1), '[^/]*$', '') || split_part(suggested, ',', 1) || case when contains(target, '#') then substr(target, position('#' in target)) else '' end as proposed from psug where suggested <> ''
+union all select path, line, '#' || anchor, '#' || split_part(suggested, ',', 1) from sug where suggested <> ''"""),
     "L20_orphans": link("select * from orphans"),
-    "L21_link_summary": link("select count(*) as total, " + ", ".join(f"count(*) filter (type = '{k}') as {k}" for k in ("internal", "anchor", "image", "external", "email")) + ", (select count(*) from resolved where status = 'broken') as broken_internal, (select count(*) from missing) as broken_anchor, (select count(*) from orphans) as orphans from links"),
+    "L21_link_summary": link("select *, internal + anchor + image - broken_internal + external - broken_external - redirects as ok, broken_internal + broken_external > 0 as has_broken from (select count(*) as total, " + ", ".join(f"count(*) filter (type = '{k}') as {k}" for k in ("internal", "anchor", "image", "external", "email")) + ", cast(0 as bigint) as broken_external, cast(0 as bigint) as redirects, (select count(*) from resolved where status = 'broken') + (select count(*) from lost) + (select count(*) from missing) as broken_internal, (select count(*) from orphans) as orphans from links)"),
     "L22_request_budget": link("select path, line, kind, ordinal, target, row_number() over (order by path, line, kind, ordinal) <= 50 as checked from links where type = 'external'"),
     "F01_changed_lines": diff() + " select * from chg",
     "F02_F03_F08_defined": diff() + " select * from def",
@@ -306,20 +343,42 @@ from resolved r where status = 'broken' and not outside and not starts_with(targ
     "X15_by_directory": items() + by("directory") + " order by total desc, directory limit 15",
     "X16_overall": items() + "select count(*) filter (status = 'documented') as documented, count(*) filter (status = 'partial') as partial, count(*) filter (status = 'undocumented') as undocumented, count(*) as total, cast(round_even(count(*) filter (status = 'documented') / count(*) * 100, 0) as int) as percentage from counted",
     "X17_primary_language": items() + "select language from lang where language is not null group by 1 order by count(*) desc, list_position(['typescript', 'python', 'go'], language) limit 1",
-    "X18_docs_kind": prelude("d_docs") + " select case when bool_or(regexp_matches(content, '(?i)(api|function|class) reference')) or sum(len(regexp_extract_all(content, '`[^`\\n]+\\(\\)`'))) > 20 then 'api_reference' else 'product_docs' end as kind from d_docs",
+    "X18_docs_kind": prelude("d_docs") + " select case when bool_or(regexp_matches(content, '(?i)(api|function|class)\\s+reference')) or sum(len(regexp_extract_all(content, '`[^`]+\\(\\)`'))) > 20 then 'api_reference' else 'product_docs' end as kind from d_docs",
     "X19_X20_undocumented": items() + "select case when type = 'endpoint' then 0 when type in ('function', 'component') then 1 when type = 'class' then 2 else 3 end as priority, path, line, name, type from status where status = 'undocumented' order by 1, 2, 3, 4 limit 30",
+    "X19_partial": items() + "select path, line, name, type, 'Has inline docs but no page of its own' as reason from status where status = 'partial' order by 1, 2, 3 limit 15",
     "X21_stubs": items() + "select s.path, s.line, name, '## ' || name || chr(10) || chr(10) || '```' || chr(10) || trim(text) || chr(10) || '```' || chr(10) || chr(10) || 'Description.' || chr(10) || chr(10) || '### Parameters' || chr(10) || chr(10) || '### Returns' || chr(10) || chr(10) || '### Example' || chr(10) as stub from status s join cl on cl.path = s.path and cl.line = s.line where status = 'undocumented'",
     "C01_conventional": commits() + f"select pos, type, regexp_extract(subject, {q(CONVENTIONAL)}, 2) as scope, marked as breaking, rest as description from parts where type <> ''",
     "C02_C06_classified": commits() + "select * from cls",
     "C07_C08_refs": commits() + "select pos, array_to_string(prs, ',') as prs, array_to_string(issues, ',') as issues from refs",
     "C09_C10_entries": commits() + "select * from entries",
     "C11_C13_sections": commits() + "select cast(list_position(['Breaking Changes', 'Added', 'Changed', 'Fixed', 'Removed', 'Security'], category) as int) as rank, category, string_agg('- ' || text, chr(10) order by pos) as body from entries group by 2",
+    "C13_inserted": commits() + r""", body as (select string_agg('### ' || category || chr(10) || chr(10) || b, chr(10) || chr(10) order by r) as b from (select list_position(['Breaking Changes', 'Added', 'Changed', 'Fixed', 'Removed', 'Security'], category) as r, category, string_agg('- ' || text, chr(10) order by pos) as b from entries group by 2)),
+e as (select '## [Unreleased] - 2026-01-01' || chr(10) || chr(10) || b as e from body),
+o as (select unnest(['# Changelog' || chr(10) || chr(10) || '## [1.0.0] - 2025-01-01' || chr(10) || chr(10) || '- first' || chr(10) || chr(10) || '## [0.9.0]' || chr(10), '# Changelog' || chr(10) || chr(10) || 'Nothing yet.' || chr(10), null]) as old)
+select old, case when old is null then '# Changelog' || chr(10) || chr(10) || 'All notable changes to this project will be documented in this file.' || chr(10) || chr(10) || 'The format is based on [Keep a Changelog](https://keepachangelog.com/en/1.1.0/),' || chr(10) || 'and this project adheres to [Semantic Versioning](https://semver.org/spec/v2.0.0.html).' || chr(10) || chr(10) || e || chr(10)
+when contains(old, '## [') then split_part(old, '## [', 1) || e || chr(10) || chr(10) || substr(old, position('## [' in old)) else rtrim(old, chr(10)) || chr(10) || chr(10) || e || chr(10) end as new from o, e""",
     "C12_summary": commits() + "select count(*) as analysed, count(*) filter (category in ('skip', 'Documentation')) as skipped, (select count(*) from entries) as entries from cls",
     "P04_P07_pages": prelude("d_docs") + paged("d_docs") + "select * from pgs",
     "P06_descriptions": "with src as (select doc_id || '.md' as path, text as content from documents)" + paged("src") + "select path, description, bytes from pgs",
     "P08_sections": f"select page_id, {SECTION} as section, regexp_matches(url, '(?i)^https?://[^/?#]+') as safe from (select *, '/' || lower(regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1)) as p from pages)",
     "P08_P11_index": indexed() + "select * from idx",
-    "P12_P13_totals": prelude("d_docs") + " select count(*) as files, cast(round_even(sum(strlen(content)) / 1024, 0) as bigint) as kb, count(*) <= 20 and sum(strlen(content)) <= 200 * 1024 as full_export from d_docs",
+    "P12_P13_totals": prelude("d_docs") + " select files, cast(round_even(b / 1024, 0) as bigint) as kb, files <= 20 and b <= 200 * 1024 as full_export, case when files > 20 or b > 200 * 1024 then 'Cannot generate llms-full.txt: ' || concat_ws('; ', case when files > 20 then files || ' files exceeds limit of 20' end, case when b > 200 * 1024 then cast(floor(b / 1024) as bigint) || 'KB exceeds limit of 200KB' end) end as full_warning from (select count(*) as files, sum(strlen(content)) as b from d_docs)",
+    "P14_base_urls": "select page_id, regexp_matches(url, '^https?://') as safe from pages",
+    "P15_index_text": indexed() + ", sec as (select section_rank, section, string_agg('- [' || title || '](' || url || ')' || case when description <> '' then ': ' || description else '' end, chr(10) order by priority, lower(path), path) as body from idx group by 1, 2) select '# Parts' || chr(10) || chr(10) || '> All about parts' || chr(10) || chr(10) || string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) order by section_rank) || chr(10) as text from sec",
+    "P15_full_blocks": prelude("d_docs") + paged("d_docs") + "select path, '---' || chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || content || chr(10) as block from pgs join d_docs using (path)",
+    "P01_P02_platforms": prelude("d_projects") + r""", pc as (select *, row_number() over () as o from (values ('docusaurus', 'docusaurus.config.js'), ('docusaurus', 'docusaurus.config.ts'), ('mintlify', 'mint.json'), ('mintlify', 'mintlify.json'), ('mkdocs', 'mkdocs.yml'), ('mkdocs', 'mkdocs.yaml'), ('gitbook', '.gitbook.yaml'), ('gitbook', 'book.json'),
+('vitepress', '.vitepress/config.js'), ('vitepress', '.vitepress/config.ts'), ('vitepress', '.vitepress/config.mts'), ('nextra', 'theme.config.jsx'), ('nextra', 'theme.config.tsx'), ('astro_starlight', 'astro.config.mjs'), ('astro_starlight', 'astro.config.ts')) t(platform, name)),
+pl as (select d || name as path, platform, n * 100 + o as o from pc, (values (0, ''), (1, 'docs/site/'), (2, 'docs/')) t(n, d)),
+hit as (select project, arg_min(struct_pack(platform := platform, path := path, content := content), o) as x from d_projects join pl using (path) group by 1),
+ur as (select project, x.platform as platform, x.path as path, case x.platform when 'docusaurus' then regexp_extract(x.content, 'url\s*[:=]\s*[''"]([^''"]+)', 1) when 'mintlify' then regexp_extract(x.content, '"url"\s*:\s*"([^"]+)"', 1) when 'mkdocs' then trim(trim(regexp_extract(x.content, 'site_url\s*:\s*([^\n]+)', 1)), chr(39) || '"') when 'astro_starlight' then regexp_extract(x.content, 'site\s*:\s*[''"]([^''"]+)', 1) end as u from hit)
+select project, platform, path, nullif(rtrim(u, '/'), '') as base_url from ur""",
+    "P03_projects": prelude("d_projects") + r""", rd as (select project, path, trim(regexp_extract(content, '(?m)^#\s+([^\n]+)$', 1)) as h, coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) > 20 and not starts_with(x, '#') and not starts_with(x, '---'))[1], '') as d from d_projects where path in ('README.md', 'docs/README.md')),
+ti as (select project, list(t order by o) as ts from (select project, o, arg_min(regexp_extract(content, 'title\s*:\s*[''"]([^''"]+)', 1), n) as t from d_projects join (select d || name as path, n, o from (values (1, 'astro.config.mjs'), (2, 'astro.config.ts'), (3, 'docusaurus.config.js'), (4, 'docusaurus.config.ts')) a(o, name), (values (0, 'docs/'), (1, '')) b(n, d)) using (path) group by 1, 2) group by 1),
+pk as (select project, content::json ->> 'name' as n, content::json ->> 'description' as d, content::json ->> 'homepage' as u from d_projects where path = 'package.json'),
+pj as (select distinct project from d_projects)
+select p.project, coalesce(nullif(a.h, ''), nullif(b.h, ''), list_filter(ts, lambda x: x <> '')[1], nullif(pk.n, ''), cast(p.project as varchar)) as name,
+coalesce(nullif(case when a.h <> '' then a.d else coalesce(nullif(b.d, ''), a.d) end, ''), pk.d, '') as description, coalesce(pk.u, '') as url
+from pj p left join rd a on a.project = p.project and a.path = 'README.md' left join rd b on b.project = p.project and b.path = 'docs/README.md' left join ti on ti.project = p.project left join pk on pk.project = p.project""",
     "P15_rendered": indexed() + "select section_rank, section, string_agg('- [' || title || '](' || url || ')' || case when description <> '' then ': ' || description else '' end, chr(10) order by priority, lower(path), path) as body from idx group by 1, 2",
     "T01_T02_banned": prose() + f" select path, line, word as phrase from ({BANNED})",
     "T03_T06_heuristics": prose() + f" select path, line, x.rule, x.severity, x.needs_review from (select path, line, unnest([{HEURISTICS}]) as x from pr) where x.hit",
@@ -331,20 +390,33 @@ from resolved r where status = 'broken' and not outside and not starts_with(targ
     "T15_callouts": prose() + " " + CALLOUTS,
     "T16_vague_links": prose() + " " + VAGUE,
     "T17_own_site_links": prose() + f" select path, line, g2 as target from ({exploded('pr', 'text', INLINE, 2, 'path, line')}) where starts_with(g2, 'https://docs.example.com')",
-    "T20_fixed": prose() + r" select path, line, fixed from (select *, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\p{L}])In order to ', '\1To ', 'g'), '(^|[^\p{L}])in order to ', '\1to ', 'g'), '(?i)please note that ', '', 'g') as fixed from pr) where fixed <> text",
-    "T21_profile": prose() + r" select path, count(*) filter (regexp_matches(text, '(?i)(^|[^\p{L}])your?([^\p{L}]|$)')) as second_person, count(*) filter (regexp_matches(text, '(?i)(^|[^\p{L}])(users?|one|they)([^\p{L}]|$)')) as third_person, count(*) filter (regexp_matches(text, '^\s*[0-9]+\. ')) as numbered, count(*) filter (regexp_matches(text, '^\s*[-*+] ')) as bulleted from pr group by 1",
-    "T22_compliance": prose() + HEADS + f""", v as (select path, 'high' as s from ({BANNED}) union all select path, x.severity from (select path, unnest([{HEURISTICS}]) as x from pr) where x.hit
+    "T12_tables": prelude("d_prose") + " select path, cast(n as int) as tables from (select path, len(regexp_extract_all(content, '(?m)^[ \t]*\\|?[ \t]*:?-{2,}:?[ \t]*(?:\\|[ \t]*:?-{2,}:?[ \t]*)+\\|?[ \t]*$')) as n from d_prose) where n > 0",
+    "T13_missing_sections": prelude("d_docs") + masked("d_docs") + ", pr as (select path, line, text from ml where not inside)" + HEADS + ", " + NEEDED.format("d_docs") + " select * from nd",
+    "T18_bare_code": prose() + f", lf as (select path, line, {LEFT} as plain from pr) select * from (select path, line, g1 as found from ({exploded('lf', 'plain', CALL, 1, 'path, line')}) union all select path, line, g1 from ({exploded('lf', 'plain', FILE, 1, 'path, line')})) where not list_contains({KNOWN}, found)",
+    "T20_fixed": prose() + rf""", rp as (select *, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}])In order to ', '\1To ', 'g'), '(^|[^\p{{L}}])in order to ', '\1to ', 'g'), '(?i)please note that ', '', 'g') as x from pr)
+select path, line, fixed from (select *, case when regexp_matches(x, '^#{{1,6}}\s+') then regexp_extract(x, '^#{{1,6}}\s+') || array_to_string(list_transform(string_split(substr(x, length(regexp_extract(x, '^#{{1,6}}\s+')) + 1), ' '), lambda w, i: case when i > 1 and regexp_matches(w, '^[A-Z][a-z]') and not list_contains({KNOWN}, w) then lower(w) else w end), ' ') else x end as fixed from rp) where fixed <> text""",
+    "T21_profile": prose() + HEADS + f""", tc as (select path, count(*) as t from ({TITLES}) group by 1), hc as (select path, count(*) as h from hs group by 1), fc as (select path, cast(ceil(count(*) / 2) as int) as f from ml1 where mark group by 1),
+pf as (select path, count(*) filter (regexp_matches(text, '(?i)(^|[^\\p{{L}}])your?([^\\p{{L}}]|$)')) as second_person, count(*) filter (regexp_matches(text, '(?i)(^|[^\\p{{L}}])(users?|one|they)([^\\p{{L}}]|$)')) as third_person, count(*) filter (regexp_matches(text, '^\\s*[0-9]+\\. ')) as numbered, count(*) filter (regexp_matches(text, '^\\s*[-*+] ')) as bulleted, count(*) filter (regexp_matches(text, '^    \\S')) as indented from pr group by 1),
+al as (select pf.*, coalesce(h, 0) as titles, coalesce(t, 0) as title_case, coalesce(f, 0) as fences from pf left join hc using (path) left join tc using (path) left join fc using (path))
+select *, case when second_person > 0 and third_person > 0 then 'mixed' when second_person > 0 then 'second' when third_person > 0 then 'third' end as person, case when bulleted > 0 and numbered > 0 then 'both' when bulleted > 0 then 'bullets' when numbered > 0 then 'numbers' end as list_style,
+case when titles > 0 then case when 2 * title_case > titles then 'title' else 'sentence' end end as heading_style, case when fences > 0 then 'fenced' when indented > 0 then 'indented' end as code_block_style from al""",
+    "T22_compliance": prose() + HEADS + ", " + NEEDED.format("d_prose") + f""", v as (select path, 'high' as s from ({BANNED}) union all select path, x.severity from (select path, unnest([{HEURISTICS}]) as x from pr) where x.hit
 union all select path, 'medium' from ({TITLES}) union all select path, 'medium' from ({SKIPS}) union all select path, 'medium' from (select path from hs where level = 1 group by 1 having count(*) > 1)
-union all select path, 'medium' from ({FENCES.format("ml")}) union all select path, 'low' from ({SPELLING}) union all select path, 'low' from ({CALLOUTS}) union all select path, 'high' from ({VAGUE}))
+union all select path, 'medium' from ({FENCES.format("ml")}) union all select path, 'low' from ({SPELLING}) union all select path, 'low' from ({CALLOUTS}) union all select path, 'high' from ({VAGUE}) union all select path, 'medium' from nd)
 select d.path, count(*) filter (s = 'high') as high, count(*) filter (s = 'medium') as medium, count(*) filter (s = 'low') as low, count(*) filter (s in ('high', 'medium')) = 0 as compliant from d_prose d left join v using (path) group by 1""",
     "M01_M04_terms": prose() + f", {TERMS} select * from terms",
     "M05_verb_forms": prose() + f" select path, line, word as found, suggestion from ({VERBS})",
-    "M07_steps": prose() + " select path, line, verb, suggestion from (select *, lower(regexp_extract(text, '^\\s*[0-9]+\\. ([A-Za-z]+)', 1)) as verb from pr) join (values " + ", ".join(f"({q(a)}, {q(b)})" for a, b in rules.AVOIDED) + ") t(verb, suggestion) using (verb)",
+    "M07_steps": prose() + " " + STEPS,
     "M10_prohibited": prose() + f" select path, line, word as found, suggestion from ({PROHIBITED})",
-    "M11_small_numbers": prose() + r" select path, line, word from (select *, regexp_extract(text, '(?:^|[^\p{L}\p{N}_.])[1-9] ([a-z]+)', 1) as word from pr) where word not in ('', 'ms', 's', 'seconds', 'minutes', 'hours', 'days', 'kb', 'mb', 'gb', 'px', 'cores')",
-    "M12_inconsistent": prose() + f" select path, term, array_to_string(list_sort(list(distinct word)), '|') as variants from ({words([(v, t) for t, own in rules.TERMS for v in [t, *own]], 'word, term', False)}) group by 1, 2 having count(distinct word) > 1",
-    "M14_term_report": prose() + f""", {TERMS}, v as (select path, 'e' as s from ({PROHIBITED}) union all select path, 'w' from terms union all select path, 'i' from ({VERBS}))
-select d.path, count(*) filter (s = 'e') as errors, count(*) filter (s = 'w') as warnings, count(*) filter (s = 'i') as infos, count(*) filter (s in ('e', 'w')) = 0 as compliant from d_prose d left join v using (path) group by 1""",
+    "M11_small_numbers": prose() + " " + NUMBERS,
+    "M06_hyphenation": prose() + " " + HYPHENS,
+    "M08_element_terms": prose() + f" select path, word as term, element, count(*) as lines from ({words([(t, e) for e, t in rules.ELEMENTS], 'word, element', True)}) group by 1, 2, 3",
+    "M09_plain_elements": prose() + " " + PLAINS,
+    "M12_inconsistent": prose() + " " + MIXED,
+    "M13_undefined": prose() + " " + OPEN,
+    "M14_M15_located": prose() + f", {TERMS} select path, rule, severity, found, suggestion, array_to_string(list_transform(list_sort(list(distinct line)), lambda x: 'line ' || x), ', ') as locations from ({FOUND}) group by all",
+    "M14_term_report": prose() + f""", {TERMS}, v as (select path, severity as s from ({FOUND}) union all select path, 'warning' from ({MIXED}) union all select path, 'info' from ({OPEN}))
+select d.path, count(*) filter (s = 'error') as errors, count(*) filter (s = 'warning') as warnings, count(*) filter (s = 'info') as infos, count(*) filter (s in ('error', 'warning')) = 0 as compliant from d_prose d left join v using (path) group by 1""",
     "M16_quick_checks": prose() + " select path, x.c as check, count(*) as n from (select path, unnest([" + ", ".join(f"struct_pack(c := {q(n)}, hit := regexp_matches(text, {q(p)}))" for n, p in rules.QUICK) + "]) as x from pr) where x.hit group by 1, 2",
     "V03_by_category": prelude("d_findings") + " select line::json ->> 'category' as category, count(*) as findings, count(distinct line::json ->> 'rule_id') as rules from d_findings group by 1",
     "V03_by_file": prelude("d_findings") + " select line::json ->> 'file' as file, count(*) as findings, count(distinct line::json ->> 'rule_id') as rules from d_findings group by 1",

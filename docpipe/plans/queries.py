@@ -58,6 +58,17 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(text.alias("span")).groupBy("span").agg(F.count("*").alias("n")).withColumn("safe", F.col("span").rlike(changelog.RANGE))
 
 
+def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", pageindex.safe_base(F.col("url")).alias("safe"))
+
+
+def changelogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of all commits put into a changelog that has entries, one that has none, and none at all."""
+    entry = changelog.release(corpus(spark, sf_dir, "d_commits"), "2026-01-01")
+    old = F.explode(F.array(F.lit("# Changelog\n\n## [1.0.0] - 2025-01-01\n\n- first\n\n## [0.9.0]\n"), F.lit("# Changelog\n\nNothing yet.\n"), F.lit(None).cast("string")))
+    return entry.select("entry", old.alias("old")).select("old", changelog.inserted(F.col("old"), F.col("entry")).alias("new"))
+
+
 def arrays(function):
     """A query whose arrays are joined to text, which both engines write alike."""
     return lambda df: function(df).select(*(F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in function(df).dtypes))
@@ -85,6 +96,7 @@ QUERIES = {
     "L20_orphans": on("d_docs", links.orphans),
     "L21_link_summary": on("d_docs", links.summary),
     "L22_request_budget": on("d_docs", links.budgeted),
+    "L23_fixes": on("d_docs", links.fixes),
     "F01_changed_lines": on("d_diff", freshness.changed),
     "F02_F03_F08_defined": on("d_diff", freshness.defined),
     "F04_endpoints": on("d_diff", freshness.endpoints),
@@ -104,13 +116,20 @@ QUERIES = {
     "X17_primary_language": on("d_files", coverage.primary_language),
     "X18_docs_kind": on("d_docs", coverage.docs_kind),
     "X19_X20_undocumented": on_two("d_files", "d_docs", coverage.undocumented),
+    "X19_partial": on_two("d_files", "d_docs", coverage.partial),
     "X21_stubs": on_two("d_files", "d_docs", coverage.stubs),
     "C01_conventional": on("d_commits", changelog.conventional),
     "C02_C06_classified": on("d_commits", changelog.classified),
     "C07_C08_refs": on("d_commits", arrays(changelog.refs)),
     "C09_C10_entries": on("d_commits", changelog.entries),
     "C11_C13_sections": on("d_commits", changelog.markdown),
+    "C13_inserted": changelogs,
     "C12_summary": on("d_commits", changelog.summary),
+    "P01_P02_platforms": on("d_projects", lambda d: pageindex.platforms(d, "docs/site")),
+    "P03_projects": on("d_projects", lambda d: pageindex.projects(d, "docs")),
+    "P14_base_urls": base_urls,
+    "P15_index_text": on("d_docs", lambda d: pageindex.index_text(d, "docs", BASE, "Parts", "All about parts")),
+    "P15_full_blocks": on("d_docs", pageindex.full_blocks),
     "P04_P07_pages": on("d_docs", pageindex.pages),
     "P06_descriptions": descriptions,
     "P08_sections": page_sections,
@@ -123,6 +142,9 @@ QUERIES = {
     "T08_skipped_levels": on("d_docs", rules.skipped_levels),
     "T09_several_titles": on("d_prose", rules.several_titles),
     "T10_bare_fences": on("d_docs", rules.bare_fences),
+    "T12_tables": on("d_prose", rules.tables),
+    "T13_missing_sections": on("d_docs", rules.missing_sections),
+    "T18_bare_code": on("d_prose", rules.bare_code),
     "T14_spelling": on("d_prose", rules.spelling),
     "T15_callouts": on("d_prose", rules.callouts),
     "T16_vague_links": on("d_prose", rules.vague_links),
@@ -132,6 +154,11 @@ QUERIES = {
     "T22_compliance": on("d_prose", rules.compliance),
     "M01_M04_terms": on("d_prose", rules.terms),
     "M05_verb_forms": on("d_prose", rules.verb_forms),
+    "M06_hyphenation": on("d_prose", rules.hyphenation),
+    "M08_element_terms": on("d_prose", rules.element_terms),
+    "M09_plain_elements": on("d_prose", rules.plain_elements),
+    "M13_undefined": on("d_prose", rules.undefined),
+    "M14_M15_located": on("d_prose", rules.located),
     "M07_steps": on("d_prose", rules.steps),
     "M10_prohibited": on("d_prose", rules.prohibited),
     "M11_small_numbers": on("d_prose", rules.small_numbers),

@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised
 
 PRUNED = ("node_modules", ".git", "dist", "build", ".next", "vendor", "__pycache__")
+#: Of the scan for freshness, and of the scan for coverage: tests, fixtures and migrations are no public interface.
+PRUNED_FRESHNESS = ("node_modules", ".git", "vendor", "dist", "build", ".next")
+PRUNED_COVERAGE = (
+    "node_modules", ".git", "vendor", "dist", "build", ".next", "__pycache__", ".pytest_cache", "coverage", ".nyc_output", "test", "tests", "__tests__", "__test__", "spec", "specs",
+    "fixtures", "mocks", "__mocks__", "migrations", "seeds",
+)
 SOURCE = "ts,tsx,js,jsx,mjs,py,go"
 SAFE_RANGE = re.compile(r"[a-zA-Z0-9_.~^/\-]+(\.\.[a-zA-Z0-9_.~^/\-]+)?")
 FIELD, RECORD = "\x1f", "\x1e"
-CHANGED = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".rb", ".php", ".cs", ".swift", ".kt", ".scala", ".c", ".cpp", ".h")
+CHANGED = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".rb", ".cs", ".swift", ".kt", ".scala", ".c", ".cpp", ".h")
 
 
 def read(spark: SparkSession, root: str, extensions: str, pruned: tuple[str, ...] = PRUNED, hidden: bool = True) -> DataFrame:
@@ -37,24 +43,25 @@ def capped(files: DataFrame, most: int | None) -> tuple[DataFrame, bool]:
     return out, out.count() >= most
 
 
-def documents(spark: SparkSession, root: str, most: int | None = None, hidden: bool = True) -> tuple[DataFrame, bool]:
+def documents(spark: SparkSession, root: str, most: int | None = None, hidden: bool = True, pruned: tuple[str, ...] = PRUNED) -> tuple[DataFrame, bool]:
     """Markdown pages."""
-    return capped(read(spark, root, "md,mdx", hidden=hidden), most)
+    return capped(read(spark, root, "md,mdx", pruned, hidden), most)
 
 
-def first_documents(spark: SparkSession, root: str, candidates: tuple[str, ...] = ("docs", "_docs", "content", "."), most: int | None = None) -> DataFrame:
-    """The pages of the first candidate folder that has any; paths are below root."""
+def first_documents(spark: SparkSession, root: str, candidates: tuple[str, ...] = ("docs", "_docs", "content", "."), most: int | None = None, pruned: tuple[str, ...] = PRUNED_FRESHNESS) -> DataFrame:
+    """The pages of the first candidate folder that has any outside pruned folders; paths are below root. For coverage: PRUNED_COVERAGE."""
     for name in candidates:
         place = Path(root, name)
-        if place.is_dir() and any(place.rglob("*.md")) or place.is_dir() and any(place.rglob("*.mdx")):
-            own = documents(spark, str(place), most)[0]
-            return own if name == "." else own.withColumn("path", F.concat(F.lit(name + "/"), "path"))
+        if place.is_dir():
+            own = documents(spark, str(place), most, pruned=pruned)[0]
+            if own.head(1):
+                return own if name == "." else own.withColumn("path", F.concat(F.lit(name + "/"), "path"))
     return spark.createDataFrame([], "path string, content string, size bigint")
 
 
 def sources(spark: SparkSession, root: str, most: int | None = None) -> tuple[DataFrame, bool]:
-    """Source files of the known languages."""
-    return capped(read(spark, root, SOURCE), most)
+    """Source files of the known languages, without tests and the like."""
+    return capped(read(spark, root, SOURCE, PRUNED_COVERAGE), most)
 
 
 def git(root: str, *args: str) -> tuple[str, int]:
