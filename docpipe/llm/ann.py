@@ -1,12 +1,13 @@
 """Approximate maximum inner product search by score-aware quantisation.
 
-Vectors are put into leaves by k-means on all of them. What is left of a vector after its leaf's centre is quantised in
+Vectors are put into leaves by k-means. What is left of a vector after its leaf's centre is quantised in
 subspaces of two dimensions with 16 centres each, four bits. The loss is anisotropic: an error e of a vector x counts
 |e|^2 + (eta - 1) (e . x / |x|)^2, eta = (d - 1) t^2 / (1 - t^2), since an error along x changes the large products most.
 Codes are chosen by coordinate descent on that loss, centres by its least squares given the other subspaces' errors, in
-turn, over all vectors.
+turn. Both are fitted on a sample of about `sample` vectors, by hash; every vector is then in the index. A leaf of more
+than `most` vectors, as of equal ones, is searched in parts.
 
-Each vector is a query too. It goes to the leaves whose centres have the largest product with it; to how many follows from
+Queries are the vectors whose id is divisible by `every`. A query goes to the leaves whose centres have the largest product with it; to how many follows from
 the data: so many as hold `target` of the exact neighbours of `tried` vectors, which are searched for among all. There the tables
 of its products with all centres are summed along the codes, two codes a byte; the `rerank` best are ranked again by exact
 products, and so are all whose sums equal the last one's, or come as near to the k-th exact product as the largest error of
@@ -34,6 +35,7 @@ from .shared import written
 
 SCHEMA = "vec_id bigint, neighbor_id bigint, score double"
 CENTRES = 16
+U = np.uint64
 
 
 @dataclass(frozen=True)
@@ -95,9 +97,8 @@ def summed(rows: DataFrame, part, width: int) -> dict[int, np.ndarray]:
     return {r[0]: np.array(r[1:]) for r in rows.select("x").mapInArrow(X.lean(add), "k int, v array<double>").groupBy("k").agg(*sums).collect()}
 
 
-def fit(rows: DataFrame, n: int, d: int, threshold: float = 0.2, rounds: int = 5) -> Index:
-    """An index of all rows (i, x)."""
-    k = max(1, round(n**0.5 / 16))
+def fit(rows: DataFrame, k: int, d: int, threshold: float = 0.2, rounds: int = 5) -> Index:
+    """An index of k leaves, fitted on rows (i, x)."""
     seeds = rows.orderBy(F.xxhash64("i"), "i", "x").limit(max(k, CENTRES)).collect()
     seeds = np.array([r["x"] for r in seeds], np.float32)
     leaves = seeds[:k].copy()
@@ -194,8 +195,8 @@ def probes(rows: DataFrame, index: Index, k: int, target: float, tried: int) ->
     return 1
 
 
-def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int = 256, rerank: int = 128) -> DataFrame:
-    """vec_id, neighbor_id, score, rank: for each vector the k others of the largest inner product."""
+def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int = 256, rerank: int = 128, every: int = 1, sample: int = 1 << 17, most: int = 1 << 18) -> DataFrame:
+    """vec_id, neighbor_id, score, rank: for each vector of an id divisible by `every` the k others of the largest inner product."""
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("bigint").alias("i"), F.col("embedding").cast("array<float>").alias("x")).where(
         "i is not null and size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < float('inf'))"
@@ -206,10 +207,19 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int
     d = kinds["d"]
     rows = written(own.where(F.size("x") == d).distinct(), "vectors")
     n = rows.count()
-    index = fit(rows, n, d)
+    share = -(-n // sample)
+    index = fit(written(rows.where(F.pmod(F.xxhash64("i", "x"), F.lit(share)) == 0), "sample") if share > 1 else rows, max(1, round(n**0.5 / 4)), d)
     p = probes(rows, index, k, target, tried)
     even = padded(index.leaves)
 
+    def filled(x: np.ndarray) -> np.ndarray:
+        return np.bincount(nearest(x, index.leaves), minlength=len(index.leaves))[:, None].astype(float)
+
+    parts = np.ones(len(index.leaves), np.int64)
+    for leaf, v in summed(rows, filled, 1).items():
+        parts[leaf] = -(-int(v[0]) // most)
+    base = np.cumsum(parts) - parts  # of a leaf's parts, the first one's number
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector in its leaf, coded, and as a query in its leaves."""
         for batch in batches:
@@ -218,10 +228,19 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int
             x = matrix(batch.column(1), d)
             at = nearest(x, index.leaves)
             c = packed(codes(padded(x), padded(x) - even[at], index.books, index.eta))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.zeros(len(x), np.int32)), batch.column(0), batch.column(1), pa.array([v.tobytes() for v in c], pa.binary())], ["leaf", "role", "i", "x", "c"])
-            to = np.argpartition(-(x @ index.leaves.T), p - 1, 1)[:, :p]
+            ids = np.asarray(batch.column(0))
+            own = base[at] + (X.mix(ids.view(U)) % parts[at].astype(U)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.zeros(len(x), np.int32)), batch.column(0), batch.column(1), pa.array([v.tobytes() for v in c], pa.binary())], ["leaf", "role", "i", "x", "c"])
+            asked = np.flatnonzero(ids % every == 0)
+            to = np.argpartition(-(x[asked] @ index.leaves.T), p - 1, 1)[:, :p]
             for s in range(p):
-                yield pa.RecordBatch.from_arrays([pa.array(to[:, s].astype(np.int32)), pa.array(np.ones(len(x), np.int32)), batch.column(0), batch.column(1), pa.nulls(len(x), pa.binary())], ["leaf", "role", "i", "x", "c"])
+                leaf = to[:, s]
+                which = np.repeat(np.arange(len(asked)), parts[leaf])
+                own = np.repeat(base[leaf], parts[leaf]) + np.arange(len(which)) - np.repeat(np.cumsum(parts[leaf]) - parts[leaf], parts[leaf])
+                take = pa.array(asked[which])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.ones(len(which), np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.nulls(len(which), pa.binary())], ["leaf", "role", "i", "x", "c"])
+
+    center = np.repeat(np.arange(len(parts)), parts)  # the leaf of each part
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by leaf, its vectors before its queries."""
@@ -253,13 +272,13 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = 0.97, tried: int
                     who, y = np.asarray(q.column(2)), matrix(q.column(3), d)
                     at, less = scanned(index, c, y, rerank + 1)
                     exact = np.einsum("qd,qrd->qr", y.astype(float), x[at].astype(float))
-                    base = y.astype(float) @ index.leaves[now].astype(float)
+                    shift = y.astype(float) @ index.leaves[center[now]].astype(float)
                     sums = np.take_along_axis(less, at, 1)
-                    error = np.abs(exact - base[:, None] + sums).max(1)
+                    error = np.abs(exact - shift[:, None] + sums).max(1)
                     exact[ids[at] == who[:, None]] = -np.inf
                     order = np.lexsort((ids[at], -exact), axis=1)[:, :k]
                     exact, best = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[at], order, 1)
-                    least = exact[:, k - 1] - base - error if exact.shape[1] == k else np.full(len(y), -np.inf)
+                    least = exact[:, k - 1] - shift - error if exact.shape[1] == k else np.full(len(y), -np.inf)
                     near = less <= np.maximum(sums.max(1), -least)[:, None]
                     for j in np.flatnonzero(near.sum(1) > at.shape[1]):
                         places = np.flatnonzero(near[j])

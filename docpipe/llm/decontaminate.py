@@ -20,13 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .shared import batches as limit_batches
 
 SLICE_BYTES = 8 << 20
 SCHEMA = "doc_id bigint, item_id bigint, score double, start int, end int"
@@ -179,6 +179,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 2, share: float = 0.5,
     """doc_id, item_id, score, start, end (words of the text): one row for each text and item of which it holds a passage."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t"))
     out = docs.sparkSession.createDataFrame([], SCHEMA)
+    limit_batches(docs.sparkSession)
     for k, items in enumerate(slices(docs, benchmark, n, share, least)):
 
         def matched(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
@@ -199,12 +200,12 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 2, share: float = 0.5,
 def holds(items: Items, least: int, threshold: float):
     """Whether a text holds a passage of an item."""
 
-    @F.pandas_udf(T.BooleanType())
-    def flagged(column: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.BooleanType())
+    def flagged(column: pa.Array) -> pa.Array:
         hit = np.zeros(len(column), bool)
-        hit[[r for r, *_ in passages(items, pa.array(column, pa.string(), from_pandas=True), least, threshold)]] = True
+        hit[[r for r, *_ in passages(items, column, least, threshold)]] = True
         X.trimmed()
-        return pd.Series(hit)
+        return pa.array(hit)
 
     return flagged
 
@@ -212,6 +213,7 @@ def holds(items: Items, least: int, threshold: float):
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 2, share: float = 0.5, least: int = 2, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with their columns, that hold no passage of the benchmark."""
     out = docs
+    limit_batches(docs.sparkSession)
     for items in slices(docs, benchmark, n, share, least):
 
         out = out.where(~holds(items, least, threshold)(docs["text"].cast("string")))

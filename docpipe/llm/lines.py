@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from . import text as X
 from .shared import BROADCAST_BYTES, small, written
+from .shared import batches as limit_batches
 
 U = np.uint64
 HALF = U(20)  # bits of a word: 20 of its bucket, 20 more
@@ -493,6 +494,7 @@ def against(docs: DataFrame, rows: list, frequency: np.ndarray, threshold: float
 def removals(docs: DataFrame, threshold: float = 0.8, hot: int = HOT, partners: int = PARTNERS, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """d, l, s of the lines that go: doc_id, line number from 0, and 32 bits of the hash of the line's set."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("t")).where("d is not null and t is not null")
+    limit_batches(docs.sparkSession)
     frequency = counted(own)
     n_parts = 1 + int(frequency.sum()) // 4 * ROW_BYTES // PART_BYTES
     none = F.lit(None).cast("array<struct<l:int,s:int>>")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .shared import batches as limit_batches
 from .shared import small, written
 
 U = np.uint64
@@ -171,6 +172,7 @@ def overlapping(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, mos
 
 def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshold: float = 0.4) -> DataFrame:
     """doc_id, group_id: the documents that have a near duplicate."""
+    limit_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("t")).where("d is not null and t is not null")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

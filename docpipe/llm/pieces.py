@@ -41,6 +41,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 from . import text as X
 from .shared import BROADCAST_BYTES, written
+from .shared import batches as limit_batches
 from .text import unvarints, varints
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -272,6 +273,7 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | N
     vocab = vocab or vocabulary()
     spell = Speller(back) if back else None
     spark = docs.sparkSession
+    limit_batches(spark, CHUNK_BYTES)
     n = partitions or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = steady(docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t")))
 

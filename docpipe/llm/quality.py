@@ -22,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .shared import batches
 
 #: Of the queries and the pipeline.
 TOXIC_Z = 6.0
@@ -158,21 +158,22 @@ def score(text: Column, model: Model | None) -> Column:
     if model is None:
         return F.when(blank, F.lit(0.0)).otherwise(F.lit(None).cast("double"))
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
         good, bad = compressors(model)
-        d = np.array([np.nan if t is None or not t.strip() else difference(t, good, bad, model.block) for t in texts], float)
+        d = np.array([np.nan if t is None or not t.strip() else difference(t, good, bad, model.block) for t in (x.as_py() for x in texts)], float)
         p = 1 / (1 + np.exp(-np.clip(model.slope * d + model.intercept, -30, 30)))
         if model.marks is not None and len(model.marks):
-            p = np.where(held(pa.array(texts, pa.string(), from_pandas=True), model.marks), p * model.clean, p)
+            p = np.where(held(texts, model.marks), p * model.clean, p)
         X.trimmed()
-        return pd.Series(np.where(np.isnan(d), 0.0, p))
+        return pa.array(np.where(np.isnan(d), 0.0, p))
 
     return scored(text)
 
 
 def classify(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, accepted; one row for each row of docs."""
+    batches(docs.sparkSession)
     return docs.select("doc_id", score(F.col("text"), model).alias("score")).select(
         "doc_id", "score", F.coalesce(F.col("score") >= threshold, F.lit(True)).alias("accepted")
     )
@@ -180,4 +181,5 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Da
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier accepts, with their columns."""
+    batches(docs.sparkSession)
     return docs.where(F.coalesce(score(docs["text"], model) >= threshold, F.lit(True)))

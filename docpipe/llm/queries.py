@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import ann, decontaminate, html, lines, lm, near, pieces, quality, urls, warc
 
 
+#: Searches ask for the rows whose id is divisible by this, against all rows.
+EVERY = 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,13 +21,14 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+    """The neighbours, among all vectors, of those whose id is divisible by EVERY."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, scored by all others."""
+    """The documents whose id is divisible by EVERY, scored by all others."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return lm.each(docs).withColumnRenamed("id", "doc_id")
+    return lm.each(docs, every=EVERY).withColumnRenamed("id", "doc_id")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,22 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and there is but one machine, as in tests."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docpipe-"))
     return context.getCheckpointDir()
 
 
+def batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Sets how many bytes of rows are handed to Python at once, for this session: texts are long, and 10,000 of them take much of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read back from Parquet in the shared folder."""
     spark = df.sparkSession

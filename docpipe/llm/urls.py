@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -51,8 +51,10 @@ def templates(pages: DataFrame, labels: DataFrame, least: int = 5, z: float = 1.
             .where(F.abs(F.col("b") - F.col("l") * p) > z * F.sqrt(F.col("l") * p * (1 - p)))
             .select("t", "c", F.lit(1).alias("named"))
         )
+        # Named segments are few: they have `least` pages and labels of their own. So no page is shuffled, while they fit.
+        named = small(written(named, "named"), 256)
         step = F.concat("t", F.lit("/"), F.when(F.col("named") == 1, F.col("c")).otherwise("*"))
-        own = own.join(named, ["t", "c"], "left").join(live, "t", "left").select(
+        own = own.join(named, ["t", "c"], "left").join(small(live, 128), "t", "left").select(
             "page_id", "bad", F.when(F.col("c").isNull(), F.col("t")).when(F.col("live") == 1, step).otherwise(starred(k)).alias("t"), F.when(F.col("live") == 1, F.col("s")).alias("s")
         )
         k += 1

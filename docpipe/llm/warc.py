@@ -132,7 +132,7 @@ def pack(pages: DataFrame, frame: int = 256 << 10, bundle: int = 32 << 20, level
                     yield closed()
         yield from ended()
 
-    return own.repartition(n, "b").sortWithinPartitions("b", "k", "i", "u", "h").select("i", "u", "h", "b").mapInArrow(X.lean(packed), SCHEMA)
+    return own.repartitionById(n, "b").sortWithinPartitions("b", "k", "i", "u", "h").select("i", "u", "h", "b").mapInArrow(X.lean(packed), SCHEMA)
 
 
 def index(frames: DataFrame) -> DataFrame:

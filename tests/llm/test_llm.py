@@ -75,17 +75,21 @@ def test_html_odd_rows(spark, most, most_bytes):
 # 2 nearest vectors
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize(("every", "most"), [(1, 1 << 18), (20, 7)])
+def test_neighbours_recall(spark, every, most):
+    """With several leaves; with leaves in parts, and queries of every 20th id."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert round(rows.count() ** 0.5 / 4) > 3
     x = rows.toPandas()
     m = np.stack(x.embedding).astype(float)
     s = m @ m.T
     np.fill_diagonal(s, -9)
     exact = {i: set(x.vec_id.to_numpy()[np.argsort(-s[k])[:10]]) for k, i in enumerate(x.vec_id)}
     got = defaultdict(set)
-    for r in ann.neighbours(rows).collect():
+    for r in ann.neighbours(rows, every=every, most=most).collect():
         got[r.vec_id].add(r.neighbor_id)
-    assert np.mean([len(got[i] & v) / 10 for i, v in exact.items()]) >= 0.9
+    asked = [i for i in exact if i % every == 0]
+    assert set(got) == set(asked) and np.mean([len(got[i] & exact[i]) / 10 for i in asked]) >= 0.9
 
 
 @pytest.mark.parametrize(("noise", "least"), [(0.0, 1.0), (1e-4, 0.9)])
@@ -184,12 +188,14 @@ def test_lm_scores_each_row_by_all_others(spark, monkeypatch):
     assert got == want
 
 
-def test_op3_scores_every_document(spark):
+def test_op3_scores_every_20th_document_as_if_all_were(spark):
     from docpipe.llm.queries import op3_lm_scores
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = op3_lm_scores(spark, SF)
-    assert got.count() == docs.count() and not got.select("doc_id").exceptAll(docs.select("doc_id")).head(1)
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.where("doc_id % 20 = 0").collect()}
+    every = lm.each(docs.select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id").withColumn("log2_prob", F.round("log2_prob", 6))
+    assert not got.withColumn("log2_prob", F.round("log2_prob", 6)).select("doc_id", "log2_prob").exceptAll(every.select("doc_id", "log2_prob")).head(1)
 
 
 # 4 near duplicates
