@@ -24,7 +24,6 @@ encoded each; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -262,10 +261,17 @@ def folded(lattice: DataFrame, vocab: Vocabulary) -> DataFrame:
     return way.select("o", F.when(known, F.expr("transform(way, y -> y.id)")).otherwise(spelt).alias("ids"))
 
 
+STEADY = {"FileSourceScanExec", "ProjectExec", "FilterExec", "ColumnarToRowExec", "WholeStageCodegenExec", "InputAdapter"}
+
+
 def steady(docs: DataFrame) -> DataFrame:
     """docs, if it is but a scan of files, which gives the same batches each time it is read; else written first."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return written(docs, "texts") if re.search(r"Exchange|Sort|Limit|Sample|Aggregate|Join|Python|Pandas|Arrow|Window|RDD|Generate|Union|InMemory|Local", plan) or "FileScan" not in plan else docs
+    nodes = [docs._jdf.queryExecution().executedPlan()]
+    for node in nodes:
+        if node.getClass().getSimpleName() not in STEADY:
+            return written(docs, "texts")
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return docs
 
 
 def encode(docs: DataFrame, vocab: Vocabulary | None = None, partitions: int | None = None, back: str | None = None) -> DataFrame:
