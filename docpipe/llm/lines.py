@@ -214,9 +214,12 @@ def prefixes(docs: DataFrame, frequency: np.ndarray, threshold: float, n_parts:
             split = np.argsort(bucket.astype(np.uint16) if n_parts < 1 << 16 else bucket, kind="stable")
             ends = np.searchsorted(bucket[split], np.arange(n_parts + 1))
             some = np.flatnonzero(np.diff(ends))
-            i = row["i"][split]
-            x = {c: line[c][i] for c in ("s", "d", "l", "n", "b", "e")} | {"k": ((row["k"][split] // U(n_parts)) & U(0xFFFFFFFF)), "p": row["p"][split] + line["f"][i]}
-            data = [packed({c: a[ends[b] : ends[b + 1]] for c, a in x.items()}) for b in some]
+            data = []
+            for b in some:
+                own = split[ends[b] : ends[b + 1]]
+                i = row["i"][own]
+                x = {c: line[c][i] for c in ("s", "d", "l", "n", "b", "e")} | {"k": ((row["k"][own] // U(n_parts)) & U(0xFFFFFFFF)), "p": row["p"][own] + line["f"][i]}
+                data.append(packed(x))
             where, kind = some.astype(np.int32), np.zeros(len(some), np.int32)
             if len(gone):
                 data.append(b"".join(v[c][gone].astype(t).tobytes() for c, t in (("d", np.int64), ("l", np.int32), ("s", np.int32))))

@@ -35,6 +35,7 @@ from .shared import batches as limit_batches
 from .shared import small, written
 
 U = np.uint64
+CHUNK_BYTES = 1 << 20  # of texts that are signed at once
 
 
 def bags(offsets: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +178,7 @@ def groups(docs: DataFrame, n: int = 3, bands: int = 48, rows: int = 4, threshol
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, part in X.chunks(batch.column(1)):
+            for base, part in X.chunks(batch.column(1), CHUNK_BYTES):
                 offsets, h = X.words(part)
                 row, gram, count = bags(offsets, h, n)
                 if not len(row):
