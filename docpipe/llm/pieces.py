@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
@@ -50,6 +49,7 @@ ROWS = 512  # documents that are put together at once
 BLOCK = 64  # characters that are folded at once
 SCORES = 1 << 17  # scores are below that, and above its negative
 CHUNK_BYTES = 8 << 20
+SPLIT_BYTES = 1 << 20  # of a chunk that are split at once
 BUCKETS_A_UNIT = 256  # of so many buckets a unit is in one
 
 
@@ -155,12 +155,14 @@ def spaced(offsets: np.ndarray, at: np.ndarray, own: pa.Array, content: pa.Array
 
 def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
     """The texts, null being '', in units of which pieces are made, these in n buckets by hash."""
-    plain = pc.replace_substring(pc.replace_substring(texts, SPACE, " "), "\n", f" {SPACE}\n {SPACE}")
-    offsets, parts = X.split(plain, " ")
-    del plain
-    coded = parts.dictionary_encode()
-    del parts
+    coded, ends = [], [np.zeros(1, np.int64)]
+    for _, some in X.chunks(texts, SPLIT_BYTES) or [(0, X.filled(texts))]:
+        offsets, parts = X.split(pc.replace_substring(pc.replace_substring(some, SPACE, " "), "\n", f" {SPACE}\n {SPACE}"), " ")
+        coded.append(parts.dictionary_encode())
+        ends.append(offsets[1:] + ends[-1][-1])
+    offsets, coded = np.concatenate(ends), pa.chunked_array(coded).unify_dictionaries().combine_chunks()
     at, own = np.asarray(coded.indices), coded.dictionary
+    del coded, parts, some
     # A part's spaces: one before it, none if it begins with the mark that line breaks leave.
     space = pa.scalar(SPACE, pa.large_string())
     content = pc.if_else(pc.starts_with(own, SPACE), pc.utf8_slice_codeunits(own, 1), pc.binary_join_element_wise(space, own, pa.scalar("", pa.large_string())))
@@ -174,15 +176,18 @@ def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
     ends = np.cumsum(np.asarray(pc.binary_length(content)).astype(np.int64))
     whole = b"" if not len(content) or not ends[-1] else content.buffers()[2].to_pybytes()[: ends[-1]]
     first = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)  # bytes where characters begin
-    points = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.frombuffer(whole.decode().encode("utf-32-le"), np.int32)
     cut = np.ones(len(points), bool)
     if len(points) > 1:
         low = np.minimum(points, COMMON - 1)
         cut[1:] = ~common(vocab)[low[:-1] * COMMON + low[1:]]
         rare = np.flatnonzero((points[:-1] >= COMMON - 1) | (points[1:] >= COMMON - 1))
-        cut[rare + 1] = ~np.isin((points[rare] << 21) | points[rare + 1], vocab.adjacent)
+        cut[rare + 1] = ~np.isin((points[rare].astype(np.int64) << 21) | points[rare + 1], vocab.adjacent)
         cut[np.searchsorted(first, ends[:-1][ends[:-1] < len(whole)])] = True
+        del low, rare
+    del points
     begin = first[cut]
+    del first, cut
     strings = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.r_[begin, len(whole)].astype(np.int64)), pa.py_buffer(whole)])
     units = strings.dictionary_encode()
     unit_offsets = np.searchsorted(begin, np.r_[0, ends])
@@ -200,8 +205,9 @@ def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
-    frame = pd.DataFrame({"p": list(vocab.pieces), "id": [i for i, _ in vocab.pieces.values()], "score": [s for _, s in vocab.pieces.values()]})
-    table = spark.createDataFrame(frame, "p string, id int, score int")
+    # Of an Arrow table, so that no Python worker has to read it.
+    columns = {"p": (list(vocab.pieces), pa.string()), "id": ([i for i, _ in vocab.pieces.values()], pa.int32()), "score": ([s for _, s in vocab.pieces.values()], pa.int32())}
+    table = spark.createDataFrame(pa.table({c: pa.array(v, t) for c, (v, t) in columns.items()}))
     return F.broadcast(table) if sum(80 + 2 * len(p) for p in vocab.pieces) <= BROADCAST_BYTES else table
 
 

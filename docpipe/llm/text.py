@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*$&%#@~`^_=+/\\-–—…«»“”‘’¡¿"
 U64 = np.uint64
+STRINGS = 1 << 14  # that are hashed at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,6 +37,8 @@ def split(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, pa.A
 
 def string_hashes(strings: pa.LargeStringArray) -> np.ndarray:
     """64-bit hashes: bytes times random numbers by place, summed and mixed; two strings agree with a chance of 2**-56."""
+    if len(strings) > STRINGS:
+        return np.concatenate([string_hashes(strings.slice(k, STRINGS)) for k in range(0, len(strings), STRINGS)])
     _, offsets, data = strings.buffers()
     if not len(strings) or data is None:
         return np.zeros(len(strings), U64)
