@@ -188,6 +188,21 @@ def test_lm_scores_each_row_by_all_others(spark, monkeypatch):
     assert got == want
 
 
+def test_lm_reads_the_corpus_once_for_many_slices(spark, monkeypatch):
+    """A slice of scored texts was a pass over the corpus of its own, and jobs grew with the slices."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, 60, 9)) for i in range(40)], "id bigint, text string").repartition(3)
+    jobs, got = [], []
+    for size in (1 << 20, 400):
+        monkeypatch.setattr(lm, "SLICE_BYTES", size)
+        spark.sparkContext.setJobGroup(f"slices {size}", "")
+        got.append({r.id: (r.words, round(r.log2_prob, 6)) for r in lm.each(docs, shard=500).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"slices {size}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] and len(got[0]) == 40
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_op3_scores_every_20th_document_as_if_all_were(spark):
     from docpipe.llm.queries import op3_lm_scores
 
