@@ -50,6 +50,7 @@ BLOCK = 64  # characters that are folded at once
 SCORES = 1 << 17  # scores are below that, and above its negative
 CHUNK_BYTES = 8 << 20
 SPLIT_BYTES = 1 << 20  # of a chunk that are split at once
+CUT_BYTES = 1 << 18  # of distinct parts that are cut into units at once
 BUCKETS_A_UNIT = 256  # of so many buckets a unit is in one
 
 
@@ -153,6 +154,26 @@ def spaced(offsets: np.ndarray, at: np.ndarray, own: pa.Array, content: pa.Array
     return np.r_[0, np.cumsum(length)], np.concatenate([*pieces, at[offsets[last] :]]), pa.concat_arrays([content, pa.array(list(number), pa.large_string())])
 
 
+def cuts(whole: bytes, ends: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Bytes where units begin in parts that end there: between characters that are nowhere adjacent. Whole parts are looked at, of CUT_BYTES together if no single one is larger."""
+    begin, at, near = [], 0, common(vocab)
+    while at < len(whole):
+        to = int(ends[max(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + CUT_BYTES, "right") - 1)])
+        own = whole[at:to]
+        first = np.flatnonzero((np.frombuffer(own, np.uint8) & 0xC0) != 0x80)  # bytes where characters begin
+        points = np.frombuffer(own.decode().encode("utf-32-le"), np.int32)
+        cut = np.ones(len(points), bool)
+        low = np.minimum(points, COMMON - 1)
+        cut[1:] = ~near[low[:-1] * COMMON + low[1:]]
+        rare = np.flatnonzero((points[:-1] >= COMMON - 1) | (points[1:] >= COMMON - 1))
+        cut[rare + 1] = ~np.isin((points[rare].astype(np.int64) << 21) | points[rare + 1], vocab.adjacent)
+        inner = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, to)] - at
+        cut[np.searchsorted(first, inner)] = True
+        begin.append(first[cut] + at)
+        at = to
+    return np.concatenate(begin) if begin else np.empty(0, np.int64)
+
+
 def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
     """The texts, null being '', in units of which pieces are made, these in n buckets by hash."""
     coded, ends = [], [np.zeros(1, np.int64)]
@@ -160,9 +181,11 @@ def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
         offsets, parts = X.split(pc.replace_substring(pc.replace_substring(some, SPACE, " "), "\n", f" {SPACE}\n {SPACE}"), " ")
         coded.append(parts.dictionary_encode())
         ends.append(offsets[1:] + ends[-1][-1])
+        del offsets, parts, some
     offsets, coded = np.concatenate(ends), pa.chunked_array(coded).unify_dictionaries().combine_chunks()
     at, own = np.asarray(coded.indices), coded.dictionary
-    del coded, parts, some
+    del coded
+    X.trimmed()
     # A part's spaces: one before it, none if it begins with the mark that line breaks leave.
     space = pa.scalar(SPACE, pa.large_string())
     content = pc.if_else(pc.starts_with(own, SPACE), pc.utf8_slice_codeunits(own, 1), pc.binary_join_element_wise(space, own, pa.scalar("", pa.large_string())))
@@ -173,21 +196,10 @@ def chunk(texts: pa.Array, vocab: Vocabulary, n: int) -> Chunk:
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     at, content = place[at], content.take(pa.array(order))
+    del own, order, place
     ends = np.cumsum(np.asarray(pc.binary_length(content)).astype(np.int64))
     whole = b"" if not len(content) or not ends[-1] else content.buffers()[2].to_pybytes()[: ends[-1]]
-    first = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)  # bytes where characters begin
-    points = np.frombuffer(whole.decode().encode("utf-32-le"), np.int32)
-    cut = np.ones(len(points), bool)
-    if len(points) > 1:
-        low = np.minimum(points, COMMON - 1)
-        cut[1:] = ~common(vocab)[low[:-1] * COMMON + low[1:]]
-        rare = np.flatnonzero((points[:-1] >= COMMON - 1) | (points[1:] >= COMMON - 1))
-        cut[rare + 1] = ~np.isin((points[rare].astype(np.int64) << 21) | points[rare + 1], vocab.adjacent)
-        cut[np.searchsorted(first, ends[:-1][ends[:-1] < len(whole)])] = True
-        del low, rare
-    del points
-    begin = first[cut]
-    del first, cut
+    begin = cuts(whole, ends, vocab)
     strings = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.r_[begin, len(whole)].astype(np.int64)), pa.py_buffer(whole)])
     units = strings.dictionary_encode()
     unit_offsets = np.searchsorted(begin, np.r_[0, ends])

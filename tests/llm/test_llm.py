@@ -324,6 +324,24 @@ def same(ids, text, own, vocab):
     return len(exact) > 4000 and total(ids) >= total(exact) and own.decode(ids) == text
 
 
+def test_chunks_of_many_distinct_words_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, vocab = random.Random(5), pieces.vocabulary()
+    texts = pa.array([" ".join(f"w{rng.randrange(1 << 40):x}" for _ in range(500)) for _ in range(500)])
+    pieces.chunk(texts.slice(0, 1), vocab, 256)
+    tracemalloc.start()
+    whole = pieces.chunk(texts, vocab, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75e6  # 89 MB when all distinct words were cut at once
+    monkeypatch.setattr(pieces, "CUT_BYTES", 40_000)
+    again = pieces.chunk(texts, vocab, 256)
+    assert whole.key == again.key and whole.units.equals(again.units) and np.array_equal(whole.unit_ids, again.unit_ids)
+
+
 def test_pieces_of_very_long_units_and_of_shuffled_texts(spark):
     rng = random.Random(8)
     vocab = pieces.vocabulary()
