@@ -203,6 +203,28 @@ def test_lm_reads_the_corpus_once_for_many_slices(spark, monkeypatch):
     assert jobs[1] <= jobs[0] + 2
 
 
+def test_lm_indexes_only_what_texts_share(spark, monkeypatch):
+    """All of the corpus was indexed, and searched by each slice."""
+    rng = random.Random(7)
+    corpus = [prose(rng, 50, 2000) for _ in range(40)]
+    shared = " ".join(corpus[0].split()[10:30])
+    monkeypatch.setattr(lm, "SPARE", 256, raising=False)  # a bitmap for so few words has false hits
+    tables, written = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.update({name: (out := written(df, name))}) or out)
+    frame = spark.createDataFrame([(0, f"x {shared} y")], "id bigint, text string")
+    got = lm.score(spark.createDataFrame([(c,) for c in corpus], "text string"), frame).first()
+    assert got.words == 22 and got.context > 4
+    assert tables["suffixes"].where("name = 'rest'").agg(F.sum(F.octet_length("data"))).first()[0] < 4 * 100
+
+
+def test_lm_of_a_word_after_a_long_frequent_context_is_finite(spark):
+    """The probability was 0 in floating point, and log2_prob -inf."""
+    words = [f"w{k}" for k in range(250)]
+    frame = spark.createDataFrame([(0, " ".join(words[:-1])), (1, " ".join([*words[:-1], "zz"]))], "id bigint, text string")
+    got = {r.id: r.log2_prob for r in lm.score(spark.createDataFrame([(" ".join(words),)] * 300, "text string"), frame).collect()}
+    assert abs(got[1] - got[0] - (-20 + math.log2(4 / (300 * 250 + 4)) + 249 * math.log2(4 / 304))) < 1e-6
+
+
 def test_op3_scores_every_20th_document_as_if_all_were(spark):
     from docpipe.llm.queries import op3_lm_scores
 
