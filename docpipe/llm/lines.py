@@ -234,13 +234,15 @@ def prefixes(docs: DataFrame, frequency: np.ndarray, threshold: float, n_parts:
                 if not len(word):
                     continue
                 n = np.bincount(line, minlength=len(lines))
-                start = (np.cumsum(n) - n)[n > 0]
                 level = np.searchsorted(LEVELS, n)
                 bits = np.zeros((len(n), 8), U)
                 slot = (mixed >> U(61)).astype(np.int64) & ((1 << level[line]) - 1)
                 turned = U(1) << ((mixed >> U(55)) & U(63))
                 for k in range(1 << int(level.max())):
-                    bits[n > 0, k] = np.bitwise_xor.reduceat(np.where(slot == k, turned, U(0)), start)
+                    at = np.flatnonzero(slot == k)
+                    if len(at):
+                        begin = np.flatnonzero(np.r_[True, line[at[1:]] != line[at[:-1]]])
+                        bits[line[at[begin]], k] = np.bitwise_xor.reduceat(turned[at], begin)
                 i, k, p, first = keyed(word, n, threshold, from_hot)
                 flag = np.zeros(len(n), np.int64)
                 if some_marked:
@@ -445,6 +447,13 @@ def wanted(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return docs.join(small(written(by, "wanted"), 24 * lines.count(), 1), "d").select("d", "t", "v").mapInArrow(X.lean(sets), "d bigint, l int, s int, w binary")
 
 
+def with_buckets(lines: pa.Array, wanted: np.ndarray) -> np.ndarray:
+    """Which lines have a word of the wanted buckets."""
+    at, h = X.words(lines)
+    hit = np.r_[0, np.cumsum(wanted[(h >> U(24)) & MASK])]
+    return np.flatnonzero(hit[at[1:]] > hit[at[:-1]])
+
+
 def against(docs: DataFrame, rows: list, frequency: np.ndarray, threshold: float) -> DataFrame:
     """d, l, s of the rows (d, l, s, w) that an earlier line of docs (d, t) is similar to: the rows' prefixes are looked up in each task."""
     order = np.lexsort((np.arange(BUCKETS), frequency))
@@ -460,12 +469,16 @@ def against(docs: DataFrame, rows: list, frequency: np.ndarray, threshold: float
     first = flat[ends[which] + k]
     by_word = np.argsort(first, kind="stable")
     first, which = first[by_word], which[by_word]
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[back[first >> HALF]] = True
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.zeros(len(size), bool)
         for batch in batches:
             ids = np.asarray(batch.column(0)).astype(np.int64)
             for doc, number, lines in parted(batch.column(1)):
+                some = with_buckets(lines, wanted)  # others share no such word
+                doc, number, lines = doc[some], number[some], lines.take(pa.array(some))
                 line, word, _, sets = line_sets(lines, place, back)
                 if not len(word):
                     continue

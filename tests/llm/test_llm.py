@@ -580,6 +580,17 @@ def test_lines_of_a_large_group_reach_the_last_round(spark, monkeypatch, partner
     assert partners > 1 or rounds == ["paired", "against" if broadcast else "paired"]
 
 
+def test_only_lines_with_a_wanted_word_are_compared_in_the_last_round():
+    """All lines of the corpus were made sets."""
+    import pyarrow as pa
+
+    texts = pa.array(["a b", "", "B. c", "c", None, "c d (b)"], pa.large_string())
+    wanted = np.zeros(lines.BUCKETS, bool)
+    wanted[(lines.X.words(pa.array(["b"], pa.large_string()))[1] >> lines.U(24)) & lines.MASK] = True
+    assert lines.with_buckets(texts, wanted).tolist() == [0, 2, 5]
+    assert lines.with_buckets(texts.slice(3, 2), wanted).tolist() == []
+
+
 def test_lines_odd_rows(spark):
     a = "one two three four five"
     docs = docs_of(spark, [f"{a}\nx", a, None, "", "\n \n", f"{a}\nunlike", f"{a}", a, "word " * 30_000, "z"], [1, 2, 3, 4, 5, 6, 6, None, 7, 1]).withColumn("d", F.lit(0)).withColumn("__x", F.lit(1))
