@@ -80,8 +80,8 @@ def quoted(symbol: Column) -> Column:
 def mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, line, symbol, severity, context: where pages mention symbols; in code as words, in prose as code, else as mere words.
 
-    Symbols have at least LEAST characters, so the lines that hold one are found by an equi-join of their ends with the
-    lines' substrings of that length; only these meet a pattern.
+    Symbols have at least LEAST characters, so the lines that hold one are found by the ends of symbols, of that length; only
+    these meet a pattern.
     """
     text = fenced(docs, BACKTICKS).where(F.trim("text") != "")
     pairs = holding(text, "text", symbols.select("symbol", "severity"), "symbol", LEAST)
@@ -97,7 +97,7 @@ def stale(docs: DataFrame, diff: DataFrame) -> DataFrame:
     hits = mentions(docs, tracked(diff)).where("context <> 'prose'")
     score = hits.groupBy("path").agg(F.sum(F.when(F.col("severity") == "high", 3).otherwise(1)).alias("score"), F.count("*").alias("findings"))
     status = F.when(F.col("score") >= 3, "stale").when(F.col("score") > 0, "likely_stale").otherwise("fresh")
-    return docs.select("path").join(score, "path", "left").select("path", status.alias("status"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("findings", F.lit(0)).alias("findings"))
+    return docs.select("path").join(score.hint("merge"), "path", "left").select("path", status.alias("status"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
 def findings(docs: DataFrame, diff: DataFrame, most: int = 10) -> DataFrame:
