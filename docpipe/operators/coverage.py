@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import folder, found, holding, lines
+from ..functions.text import folder, found, holding, joined, lines
 
 WORD = r"([\p{L}\p{N}_]+)"
 SCRIPT = [
@@ -93,7 +93,7 @@ def items(files: DataFrame) -> DataFrame:
 
 def documented_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The terms that stand between two backticks of some document, wherever these are."""
-    spans = docs.select(F.explode(F.expr("slice(split(content, '`', -1), 2, greatest(size(split(content, '`', -1)) - 2, 0))")).alias("span")).distinct()
+    spans = docs.select(F.explode(F.expr("slice(split(content, '`', -1), 2, greatest(size(split(content, '`', -1)) - 2, 0))")).alias("span"))
     return holding(spans, "span", terms, "term", SHORT_TERM).select("term").distinct()
 
 
@@ -105,7 +105,7 @@ def status(files: DataFrame, docs: DataFrame) -> DataFrame:
     terms = own.where(F.length("term") >= SHORT_TERM).select("term").distinct()
     hit = documented_terms(docs, terms).withColumn("hit", F.lit(True))
     out = F.when(F.length("term") < SHORT_TERM, "skipped").when(F.col("hit"), "documented").when(F.col("has_inline_docs"), "partial").otherwise("undocumented")
-    return own.join(hit, "term", "left").select("path", "line", "name", "type", "has_inline_docs", out.alias("status"))
+    return own.join(joined(hit), "term", "left").select("path", "line", "name", "type", "has_inline_docs", out.alias("status"))
 
 
 def by(files: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -151,6 +151,6 @@ def stubs(files: DataFrame, docs: DataFrame) -> DataFrame:
     own = status(files, docs).where("status = 'undocumented'")
     text = lines(files)
     stub = F.concat(F.lit("## "), "name", F.lit("\n\n```\n"), F.trim("text"), F.lit("\n```\n\nDescription.\n\n### Parameters\n\n### Returns\n\n### Example\n"))
-    return own.join(text, ["path", "line"]).select("path", "line", "name", stub.alias("stub"))
+    return own.join(text.hint("merge"), ["path", "line"]).select("path", "line", "name", stub.alias("stub"))
 
 

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from docpipe.functions.text import CUT, fenced, holding, normal_path
-from docpipe.operators import freshness
+from docpipe.operators import coverage, freshness
 from docpipe.sources.corpora import corpus
 
 
@@ -54,3 +54,8 @@ def test_paths_without_dots(spark):
     cases = {"a/b": "a/b", "": "", "/": "", "a": "a", "/a": "a", "a/": "a", "a//b": "a/b", ".": "", "..a/.b/c..": "..a/.b/c..", "a/...": "a/...", "x/..": "", "../a": "../a"}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", normal_path(F.col("t"))).collect()
     assert {r[0]: r[1] for r in got} == cases
+
+
+def test_names_are_looked_up_without_broadcasting_pages(spark):
+    source = spark.createDataFrame([("a.py", "def alpha_beta(x):\n")], "path string, content string")
+    assert plan(coverage.stubs(source, docs(spark, "`alpha_beta` `x`"))).count("BroadcastHashJoin") == 1  # the terms found
