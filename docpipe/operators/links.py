@@ -33,7 +33,7 @@ def references(text: DataFrame, defined: DataFrame) -> DataFrame:
     """Uses of reference links that are defined in the same document; an empty id is the text."""
     both = text.select("path", "line", F.posexplode(F.arrays_zip(found(F.col("text"), USE, 1).alias("a"), found(F.col("text"), USE, 2).alias("b"))).alias("ordinal", "x"))
     uses = both.select("path", "line", F.lit(1).alias("kind"), "ordinal", F.col("x.a").alias("text"), F.lower(F.when(F.col("x.b") == "", F.col("x.a")).otherwise(F.col("x.b"))).alias("ref"))
-    return uses.join(defined, ["path", "ref"]).select(*LINK)
+    return uses.join(defined.hint("merge"), ["path", "ref"]).select(*LINK)
 
 
 def attributes(text: DataFrame) -> DataFrame:
@@ -55,9 +55,25 @@ def kind_of(target: Column) -> Column:
 
 def links(docs: DataFrame) -> DataFrame:
     """All links outside code fences: path, line, kind (inline, reference, attribute), ordinal, text, target, type."""
-    text = fenced(docs).where("not inside").select("path", "line", "text")
-    every = inline(text).unionByName(references(text, definitions(docs))).unionByName(attributes(text))
-    return every.withColumn("type", kind_of(F.col("target")))
+    # A document's definitions, the last first, go with its lines; so there is one pass, without a join.
+    ids = F.transform(F.reverse(found(F.col("content"), DEFINITION, 1)), lambda x: F.lower(x))
+    places = F.transform(F.reverse(found(F.col("content"), DEFINITION, 2)), lambda x: F.trim(x))
+    text = fenced(docs.select("path", "content", ids.alias("ids"), places.alias("places")), keep=("ids", "places")).where("not inside")
+    row = lambda kind, i, text, target: F.struct(F.lit(kind).alias("kind"), i.alias("ordinal"), text.alias("text"), target.alias("target"))
+    pairs = lambda p: F.arrays_zip(found(F.col("text"), p, 1).alias("a"), found(F.col("text"), p, 2).alias("b"))
+    # Most lines have none of these, and then no pattern is tried.
+    marks = [F.col("text").contains("]("), F.col("text").contains("]["), F.col("text").contains("href=") | F.col("text").contains("src=")]
+    rows = [
+        F.transform(pairs(INLINE), lambda x, i: row(0, i, x["a"], F.split(F.trim(x["b"]), r"\s+")[0])), F.transform(pairs(USE), lambda x, i: row(1, i, x["a"], F.lower(F.when(x["b"] == "", x["a"]).otherwise(x["b"])))),
+        F.transform(found(F.col("text"), ATTRIBUTE), lambda x, i: row(2, i, F.lit(""), x)),
+    ]
+    none = F.array().cast("array<struct<kind:int,ordinal:int,text:string,target:string>>")
+    every = F.concat(*(F.when(m, r).otherwise(none) for m, r in zip(marks, rows)))
+    text = text.where(marks[0] | marks[1] | marks[2])
+    out = text.select("path", "line", "ids", "places", F.explode(every).alias("x"))
+    target = F.when(F.col("x.kind") == 1, F.get("places", F.array_position("ids", F.col("x.target")).cast("int") - 1)).otherwise(F.col("x.target"))
+    out = out.select("path", "line", "x.kind", "x.ordinal", "x.text", target.alias("target")).where("target <> '' or kind > 0 and target is not null")
+    return out.withColumn("type", kind_of(F.col("target")))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -71,7 +87,7 @@ def missing_anchors(docs: DataFrame) -> DataFrame:
     """Links into their own page whose anchor isn't there, whatever its case."""
     own = links(docs).where("type = 'anchor'").withColumn("anchor", F.lower(F.substring("target", 2, 1 << 30)))
     there = anchors(docs).select("path", F.lower("anchor").alias("anchor")).distinct()
-    return own.join(there, ["path", "anchor"], "left_anti").select("path", "line", "target", "anchor")
+    return own.join(there.hint("merge"), ["path", "anchor"], "left_anti").select("path", "line", "target", "anchor")
 
 
 def suggestions(docs: DataFrame) -> DataFrame:
@@ -79,7 +95,7 @@ def suggestions(docs: DataFrame) -> DataFrame:
     gone = missing_anchors(docs)
     there = anchors(docs).groupBy("path").agg(F.array_sort(F.collect_set("anchor")).alias("has"))
     like = F.filter("has", lambda x: F.lower(x).startswith(F.substring("anchor", 1, 5)))
-    out = gone.join(there, "path", "left").select("path", "line", "anchor", F.slice(F.coalesce(like, F.array().cast("array<string>")), 1, 3).alias("like"), F.slice(F.coalesce("has", F.array().cast("array<string>")), 1, 10).alias("has"))
+    out = gone.join(there.hint("merge"), "path", "left").select("path", "line", "anchor", F.slice(F.coalesce(like, F.array().cast("array<string>")), 1, 3).alias("like"), F.slice(F.coalesce("has", F.array().cast("array<string>")), 1, 10).alias("has"))
     return out.select("path", "line", "anchor", F.array_join("like", ",").alias("suggested"), F.array_join("has", ",").alias("available"))
 
 
@@ -98,13 +114,13 @@ def resolved(docs: DataFrame) -> DataFrame:
     name = F.when(name == "", "index").otherwise(name)
     routes = [normal_path(F.concat(name, F.lit(end))) for end in (".md", ".mdx", "/index.md", "/index.mdx")]
     tries = F.array(F.when(~route, F.col("at")), *routes)
-    files = docs.select(F.col("path").alias("c"))
-    folders = docs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("c")).distinct()
-    places = folders.join(files.withColumn("page", F.lit(True)), "c", "left")
+    steps = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(F.array_join(F.slice(steps, 1, k), "/").alias("c"), F.lit(False).alias("page")))
+    places = docs.select(F.explode(F.concat(folders, F.array(F.struct(F.col("path").alias("c"), F.lit(True).alias("page"))))).alias("x")).groupBy("x.c").agg(F.max("x.page").alias("page"))
     own = own.withColumn("key", F.struct("path", "line", "kind", "ordinal"))
     wide = own.where("not outside").select("key", F.posexplode(tries).alias("r", "c")).where("c is not null")
-    hits = wide.join(places, "c").where("r = 0 or page").groupBy("key").agg(F.min(F.struct("r", "c")).alias("x"))
-    return own.join(hits, "key", "left").select(
+    hits = wide.join(places.hint("merge"), "c").where("r = 0 or page").groupBy("key").agg(F.min(F.struct("r", "c")).alias("x"))
+    return own.join(hits.hint("merge"), "key", "left").select(
         "path", "line", "kind", "ordinal", "type", "target", "fragment", "outside", F.col("x.c").alias("resolved"), F.coalesce(~F.col("file").startswith("/") & (F.col("x.r") > 0), F.lit(False)).alias("fallback"),
         F.when(F.col("outside"), "broken").when(F.col("x").isNull(), "broken").otherwise("ok").alias("status"),
     )
@@ -114,7 +130,7 @@ def missing_fragments(docs: DataFrame) -> DataFrame:
     """Links to another page, found by its path or by a route of its own, that is there without the anchor."""
     own = resolved(docs).where("status = 'ok' and fragment <> '' and not fallback").withColumn("anchor", F.lower("fragment"))
     there = anchors(docs).select(F.col("path").alias("resolved"), F.lower("anchor").alias("anchor")).distinct()
-    return own.join(there, ["resolved", "anchor"], "left_anti").select("path", "line", "kind", "ordinal", "target", "resolved")
+    return own.join(there.hint("merge"), ["resolved", "anchor"], "left_anti").select("path", "line", "kind", "ordinal", "target", "resolved")
 
 
 def page_suggestions(docs: DataFrame) -> DataFrame:
@@ -127,13 +143,13 @@ def page_suggestions(docs: DataFrame) -> DataFrame:
     # Of each beginning only the first three pages can be suggested.
     few = pages.withColumn("n", F.row_number().over(Window.partitionBy("dir", "three").orderBy("name"))).where("n <= 3")
     few = few.groupBy("dir", "three").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("suggested"))
-    return gone.join(few, ["dir", "three"], "left").select("path", "line", "target", "kind", "ordinal", F.coalesce("suggested", F.lit("")).alias("suggested"))
+    return gone.join(few.hint("merge"), ["dir", "three"], "left").select("path", "line", "target", "kind", "ordinal", F.coalesce("suggested", F.lit("")).alias("suggested"))
 
 
 def orphans(docs: DataFrame) -> DataFrame:
     """Pages that no internal link leads to by its path; front pages don't count. A route isn't a path of a page."""
     to = links(docs).where("type = 'internal' and not startswith(target, '/')").select(normal_path(F.concat_ws("/", folder(F.col("path")), F.substring_index("target", "#", 1))).alias("path")).distinct()
-    return docs.select("path").join(to, "path", "left_anti").where(~F.col("path").rlike(r"(?:README\.md|index\.mdx?)$"))
+    return docs.select("path").join(to.hint("merge"), "path", "left_anti").where(~F.col("path").rlike(r"(?:README\.md|index\.mdx?)$"))
 
 
 def http_status(code: Column) -> Column:
@@ -175,16 +191,20 @@ def summary(docs: DataFrame, checked: DataFrame | None = None) -> DataFrame:
     checked: target and status of the external links that were asked for; the others count as ok. E-mail is in the total alone.
     """
     every = links(docs)
-    status = every.where("type = 'external'").select("target")
-    if checked is not None:
-        status = status.join(checked.select("target", "status").distinct(), "target", "left")
+    each = [F.count("*").alias("total"), *(F.count_if(F.col("type") == k).alias(k) for k in ("internal", "anchor", "image", "external", "email"))]
+    states = (("broken", "broken_external"), ("redirect", "redirects"))
+    if checked is None:
+        kinds = every.agg(*each, *(F.lit(0).cast("bigint").alias(n) for _, n in states), F.count_if(F.col("type") == "external").alias("external_ok"))
     else:
-        status = status.withColumn("status", F.lit(None).cast("string"))
-    outer = status.agg(*(F.count_if(F.col("status") == k).alias(n) for k, n in (("broken", "broken_external"), ("redirect", "redirects"))), F.count_if(F.coalesce("status", F.lit("ok")) == "ok").alias("external_ok"))
-    kinds = every.agg(F.count("*").alias("total"), *(F.count_if(F.col("type") == k).alias(k) for k in ("internal", "anchor", "image", "external", "email")))
-    gone = [resolved(docs).where("status = 'broken'"), missing_fragments(docs), missing_anchors(docs)]
-    broken = gone[0].select(F.lit(1)).union(gone[1].select(F.lit(1))).union(gone[2].select(F.lit(1))).agg(F.count("*").alias("broken_internal"))
-    out = kinds.crossJoin(outer).crossJoin(broken).crossJoin(orphans(docs).agg(F.count("*").alias("orphans")))  # four single rows
+        status = every.where("type = 'external'").select("target").join(checked.select("target", "status").distinct(), "target", "left")
+        kinds = every.agg(*each).crossJoin(status.agg(*(F.count_if(F.col("status") == k).alias(n) for k, n in states), F.count_if(F.coalesce("status", F.lit("ok")) == "ok").alias("external_ok")))
+    # Broken links and lost fragments of one pass; what has no fragment to look for meets no anchor, and is spread by its own page.
+    own = resolved(docs).select("status", "path", "resolved", F.when((F.col("status") == "ok") & (F.col("fragment") != "") & ~F.col("fallback"), F.lower("fragment")).alias("anchor"))
+    own = own.withColumn("resolved", F.coalesce("resolved", "path"))
+    there = anchors(docs).select(F.col("path").alias("resolved"), F.lower("anchor").alias("anchor")).distinct().withColumn("here", F.lit(True))
+    gone = own.join(there.hint("merge"), ["resolved", "anchor"], "left").agg(F.count_if((F.col("status") == "broken") | F.col("anchor").isNotNull() & F.col("here").isNull()).alias("n"))
+    broken = gone.crossJoin(missing_anchors(docs).agg(F.count("*").alias("m"))).select((F.col("n") + F.col("m")).alias("broken_internal"))
+    out = kinds.crossJoin(broken).crossJoin(orphans(docs).agg(F.count("*").alias("orphans")))  # single rows
     ok = F.col("internal") + F.col("anchor") + F.col("image") - F.col("broken_internal") + F.col("external_ok")
     return out.withColumn("ok", ok).withColumn("has_broken", F.col("broken_internal") + F.col("broken_external") > 0).drop("external_ok")
 

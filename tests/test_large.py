@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from docpipe.functions.text import CUT, fenced, holding, normal_path
-from docpipe.operators import coverage, freshness
+from docpipe.operators import coverage, freshness, links
 from docpipe.sources.corpora import corpus
 
 
@@ -38,6 +38,23 @@ def test_texts_are_neither_shuffled_nor_broadcast_for_terms(spark):
     assert "Exchange" not in plan(holding(pages, "content", spark.createDataFrame([("alpha_beta",)], "term string"), "term")).replace("BroadcastExchange", "")
 
 
+def test_sides_that_grow_are_not_broadcast(spark):
+    pages = docs(spark, "# A\n[1](p1.md#b) [2](no.md) [3](#a) [x][r]\n[r]: https://a.b", "# B")
+    for f in (links.links, links.resolved, links.missing_fragments, links.page_suggestions, links.orphans, links.missing_anchors, links.suggestions, links.fixes, links.summary):
+        assert "BroadcastHashJoin" not in plan(f(pages)), f.__name__
+    diff = spark.createDataFrame([("a.py", 1, "-def alpha_beta(x):")], "path string, line int, d string")
+    assert plan(freshness.stale(pages, diff)).count("BroadcastHashJoin") == 1  # the symbols
+    source = spark.createDataFrame([("a.py", "def alpha_beta(x):\n")], "path string, content string")
+    assert plan(coverage.stubs(source, pages)).count("BroadcastHashJoin") == 1  # the terms found
+
+
+def test_links_take_one_pass(spark):
+    pages = docs(spark, "[A][] [b][C] [no][d] <a href='x'>\n[a]: one\n[c]: two\n[A]: three\n```\n[f](g)\n```", None)
+    own = links.links(pages)
+    assert "Exchange" not in plan(own) and plan(own).count("Generate ") == 2
+    assert sorted((r.line, r.kind, r.ordinal, r.text, r.target) for r in own.collect()) == [(1, 1, 0, "A", "three"), (1, 1, 1, "b", "two"), (1, 2, 0, "", "x")]
+
+
 def test_long_documents_without_fences(spark):
     began = time.time()
     assert fenced(docs(spark, "word\n" * 60_000)).agg(F.max("line"), F.count("*")).first()[:] == (60_001, 60_001)
@@ -54,8 +71,3 @@ def test_paths_without_dots(spark):
     cases = {"a/b": "a/b", "": "", "/": "", "a": "a", "/a": "a", "a/": "a", "a//b": "a/b", ".": "", "..a/.b/c..": "..a/.b/c..", "a/...": "a/...", "x/..": "", "../a": "../a"}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", normal_path(F.col("t"))).collect()
     assert {r[0]: r[1] for r in got} == cases
-
-
-def test_names_are_looked_up_without_broadcasting_pages(spark):
-    source = spark.createDataFrame([("a.py", "def alpha_beta(x):\n")], "path string, content string")
-    assert plan(coverage.stubs(source, docs(spark, "`alpha_beta` `x`"))).count("BroadcastHashJoin") == 1  # the terms found
