@@ -43,7 +43,8 @@ ELEMENTS = [
     ("navigation section", "tab"), ("popup window", "dialog"), ("side section", "sidebar"), ("top section", "header"), ("main content", "page"),
 ]
 CALL = r"([A-Za-z_][A-Za-z0-9_]*\(\))"
-FILE = r"(?:^|[^A-Za-z0-9_./-])([A-Za-z0-9_-]+\.(?:yaml|yml|json|js|ts|py|go|md|toml|txt|sh|css|html))(?:[^A-Za-z0-9_]|$)"
+ENDING = r"\.(?:yaml|yml|json|js|ts|py|go|md|toml|txt|sh|css|html)"
+FILE = r"(?:^|[^A-Za-z0-9_./-])([A-Za-z0-9_-]+" + ENDING + ")(?:[^A-Za-z0-9_]|$)"
 PLAIN_ELEMENT = r"(?:[Cc]lick|[Ss]elect|[Ee]nable|[Oo]pen) the ([A-Z][A-Za-z]*(?: [A-Za-z]+)?) (link|button|dropdown|field|toggle|checkbox|radio button|tab|dialog|sidebar|header|page)"
 #: Kind of page, by its path, and the sections that it needs, each under one of several words.
 KINDS = [("tutorial", "/tutorials?/"), ("how-to", "/how-?to/|/guides?/"), ("reference", "/reference/|/api/"), ("explanation", "/explanations?/|/concepts?/|/intro/")]
@@ -65,17 +66,21 @@ def prose(docs: DataFrame) -> DataFrame:
     return fenced(docs).where("not inside").select("path", "line", "text")
 
 
-def held(text: Column, rows: list[tuple], fold: bool) -> Column:
-    """Those of a rule table's rows (word, suggestion) whose word a line holds as a word; in any case if fold. One pass inside the row, without a join."""
+def folded(docs: DataFrame) -> DataFrame:
+    """prose with low, the text in lower case, which is made once for all rules."""
+    return prose(docs).withColumn("low", F.lower("text"))
+
+
+def held(text: Column, rows: list[tuple]) -> Column:
+    """Those of a rule table's rows (word, suggestion) whose word a line holds as a word. One pass inside the row, without a join. For any case text is a line in lower case."""
     bound = lambda w: r"(?<![\p{L}\p{N}_])\Q" + w + r"\E(?![\p{L}\p{N}_])"
     table = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(x).alias("suggestion"), F.lit(bound(w)).alias("bound")) for w, x in rows))
-    own = F.lower(text) if fold else text
-    return F.filter(table, lambda r: own.contains(r["word"]) & F.rlike(own, r["bound"]))
+    return F.filter(table, lambda r: text.contains(r["word"]) & F.rlike(text, r["bound"]))
 
 
 def _matched(docs: DataFrame, rows: list[tuple], fold: bool) -> DataFrame:
     """path, line, word, suggestion."""
-    return prose(docs).select("path", "line", F.explode(held(F.col("text"), rows, fold)).alias("x")).select("path", "line", "x.word", "x.suggestion")
+    return folded(docs).select("path", "line", F.explode(held(F.col("low" if fold else "text"), rows)).alias("x")).select("path", "line", "x.word", "x.suggestion")
 
 
 def banned(docs: DataFrame) -> DataFrame:
@@ -180,7 +185,7 @@ def kind_of(path: Column) -> Column:
 def missing_sections(docs: DataFrame) -> DataFrame:
     """path, kind, section: sections that a page of its kind needs and that none of its headings names."""
     titles = headings(docs).groupBy("path").agg(F.collect_list(F.lower("title")).alias("titles"))
-    own = docs.select("path", kind_of(F.col("path")).alias("kind")).where("kind is not null").join(titles, "path", "left")
+    own = docs.select("path", kind_of(F.col("path")).alias("kind")).where("kind is not null").join(titles.hint("merge"), "path", "left")
     need = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("section"), F.lit(p).alias("pattern")) for k, n, p in REQUIRED))
     none = F.array().cast("array<string>")
     gone = F.filter(need, lambda r: (r["kind"] == F.col("kind")) & ~F.exists(F.coalesce("titles", none), lambda t: F.rlike(t, r["pattern"])))
@@ -190,8 +195,11 @@ def missing_sections(docs: DataFrame) -> DataFrame:
 def bare_code(docs: DataFrame) -> DataFrame:
     """path, line, found: function and file names outside backticks; known terms and link targets aren't names of files."""
     plain = F.regexp_replace(F.regexp_replace("text", "`[^`]*`", ""), r"\]\([^)]*\)", "]")
-    found = F.concat(F.regexp_extract_all(plain, F.lit(CALL), F.lit(1)), F.regexp_extract_all(plain, F.lit(FILE), F.lit(1)))
-    return prose(docs).select("path", "line", F.explode(found).alias("found")).where(~F.col("found").isin(KNOWN))
+    own = prose(docs).where(F.col("text").contains("(") | F.col("text").contains(".")).select("path", "line", plain.alias("plain"))
+    none = F.array().cast("array<string>")
+    calls = F.when(F.col("plain").contains("()"), F.regexp_extract_all("plain", F.lit(CALL), F.lit(1))).otherwise(none)
+    names = F.when(F.col("plain").rlike(ENDING), F.regexp_extract_all("plain", F.lit(FILE), F.lit(1))).otherwise(none)
+    return own.select("path", "line", F.explode(F.concat(calls, names)).alias("found")).where(~F.col("found").isin(KNOWN))
 
 
 def violations(docs: DataFrame) -> DataFrame:
@@ -213,11 +221,11 @@ def compliance(docs: DataFrame) -> DataFrame:
     title = F.trim(F.regexp_extract("text", r"^(#{1,6})\s+(.+)$", 2))
     vague = F.filter(F.regexp_extract_all("text", F.lit(INLINE), F.lit(1)), lambda x: F.lower(F.trim(x)).isin("click here", "here", "this link", "this page"))
     kind = F.regexp_extract("text", r"^>\s*\*\*([A-Za-z]+)\*?\*?:", 1)
-    lines = prose(docs).select(
+    lines = folded(docs).select(
         "path", "line", level.alias("level"),
-        (F.size(held(text, [(b, "") for b in BANNED], True)) + F.size(F.filter(alarms(text), lambda x: x["severity"] == "high")) + F.size(vague)).alias("high"),
+        (F.size(held(F.col("low"), [(b, "") for b in BANNED])) + F.size(F.filter(alarms(text), lambda x: x["severity"] == "high")) + F.size(vague)).alias("high"),
         (F.when((level > 0) & (F.size(capitals(title)) > 0), 1).otherwise(0) + F.size(F.filter(alarms(text), lambda x: x["severity"] == "medium"))).alias("medium"),
-        (F.size(held(text, SPELLING, True)) + F.when((kind != "") & ~kind.isin(CALLOUTS), 1).otherwise(0)).alias("low"),
+        (F.size(held(F.col("low"), SPELLING)) + F.when((kind != "") & ~kind.isin(CALLOUTS), 1).otherwise(0)).alias("low"),
     )
     heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("level") > 0, F.struct("line", "level")))), lambda x: x["level"])
     own = lines.groupBy("path").agg(F.sum("high").alias("high"), F.sum("medium").alias("m"), F.sum("low").alias("low"), heads.alias("heads"))
@@ -225,7 +233,7 @@ def compliance(docs: DataFrame) -> DataFrame:
     several = F.when(F.size(F.filter("heads", lambda x: x == 1)) > 1, 1).otherwise(0)
     bare = F.when(docs_bare() > 0, 1).otherwise(0)
     lost = missing_sections(docs).groupBy("path").agg(F.count("*").alias("lost"))
-    out = docs.select("path", bare.alias("bare")).join(own.withColumn("m", F.col("m") + skipped + several).drop("heads"), "path", "left").join(lost, "path", "left").na.fill(0)
+    out = docs.select("path", bare.alias("bare")).join(own.withColumn("m", F.col("m") + skipped + several).drop("heads").hint("merge"), "path", "left").join(lost.hint("merge"), "path", "left").na.fill(0)
     out = out.select("path", "high", (F.col("m") + F.col("bare") + F.col("lost")).alias("medium"), "low")
     return out.withColumn("compliant", (F.col("high") == 0) & (F.col("medium") == 0))
 
@@ -241,24 +249,31 @@ def profile(docs: DataFrame) -> DataFrame:
     )
     marks = docs.select("path", F.floor((F.size(F.regexp_extract_all("content", F.lit(r"(?dm)^[ \t]*(?:```|~~~)"), F.lit(0))) + 1) / 2).cast("int").alias("fences"))
     both = lambda a, b, x, y, z: F.when((F.col(a) > 0) & (F.col(b) > 0), z).when(F.col(a) > 0, x).when(F.col(b) > 0, y)
-    return n.join(marks, "path").select(
+    return n.join(marks.hint("merge"), "path").select(
         "*", both("second_person", "third_person", "second", "third", "mixed").alias("person"), both("bulleted", "numbered", "bullets", "numbers", "both").alias("list_style"),
         F.when(F.col("titles") > 0, F.when(2 * F.col("title_case") > F.col("titles"), "title").otherwise("sentence")).alias("heading_style"), F.when(F.col("fences") > 0, "fenced").when(F.col("indented") > 0, "indented").alias("code_block_style"),
     )
 
 
 VARIANTS = [(v, t) for t, own in TERMS for v in own]
+#: Terms and their variants, each with its term.
+SPELT = [(v, t) for t, own in TERMS for v in [t, *own]]
 
 
-def wrong_terms(text: Column) -> Column:
-    """The variants of terms that a line holds, in their exact case, but those within a longer term or variant."""
-    good = held(text, [(t, "") for t in [*KNOWN, *(v for v, _ in VARIANTS)]], False)
-    return F.filter(held(text, VARIANTS, False), lambda h: ~F.exists(good, lambda g: g["word"].contains(h["word"]) & (F.length(g["word"]) > F.length(h["word"]))))
+def wrong(spelt: Column) -> Column:
+    """Of the terms and variants that a line holds, in their exact case, those that aren't right, but those within a longer one."""
+    return F.filter(spelt, lambda h: (h["word"] != h["suggestion"]) & ~F.exists(spelt, lambda g: g["word"].contains(h["word"]) & (F.length(g["word"]) > F.length(h["word"]))))
+
+
+def spelled(docs: DataFrame) -> DataFrame:
+    """folded with spelt, the terms and variants (word, suggestion) that a line holds, found once for all that asks for them."""
+    spelt = F.transform(held(F.col("text"), SPELT), lambda x: F.struct(x["word"].alias("word"), x["suggestion"].alias("suggestion")))
+    return folded(docs).withColumn("spelt", spelt)
 
 
 def terms(docs: DataFrame) -> DataFrame:
     """path, line, found, term: variants of terms that aren't right, in their exact case; of overlapping ones the longest."""
-    return prose(docs).select("path", "line", F.explode(wrong_terms(F.col("text"))).alias("x")).select("path", "line", F.col("x.word").alias("found"), F.col("x.suggestion").alias("term"))
+    return spelled(docs).select("path", "line", F.explode(wrong(F.col("spelt"))).alias("x")).select("path", "line", F.col("x.word").alias("found"), F.col("x.suggestion").alias("term"))
 
 
 def prohibited(docs: DataFrame) -> DataFrame:
@@ -274,20 +289,21 @@ def verb_forms(docs: DataFrame) -> DataFrame:
     return _matched(docs, NOUNS, True).select("path", "line", F.col("word").alias("found"), "suggestion")
 
 
-def compounds(text: Column) -> Column:
-    """Compounds (word, suggestion) that a line writes the wrong way: open before a noun, with a hyphen at the end of a clause."""
+def compounds(text: Column, low: Column) -> Column:
+    """Compounds (word, suggestion) that a line writes the wrong way: open before a noun, with a hyphen at the end of a clause. low: the line in lower case."""
     out = []
     for c in COMPOUNDS:
         h = c.replace(" ", "-")
-        after = F.regexp_extract(text, rf"(?i)(?:^|[^\p{{L}}\p{{N}}_-]){c} ([a-z]+)", 1)
-        out.append(F.when((after != "") & ~F.lower(after).isin(AFTER_NOUN), F.struct(F.lit(c).alias("word"), F.lit(h).alias("suggestion"))))
-        out.append(F.when(text.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_-]){h}(?:[.,;:!?)]|$)"), F.struct(F.lit(h).alias("word"), F.lit(c).alias("suggestion"))))
+        after = F.lower(F.regexp_extract(text, rf"(?i)(?:^|[^\p{{L}}\p{{N}}_-]){c} ([a-z]+)", 1))
+        # The patterns are tried only where the words are.
+        out.append(F.when(low.contains(c), F.when(~after.isin("", *AFTER_NOUN), F.struct(F.lit(c).alias("word"), F.lit(h).alias("suggestion")))))
+        out.append(F.when(low.contains(h) & text.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_-]){h}(?:[.,;:!?)]|$)"), F.struct(F.lit(h).alias("word"), F.lit(c).alias("suggestion"))))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def hyphenation(docs: DataFrame) -> DataFrame:
     """path, line, found, suggestion: compounds as noun and as adjective; of each compound the first of a line."""
-    return prose(docs).select("path", "line", F.explode(compounds(F.col("text"))).alias("x")).select("path", "line", F.col("x.word").alias("found"), "x.suggestion")
+    return folded(docs).select("path", "line", F.explode(compounds(F.col("text"), F.col("low"))).alias("x")).select("path", "line", F.col("x.word").alias("found"), "x.suggestion")
 
 
 def element_terms(docs: DataFrame) -> DataFrame:
@@ -303,7 +319,8 @@ def plain_elements(docs: DataFrame) -> DataFrame:
 
 def acronyms(text: Column) -> Column:
     """The acronyms of a line that aren't known terms."""
-    return F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(ACRONYM) & ~w.isin(KNOWN)))
+    words = F.when(text.rlike("[A-Z]{2}"), F.split(text, r"[^\p{L}\p{N}_]+")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(words, lambda w: w.rlike(ACRONYM) & ~w.isin(KNOWN)))
 
 
 def undefined(docs: DataFrame) -> DataFrame:
@@ -311,24 +328,31 @@ def undefined(docs: DataFrame) -> DataFrame:
     return prose(docs).select("path", "line", F.explode(acronyms(F.col("text"))).alias("term")).groupBy("path", "term").agg(F.min("line").alias("first_use"))
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """path, line, rule, severity, found, suggestion of all rules of terms, in one pass over the lines.
+def hits() -> Column:
+    """rule, severity, found, suggestion: what the rules of terms find in a line of spelled().
 
     Errors are wrong terms and prohibited ones, warnings verbs, verb forms and hyphenation, infos numbers and elements that aren't bold.
     """
-    text = F.col("text")
+    text, low = F.col("text"), F.col("low")
     row = lambda rule, severity, found, suggestion: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), found.alias("found"), suggestion.alias("suggestion"))
     of = lambda rule, severity, hits: F.transform(hits, lambda x: row(rule, severity, x["word"], x["suggestion"]))
     verb = F.lower(F.regexp_extract("text", r"^\s*[0-9]+\. ([A-Za-z]+)", 1))
     steps_ = F.filter(F.array(*(F.struct(F.lit(a).alias("word"), F.lit(b).alias("suggestion")) for a, b in AVOIDED)), lambda x: x["word"] == verb)
     number = F.regexp_extract("text", SMALL, 1)
+    none = F.array().cast("array<struct<word:string,suggestion:string>>")
     numbers = F.filter(F.array(F.struct(number.alias("word"), F.lit("in words").alias("suggestion"))), lambda x: ~x["word"].isin(UNITS))
     names = F.transform(F.regexp_extract_all("text", F.lit(PLAIN_ELEMENT), F.lit(1)), lambda x: F.struct(x.alias("word"), F.concat(F.lit("**"), x, F.lit("**")).alias("suggestion")))
-    hits = F.concat(
-        of("term", "error", wrong_terms(text)), of("prohibited", "error", held(text, PROHIBITED, True)), of("verb_form", "warning", held(text, NOUNS, True)), of("action_verb", "warning", steps_),
-        of("hyphenation", "warning", compounds(text)), of("number", "info", numbers), of("element", "info", names),
+    # Patterns are tried only where a line has what they need.
+    digit, the = text.rlike("[0-9]"), text.contains(" the ")
+    return F.concat(
+        of("term", "error", wrong(F.col("spelt"))), of("prohibited", "error", held(low, PROHIBITED)), of("verb_form", "warning", held(low, NOUNS)), of("action_verb", "warning", F.when(digit, steps_).otherwise(none)),
+        of("hyphenation", "warning", compounds(text, low)), of("number", "info", F.when(digit, numbers).otherwise(none)), of("element", "info", F.when(the, names).otherwise(none)),
     )
-    return prose(docs).select("path", "line", F.explode(hits).alias("x")).select("path", "line", "x.*")
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """path, line, rule, severity, found, suggestion of all rules of terms, in one pass over the lines."""
+    return spelled(docs).select("path", "line", F.explode(hits()).alias("x")).select("path", "line", "x.*")
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -354,7 +378,7 @@ def small_numbers(docs: DataFrame) -> DataFrame:
 
 def inconsistent(docs: DataFrame) -> DataFrame:
     """Terms of which a document has several spellings: path, term, variants."""
-    hits = _matched(docs, [(v, t) for t, own in TERMS for v in [t, *own]], False)
+    hits = _matched(docs, SPELT, False)
     return hits.groupBy("path", F.col("suggestion").alias("term")).agg(F.array_join(F.array_sort(F.collect_set("word")), "|").alias("variants"), F.countDistinct("word").alias("n")).where("n > 1").select("path", "term", "variants")
 
 
@@ -366,13 +390,13 @@ def quick(docs: DataFrame) -> DataFrame:
 
 def term_report(docs: DataFrame) -> DataFrame:
     """path, errors, warnings (with terms of several spellings), infos (with undefined terms), compliant: no errors and no warnings."""
-    text = F.col("text")
-    own = findings(docs).groupBy("path").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")))
+    levels = ("error", "warning", "info")
+    own = spelled(docs).select("path", "spelt", acronyms(F.col("text")).alias("open"), F.transform(hits(), lambda x: x["severity"]).alias("hits"))
+    sums = [F.sum(F.size("hits") - F.size(F.array_remove("hits", s))).alias(s) for s in levels]
     # Spellings and acronyms of a document: sets of what its lines hold.
-    spelt = held(text, [(v, t) for t, mine in TERMS for v in [t, *mine]], False)
-    sets = prose(docs).groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(spelt, lambda x: F.struct(x["suggestion"].alias("t"), x["word"].alias("w")))))).alias("spelt"), F.size(F.array_distinct(F.flatten(F.collect_list(acronyms(text))))).alias("open"))
-    names = F.transform("spelt", lambda x: x["t"])
+    own = own.groupBy("path").agg(*sums, F.array_distinct(F.flatten(F.collect_list("spelt"))).alias("spelt"), F.size(F.array_distinct(F.flatten(F.collect_list("open")))).alias("open"))
+    names = F.transform("spelt", lambda x: x["suggestion"])
     twice = F.size(F.filter(F.array_distinct(names), lambda t: F.size(F.filter(names, lambda x: x == t)) > 1))
-    out = docs.select("path").join(own, "path", "left").join(sets.select("path", twice.alias("twice"), "open"), "path", "left").na.fill(0)
+    out = docs.select("path").join(own.select("path", *levels, twice.alias("twice"), "open").hint("merge"), "path", "left").na.fill(0)
     out = out.select("path", F.col("error").alias("errors"), (F.col("warning") + F.col("twice")).alias("warnings"), (F.col("info") + F.col("open")).alias("infos"))
     return out.withColumn("compliant", (F.col("errors") == 0) & (F.col("warnings") == 0))

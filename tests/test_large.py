@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from docpipe.functions.text import CUT, fenced, holding, normal_path
-from docpipe.operators import coverage, freshness, links
+from docpipe.operators import coverage, freshness, links, rules
 from docpipe.sources.corpora import corpus
 
 
@@ -40,7 +40,7 @@ def test_texts_are_neither_shuffled_nor_broadcast_for_terms(spark):
 
 def test_sides_that_grow_are_not_broadcast(spark):
     pages = docs(spark, "# A\n[1](p1.md#b) [2](no.md) [3](#a) [x][r]\n[r]: https://a.b", "# B")
-    for f in (links.links, links.resolved, links.missing_fragments, links.page_suggestions, links.orphans, links.missing_anchors, links.suggestions, links.fixes, links.summary):
+    for f in (links.links, links.resolved, links.missing_fragments, links.page_suggestions, links.orphans, links.missing_anchors, links.suggestions, links.fixes, links.summary, rules.compliance, rules.term_report):
         assert "BroadcastHashJoin" not in plan(f(pages)), f.__name__
     diff = spark.createDataFrame([("a.py", 1, "-def alpha_beta(x):")], "path string, line int, d string")
     assert plan(freshness.stale(pages, diff)).count("BroadcastHashJoin") == 1  # the symbols
@@ -71,3 +71,11 @@ def test_paths_without_dots(spark):
     cases = {"a/b": "a/b", "": "", "/": "", "a": "a", "/a": "a", "a/": "a", "a//b": "a/b", ".": "", "..a/.b/c..": "..a/.b/c..", "a/...": "a/...", "x/..": "", "../a": "../a"}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", normal_path(F.col("t"))).collect()
     assert {r[0]: r[1] for r in got} == cases
+
+
+def test_term_rules_where_their_words_are_in_other_cases(spark):
+    text = "The FRONT END app. A Back-End.\nUse api and apiKey, Postgres, two-factor authentication.\nCLICK HERE, in Step 3 steps"
+    got = {(r.line, r.rule, r.found) for r in rules.findings(docs(spark, text)).collect()}
+    assert got == {(1, "hyphenation", "front end"), (1, "hyphenation", "back-end"), (2, "term", "api"), (2, "term", "Postgres"), (3, "prohibited", "click here"), (3, "number", "steps")}
+    # What removed code leaves together is looked at, too.
+    assert {r.found for r in rules.bare_code(docs(spark, "go(`x`) but d.md")).collect()} == {"go()", "d.md"}
